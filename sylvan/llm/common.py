@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -55,3 +56,29 @@ def packed_mask(starts: np.ndarray, width: int, n: int) -> np.ndarray:
         np.add.at(edge, starts, 1)
         np.add.at(edge, np.minimum(starts + width, n), -1)
     return np.cumsum(edge[:-1]) > 0
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a table as Parquet into the shared checkpoint folder and read it back."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sylvan-tables-")
+    path = f"{folder}/sylvan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def row_hash(df: DataFrame) -> F.Column:
+    """64-bit hash of all columns of a row; with the row's id it names the row, and equal rows share a name."""
+    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+
+
+def attach(docs: DataFrame, decided: DataFrame, doc_id: str, value: str) -> DataFrame:
+    """Rows of docs that ``decided`` names, with its value; one row for each name, so equal rows become one.
+
+    decided: ``__id``, ``__hash``, ``__rows`` (how many rows of docs have the name) and the value. Only names with several rows
+    are made distinct; the others pass a plain join.
+    """
+    named = docs.withColumn("__hash", row_hash(docs))
+    hit = named.join(decided, named[doc_id].eqNullSafe(decided["__id"]) & (named["__hash"] == decided["__hash"])).select(*[named[c] for c in docs.columns], "__rows", decided[value].alias(value))
+    several = hit.where("__rows > 1").dropDuplicates([doc_id, *(c for c in docs.columns if c != doc_id)])
+    return hit.where("__rows = 1").unionByName(several).drop("__rows")

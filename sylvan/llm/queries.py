@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import doc_crc, table
 
 #: Fixed rules of the URL contract: host, path, verdict.
 URL_RULES = [
@@ -25,6 +25,18 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4, seed=42)
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), width=35)
+
+
+def op3_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_earlier
+
+    return remove_earlier(table(spark, sf_dir, "documents"), width=50)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import histogram_shards
 
@@ -52,6 +64,20 @@ def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(codes, codes.where("id % 100 = 0"), k=10)
 
 
+def op8_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    docs = table(spark, sf_dir, "documents")
+    held_out = doc_crc("doc_id") % 4 == 2
+    return identify(docs, docs.where(~held_out), keep=["doc_id", held_out.alias("held_out")])
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
@@ -60,10 +86,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_substring": op2_substring,
+    "op3_suffix": op3_suffix,
     "op4_sharding": op4_sharding,
     "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
     "op7_topk": op7_topk,
+    "op8_hmm": op8_hmm,
+    "op9_language": op9_language,
     "op10_mixing": op10_mixing,
 }
 

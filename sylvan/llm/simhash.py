@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, durable, word_starts
+from .common import as_bytes, attach, durable, row_hash, word_starts
 from .components import connected_components
 
 BITS = 64
@@ -111,3 +111,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lowest = each.groupBy("root").agg(F.min("low").alias("component_id"))
     named = each.join(lowest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 5, seed: int = 42, blocks: int | None = None) -> DataFrame:
+    """The rows of docs that stay when one of each near-duplicate group is kept: that with the smallest id, nulls last.
+
+    Rows with that id are told apart by a hash of all columns; of wholly equal rows one stays. Columns are those of docs.
+    """
+    named = docs.withColumn("__hash", row_hash(docs))
+    rows = durable(with_fingerprint(named, text, [doc_id, "__hash"], shingle, seed))
+    roots = near_groups(rows, distance, blocks)
+    order = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col("__hash").alias("c"))
+    each = rows.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), order.alias("o"))
+    first = each.groupBy("root", "o").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.min(F.struct("o", "n")).alias("m"))
+    decided = first.select(F.col("m.o.b").alias("__id"), F.col("m.o.c").alias("__hash"), F.col("m.n").alias("__rows"), F.lit(1).alias("__stay"))
+    return attach(docs, decided, doc_id, "__stay").drop("__stay")
