@@ -56,7 +56,7 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = 0.0) -> list[tup
 
     Each round counts exact bytes below 2**STEP probes of every open range. A boundary is settled when the bytes below it are
     within ``tolerance`` of a shard's share; ranges narrow to one key, and if one key (a group of equal texts) still straddles
-    the boundary beyond the tolerance, to an id within that group. Boundaries fall before the row that passes the goal.
+    the boundary beyond the tolerance, to an id within that group. The boundary falls before or after the last id's rows, whichever is nearer to the goal.
     """
     total = keyed.agg(F.sum("size"), F.min("__id"), F.max("__id")).first()
     if not total[0]:
@@ -72,13 +72,13 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = 0.0) -> list[tup
     if open_ := [r for r in found if not settled(r)]:
         low, high = total[1], total[2]
         span = high - low + 1
-        for r in open_:
+        for r in (refined := open_):
             r["lo"] = low
         while span > 1 and (open_ := [r for r in open_ if not settled(r)]):
             span = _refine(keyed, "__id", open_, span, STEP)
-        for r in found:
-            if r["lo"] != r["key"] or r in open_:
-                r["id"] = r["lo"]
+        for r in refined:
+            nearer = r["goal"] - r["below"] > r["bytes"] / 2  # to the end of the rows with this id than to their beginning
+            r["id"] = r["lo"] + nearer
     return [(r["key"], r["id"]) for r in found]
 
 
