@@ -14,6 +14,8 @@ _REFERENCE = re.compile(r"&(?:#(?:[xX]([0-9a-fA-F]+)|(\d+));?|([A-Za-z][A-Za-z0-
 def code_point(number: int) -> str:
     if number in C1:
         return C1[number]
+    if number == 13:
+        return "\n"
     if number == 0 or number > 0x10FFFF or 0xD800 <= number <= 0xDFFF:
         return "�"
     return chr(number)

@@ -20,7 +20,7 @@ SPECIAL = words(
     " section select source style summary table tbody td template textarea tfoot th thead title tr track ul wbr"
 )
 IMPLIED_END = words("dd dt li option optgroup p rb rp rt rtc")
-SCOPE = words("applet caption html table td th marquee object template")
+SCOPE = words("applet caption html table td th marquee object select template")
 RAWTEXT = words("style xmp iframe noembed noframes")
 RCDATA = words("title textarea")
 CLOSES_P = words(
