@@ -112,13 +112,15 @@ def pi_data(body: str) -> str | None:
 class Parser:
     """One parse. The result is ``document`` (a #document, or a #document-fragment with a fragment context)."""
 
-    def __init__(self, html: str, *, fragment: FragmentContext | None = None, scripting: bool = True, iframe_srcdoc: bool = False, xml_coercion: bool = False, track: bool = False) -> None:
+    def __init__(self, html: str, *, fragment: FragmentContext | None = None, scripting: bool = True, iframe_srcdoc: bool = False, xml_coercion: bool = False, track: bool = False, literal: bool = False) -> None:
         if "\r" in html:
             html = html.replace("\r\n", "\n").replace("\r", "\n")
         self.html, self.n, self.track = html, len(html), track
         self.scripting, self.iframe_srcdoc, self.xml = scripting, iframe_srcdoc, xml_coercion
+        #: Markup that makes no element (comments, declarations, stray or unfinished tags) stays as text.
+        self.literal = literal
         self.fragment = fragment
-        self.document = Node("#document-fragment" if fragment else "#document")
+        self.document = Node("#document-fragment" if fragment else "#document", data=html)
         self.quirks = "no-quirks"
         self.open: list[Node] = []
         self.active: list[Node | None] = []
@@ -190,7 +192,7 @@ class Parser:
                 name, pos = lower(m[0]), m.end()
                 got = self._attributes(pos)
                 if got is None:
-                    self.pos = n
+                    self._unfinished(lt)
                     return
                 attrs, closing, self.pos = got
                 self.span = (lt, self.pos)
@@ -205,16 +207,23 @@ class Parser:
                     m = _TAG.match(html, lt + 2)
                     got = self._attributes(m.end())
                     if got is None:
-                        self.pos = n
+                        self._unfinished(lt)
                         return
                     self.pos = got[2]
                     self.span = (lt, self.pos)
                     self.skip_lf = False
+                    if self.literal and not any(lower(x.name) == lower(m[0]) for x in self.open[1:]):
+                        self._characters(html[lt : self.pos])
+                        continue
                     self._end(lower(m[0]).replace("\0", "�"))
-                elif c == ">":
+                elif c == ">" and not self.literal:
                     self.pos = lt + 3
+                elif self.literal:
+                    self._literal(lt)
                 else:
                     self._bogus(lt + 2)
+            elif self.literal and c in "!?":
+                self._literal(lt)
             elif c == "!":
                 if html.startswith("--", lt + 2):
                     self._comment_token(lt + 4)
@@ -252,6 +261,23 @@ class Parser:
                 self._text("<")
                 self.pos = lt + 1
 
+    def _literal(self, lt: int) -> None:
+        """A declaration, comment or stray tag, as text."""
+        html = self.html
+        if html.startswith("<!--", lt):
+            m = _COMMENT_END.search(html, lt + 4)
+            end = m.end() if m else self.n
+        else:
+            end = html.find(">", lt) + 1 or self.n
+        self.pos = end
+        self._characters(html[lt:end])
+
+    def _unfinished(self, lt: int) -> None:
+        """A tag that the input ends in: nothing, or text."""
+        self.pos = self.n
+        if self.literal:
+            self._characters(self.html[lt:])
+
     def _append_after_lt(self) -> None:
         """``<`` before NUL: both stay as text, the NUL as U+FFFD."""
         self._text("<�")
@@ -1648,11 +1674,11 @@ class Parser:
                             marker.children.append(copy)
 
 
-def parse(html: str | None, *, fragment: bool = False, context: FragmentContext | None = None, scripting: bool = True, iframe_srcdoc: bool = False, xml_coercion: bool = False, discard_bom: bool = True, track: bool = False) -> Node:
+def parse(html: str | None, *, fragment: bool = False, context: FragmentContext | None = None, scripting: bool = True, iframe_srcdoc: bool = False, xml_coercion: bool = False, discard_bom: bool = True, track: bool = False, literal: bool = False) -> Node:
     """The tree of a document, or of a fragment (by default as if inside a div). None is the empty document."""
     html = html or ""
     if discard_bom and html[:1] == "﻿":
         html = html[1:]
     if fragment and context is None:
         context = FragmentContext("div")
-    return Parser(html, fragment=context, scripting=scripting, iframe_srcdoc=iframe_srcdoc, xml_coercion=xml_coercion, track=track).parse()
+    return Parser(html, fragment=context, scripting=scripting, iframe_srcdoc=iframe_srcdoc, xml_coercion=xml_coercion, track=track, literal=literal).parse()
