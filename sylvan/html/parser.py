@@ -21,7 +21,7 @@ _PI = re.compile(r"[^\W\d][\w\-.:·]*")
 _LEADING = re.compile(r"[\t\n\f ]*")
 _ASCII_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Characters that XML doesn't allow, with what stands for them in XML coercion.
-_XML_BAD = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f﷐-﷯￾￿]|[" + "".join(chr((p << 16) + x) for p in range(1, 17) for x in (0xFFFE, 0xFFFF)) + "]")
+_XML_BAD = re.compile("[\x00-\x08\x0b\x0e-\x1f\x7f-\x9f\ufdd0-\ufdef\ufffe\uffff]|[" + "".join(chr((p << 16) + x) for p in range(1, 17) for x in (0xFFFE, 0xFFFF)) + "]")
 
 
 def lower(text: str) -> str:
@@ -1677,7 +1677,7 @@ class Parser:
 def parse(html: str | None, *, fragment: bool = False, context: FragmentContext | None = None, scripting: bool = True, iframe_srcdoc: bool = False, xml_coercion: bool = False, discard_bom: bool = True, track: bool = False, literal: bool = False) -> Node:
     """The tree of a document, or of a fragment (by default as if inside a div). None is the empty document."""
     html = html or ""
-    if discard_bom and html[:1] == "﻿":
+    if discard_bom and html[:1] == "\ufeff":
         html = html[1:]
     if fragment and context is None:
         context = FragmentContext("div")

@@ -13,7 +13,7 @@ TEXT_BLOCKS = frozenset(
     " nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
 #: Characters that don't show, as a regular expression class.
-INVISIBLE = "؜​-‏‪-‮⁠-⁩︀-️﻿-\U000e0100-\U000e01ef\U000f0000-\U000ffffd\U00100000-\U0010fffd"
+INVISIBLE = "\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufe00-\ufe0f\ufeff-\U000e0100-\U000e01ef\U000f0000-\U000ffffd\U00100000-\U0010fffd"
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 
 
