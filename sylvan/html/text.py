@@ -13,7 +13,10 @@ TEXT_BLOCKS = frozenset(
     " nav ol p pre section table tbody td tfoot th thead tr ul".split()
 )
 #: Characters that don't show, as a regular expression class.
-INVISIBLE = "\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufe00-\ufe0f\ufeff-\U000e0100-\U000e01ef\U000f0000-\U000ffffd\U00100000-\U0010fffd"
+INVISIBLE = (
+    "\u061c\u200b-\u200f\u202a-\u202e\u2060-\u2069\ufe00-\ufe0f\ufeff\ue000-\uf8ff"
+    "\U000e0100-\U000e01ef\U000f0000-\U000ffffd\U00100000-\U0010fffd"
+)
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
 
 
@@ -67,7 +70,7 @@ def escape_attr_value(text: str | None, quote_char: str = '"') -> str:
 # Escapes of a JavaScript string, besides the quote.
 JS_ESCAPES = {
     "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f",
-    "<": "\\u003c", ">": "\\u003e", " ": "\\u2028", " ": "\\u2029",
+    "<": "\\u003c", ">": "\\u003e", "\u2028": "\\u2028", "\u2029": "\\u2029",
 }
 
 
