@@ -46,7 +46,8 @@ def word_starts(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def doc_crc(doc_id) -> F.Column:
     """crc32 of the doc_id written as text; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary"))
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit("")).cast("binary"))
 
 
 def packed_mask(starts: np.ndarray, width: int, n: int) -> np.ndarray:
