@@ -97,7 +97,7 @@ def histogram_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     past = [((F.col("__key") > k) | ((F.col("__key") == k) & (F.col("__id") >= i))) if i is not None else F.col("__key") >= k for k, i in cuts]
     number = lambda: sum((p.cast("int") for p in past), F.lit(0)).cast("int")
     # Slots: rows are ranked inside small cells, and a table of cell counts, bounded by shards * 2**STEP * 16, gives each cell's offset.
-    cell = [number().alias("shard"), F.shiftright("__key", KEY_BITS - STEP).cast("int").alias("__part"), F.pmod(F.xxhash64("__id"), F.lit(16)).cast("int").alias("__salt")]
+    cell = [number().alias("shard"), F.shiftright("__key", KEY_BITS - STEP).cast("int").alias("__part"), F.pmod("__id", F.lit(16)).cast("int").alias("__salt")]
     from pyspark.sql import Window
 
     counts = slim.select(*cell).groupBy("shard", "__part", "__salt").agg(F.count(F.lit(1)).alias("n"))
