@@ -135,6 +135,7 @@ class Parser:
         self.pos = 0
         self.has_selectedcontent = False
         self.span = (0, 0)
+        self.markup = self.text_at = 0
 
     def parse(self) -> Node:
         if self.fragment is not None:
@@ -176,6 +177,7 @@ class Parser:
                 self._raw_text()
                 continue
             lt = find("<", pos)
+            self.text_at, self.markup = pos, lt
             if lt < 0:
                 self._text(html[pos:n])
                 self.pos = n
@@ -350,6 +352,7 @@ class Parser:
     def _raw_text(self) -> None:
         """The body of a raw text element, up to its end tag, which is handled as any end tag."""
         html, name, pos = self.html, self.raw, self.pos
+        self.text_at = pos
         if name == "plaintext" or (self.fragment is not None and len(self.open) == 1):
             end, stop = self.n, None  # a fragment's context has no end tag
         elif name == "script":
@@ -507,7 +510,7 @@ class Parser:
             return
         node = Node("#text", data=data)
         if self.track:
-            node.span = (self.pos, self.pos)
+            node.span = (self.text_at, self.text_at)
         self._put(parent, before, node)
 
     def _comment(self, data: str, name: str = "#comment") -> None:
@@ -516,6 +519,8 @@ class Parser:
             data = self._coerce(data + " " if data.endswith("-") else data)
         self._flush_table()
         node = Node(name, data=data)
+        if self.track:
+            node.span = (self.markup, self.pos)
         mode = self.mode
         if self.fragment is None and mode in ("initial", "before_html", "after_after_body", "after_after_frameset"):
             self._put(self.document, None, node)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import pyarrow as pa
 
 from ..schema import NODE_COLUMNS
@@ -21,9 +23,11 @@ class NodeColumns:
         self.pages: list = []
         self.columns: list[list] = [[] for _ in NODE_COLUMNS]
 
-    def add(self, page_id, root: Node) -> int:
-        """Add a tree in preorder (a template's content before its children); gives the number of rows."""
+    def add(self, page_id, root: Node, locate: bool = False) -> int:
+        """Add a tree in preorder (a template's content before its children); gives the number of rows. ``locate``: with places in the source."""
         rows: list[list] = []
+        source = root.data if locate and isinstance(root.data, str) and root.ns is None else None
+        lines = [0, *(i + 1 for i, c in enumerate(source) if c == "\n")] if source is not None else []
         pending: list[tuple[Node, int | None, int, tuple, bool]] = [(root, None, 0, (None,) * 4, False)]
         open_: list[int] = []
         previous: dict[int, int] = {}  # the last solid child of each parent so far
@@ -47,7 +51,7 @@ class NodeColumns:
                 pre, pre, parent, depth, kind, node.name, node.ns, [{"name": k, "value": v} for k, v in node.attrs.items()] if kind == "element" else None, data, doctype,
                 *place, before, kind == "element" and node.parent is not None and node.parent.name in ("#document", "#document-fragment"),
                 kind == "element" and not any(solid(c) or (c.name == "#text" and (c.data or "").strip()) for c in children),
-                *(node.span or (None, None)), *(node.end_span or (None, None)), content, node.end_span is not None, node.self_closing,
+                *(node.span or (None, None)), *(node.end_span or (None, None)), *_origin(node, lines), content, node.end_span is not None, node.self_closing,
             ])
             open_.append(pre)
             if children:
@@ -74,3 +78,12 @@ class NodeColumns:
     def batch(self, id_name: str, id_type: pa.DataType) -> pa.RecordBatch:
         arrays = [pa.array(self.pages, id_type), *(pa.array(c, t) for c, t in zip(self.columns, ARROW, strict=True))]
         return pa.RecordBatch.from_arrays(arrays, [id_name, *(n for n, _ in NODE_COLUMNS)])
+
+
+def _origin(node: Node, lines: list[int]) -> tuple[int | None, int | None, int | None]:
+    """(offset from 0, line from 1, column from 1) of a node, given where lines begin."""
+    if not lines or not node.span:
+        return None, None, None
+    at = node.span[0]
+    line = bisect_right(lines, at)
+    return at, line, at - lines[line - 1] + 1

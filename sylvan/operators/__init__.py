@@ -1,6 +1,6 @@
 """DataFrame operators on pages and nodes."""
 
-from .pages import html_errors, html_events, parse_html, run
+from .pages import html_errors, html_events, parse_html, run, transform_errors
 from .nodes import attr, nodes_to_pages, select, select_one, to_text, transform_nodes
 
-__all__ = ["attr", "html_errors", "html_events", "nodes_to_pages", "parse_html", "run", "select", "select_one", "to_text", "transform_nodes"]
+__all__ = ["attr", "html_errors", "html_events", "nodes_to_pages", "parse_html", "run", "select", "select_one", "to_text", "transform_errors", "transform_nodes"]

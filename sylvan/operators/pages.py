@@ -26,11 +26,12 @@ def _pages(pages: DataFrame, page_id: str, html: str) -> tuple[DataFrame, str]:
     return rows, f"`{page_id}` {rows.schema[0].dataType.simpleString()}"
 
 
-def parse_html(pages: DataFrame, page_id: str = "page_id", html: str = "html", *, sanitize: bool = False, policy: SanitizationPolicy | None = None, transforms: Sequence[Any] = (), fragment: bool = False, context: FragmentContext | None = None, **options) -> DataFrame:
+def parse_html(pages: DataFrame, page_id: str = "page_id", html: str = "html", *, sanitize: bool = False, policy: SanitizationPolicy | None = None, transforms: Sequence[Any] = (), fragment: bool = False, context: FragmentContext | None = None, locations: bool = False, **options) -> DataFrame:
     """The node table of pages: one row for each node, numbered in preorder within its page (see sylvan.schema).
 
     Select pages before this operator: filters on its result don't reach the pages below it. Transforms, and with ``sanitize``
-    the sanitizer, run on the tree before it becomes rows. A null page is an empty document.
+    the sanitizer, run on the tree before it becomes rows. ``locations`` fills the origin columns: where in the source a node begins,
+    line ends counted as one character. A null page is an empty document.
     """
     rows, ident = _pages(pages, page_id, html)
     specs = with_sanitize(transforms) if sanitize else list(transforms)
@@ -40,10 +41,10 @@ def parse_html(pages: DataFrame, page_id: str = "page_id", html: str = "html", *
         for batch in batches:
             out, n = NodeColumns(), 0
             for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parse(source, fragment=fragment, context=context, literal=literal, **options)
+                root = parse(source, fragment=fragment, context=context, literal=literal, track=locations, **options)
                 if specs:
                     apply_transforms(root, specs, policy=policy)
-                n += out.add(key, root)
+                n += out.add(key, root, locations)
                 if n >= BATCH_ROWS:
                     yield out.batch(page_id, batch.schema.field(0).type)
                     out, n = NodeColumns(), 0
@@ -99,6 +100,23 @@ def html_errors(pages: DataFrame, page_id: str = "page_id", html: str = "html",
     return rows.mapInArrow(run, f"{ident}, {ERRORS}")
 
 
+def transform_errors(pages: DataFrame, transforms: Sequence[Any] = (), page_id: str = "page_id", html: str = "html", *, policy: SanitizationPolicy | None = None, sanitize: bool = True, fragment: bool = False, **options) -> DataFrame:
+    """What transforms report with emit_error, and a policy with ``unsafe_handling="collect"`` finds unsafe, by place."""
+    rows, ident = _pages(pages, page_id, html)
+    specs = with_sanitize(transforms) if sanitize else list(transforms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found: list = []
+                apply_transforms(parse(source, fragment=fragment, **options), specs, found, policy)
+                made += [{page_id: key, "seq": i, **vars(e)} for i, e in enumerate(sorted(found, key=lambda e: (e.line, e.column)))]
+            yield pa.RecordBatch.from_pylist(made, _ERRORS.insert(0, batch.schema.field(0)))
+
+    return rows.mapInArrow(run, f"{ident}, {ERRORS}")
+
+
 def run(pages: DataFrame, *, selector: str | None = None, format: str = "html", first: bool = False, sanitize: bool = True, cleanup: bool = False, policy: SanitizationPolicy | None = None, transforms: Sequence[Any] = (), separator: str = " ", separator_blocks_only: bool = False, strip: bool = True, page_id: str = "page_id", html: str = "html", **options) -> DataFrame:  # noqa: A002
     """``page_id, matches, output``: each page, or the elements that a selector finds in it, as html, text or markdown.
 

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import decode_html
+from ..html.dom import Node
+from ..html.rows import NodeColumns
+from ..schema import NODES
 
 
 def pages_from_parquet(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -27,3 +30,13 @@ def pages_from_files(spark: SparkSession, path: str, encoding: str | None = None
 def pages_from_text(spark: SparkSession, path: str) -> DataFrame:
     """UTF-8 files, one page each."""
     return spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("page_id"), F.input_file_name().alias("url"), F.col("value").alias("html"))
+
+
+def nodes_from_trees(spark: SparkSession, trees: dict[int, Node]) -> DataFrame:
+    """The node table of trees built by hand (see sylvan.html.builder), by page id."""
+    made = NodeColumns()
+    for key, root in trees.items():
+        made.add(key, root)
+    import pyarrow as pa
+
+    return spark.createDataFrame(made.batch("page_id", pa.int64()).to_pylist(), f"page_id bigint, {NODES}")

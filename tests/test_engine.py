@@ -6,9 +6,13 @@ import pytest
 
 import __spark_entry__
 from sylvan import cli
-from sylvan.operators import html_errors, html_events, run
+from sylvan.functions.sql import register
+from sylvan.html import builder as B
+from sylvan.html import transforms as X
+from sylvan.html.policy import SanitizationPolicy
+from sylvan.operators import html_errors, html_events, nodes_to_pages, parse_html, run, transform_errors
 from sylvan.queries import ORACLES, QUERIES
-from sylvan.sources import pages_from_files, pages_from_parquet, pages_from_text
+from sylvan.sources import nodes_from_trees, pages_from_files, pages_from_parquet, pages_from_text
 from sylvan.streaming import page_stream, stream_output, write_stream
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +87,27 @@ def test_command_line(tmp_path, capsys):
     assert cli.main([str(page), "--strict", "--fragment"]) in (0, 2)
     assert cli.main([str(page), "--cleanup", "--output", str(tmp_path / "o")]) == 0
     assert "<a>" not in (tmp_path / "o").read_text()
+
+
+def test_sql_names(spark):
+    assert "html_events" in register(spark)
+    spark.createDataFrame([(1, "<p>a &amp; b<script>x</script>")], "page_id int, html string").createOrReplaceTempView("some_pages")
+    assert spark.sql("SELECT html_text(html), html_unescape('&lt;') FROM some_pages").first()[:] == ("a & b", "<")
+    got = spark.sql("SELECT e.event, e.name FROM some_pages, LATERAL html_events(html) e WHERE e.event = 'start'").collect()
+    assert [r.name for r in got] == ["p", "script"]
+
+
+def test_built_trees_and_places(spark):
+    nodes = nodes_from_trees(spark, {7: B.document(B.element("html", None, B.element("p[id=x]", "t", B.comment("c"))))})
+    assert nodes_to_pages(nodes).first().output == '<html><p id="x">t<!--c--></p></html>'
+    pages = spark.createDataFrame([(1, "<!doctype html>\n<p>a\n<b>x</b><!--c-->")], "page_id int, html string")
+    where = {r.name: (r.origin_offset, r.origin_line, r.origin_col) for r in parse_html(pages, locations=True).collect()}
+    assert where["p"] == (16, 2, 1) and where["b"] == (21, 3, 1) and where["#comment"] == (29, 3, 9)
+    assert {r.origin_line for r in parse_html(pages).collect()} == {None}
+
+
+def test_transform_errors(spark):
+    pages = spark.createDataFrame([(1, "<p>\n<nav>x</nav>")], "page_id int, html string")
+    policy = SanitizationPolicy(["p"], {}, unsafe_handling="collect")
+    found = transform_errors(pages, [X.Sanitize(policy=policy), X.Edit("p", lambda n: X.emit_error("mine"))], fragment=True).collect()
+    assert [(r.code, r.line) for r in found] == [("mine", 0), ("unsafe-html", 2)]
