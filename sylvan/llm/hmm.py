@@ -313,7 +313,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod:
     offset = np.concatenate((-np.log10(np.array([c for _, c in top]) + ADD), -np.log10(tokens + ADD * (types + 1))))
 
     training = rows.where("not held_out").select("__text")
-    few = training.where(F.octet_length("__text") <= sample_bytes).orderBy(F.xxhash64("__text", F.lit(seed)), "__text").limit(sample).collect()
+    # The sample is named by hash first, so that no task sends more than ``sample`` numbers; copies count as one text.
+    hashed = training.where(F.octet_length("__text") <= sample_bytes).select("__text", F.xxhash64("__text", F.lit(seed)).alias("h"))
+    names = [r[0] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
+    few = hashed.where(F.col("h") <= max(names)).groupBy("h").agg(F.min("__text").alias("t")).orderBy("h").select("t").collect() if names else []
     model = Hmm.seeded(states, len(prior), prior, seed)
     starter = [classes.of(r[0].encode()) for r in few]
     for _ in range(12 if starter else 0):
