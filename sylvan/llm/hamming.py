@@ -99,21 +99,24 @@ def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, row_id: str = "id",
     ``code`` is a string of 0 and 1. The rows are dealt into blocks, each block is indexed by segments and answers a block of
     queries by growing radii; blocks' answers are merged. Queries travel in blocks of ``query_block``, so that what is broadcast is
     bounded; every row is indexed. A block answers with its k nearest and the ties of the kth with the smallest ids, so the
-    merge is exact. Null codes and codes of another length than the first query's are not met; a query with a null code gives no
-    row; repeated ids stay and take a rank each; fewer than k rows give as many ranks; empty tables give none.
+    merge is exact. Null codes and codes of another length than the query's are not met; a query with a null code or
+    id gives no row, a query id that is repeated counts once; repeated ids of rows stay and take a rank each; fewer than k rows give as many ranks; empty tables give none.
     """
     spark = codes.sparkSession
     typed = codes.select(F.col(f"`{row_id}`").cast("bigint").alias("id"), F.col(f"`{code}`").alias("code")).where("code is not null")
     asked = queries.select(F.col(f"`{query_id}`").cast("bigint").alias("id"), F.col(f"`{code}`").alias("code")).where("code is not null")
-    numbered = asked.withColumn("__block", F.floor(F.monotonically_increasing_id() / query_block))
-    blocks = [r[0] for r in numbered.select("__block").distinct().orderBy("__block").collect()]
+    asked = asked.where("id is not null").groupBy("id").agg(F.min("code").alias("code"))
+    blocks = -(-asked.count() // query_block)
+    numbered = asked.withColumn("__block", F.pmod(F.xxhash64("id"), F.lit(max(1, blocks))))
     parts = []
-    for block in blocks:
+    for block in range(blocks):
         got = numbered.where(F.col("__block") == block).collect()
-        width = len(got[0].code)
-        got = [r for r in got if len(r.code) == width]
-        sent = spark.sparkContext.broadcast(([r.id for r in got], [r.code for r in got], width))
-        parts.append(typed.where(F.length("code") == width).mapInArrow(_searcher(sent, k, segment, rows_per_index), "query_id bigint, neighbor_id bigint, distance int"))
+        if not got:
+            continue
+        for width in sorted({len(r.code) for r in got} - {0}):
+            mine = [r for r in got if len(r.code) == width]
+            sent = spark.sparkContext.broadcast(([r.id for r in mine], [r.code for r in mine], width))
+            parts.append(typed.where(F.length("code") == width).mapInArrow(_searcher(sent, k, segment, rows_per_index), "query_id bigint, neighbor_id bigint, distance int"))
     if not parts:
         return spark.createDataFrame([], "query_id bigint, neighbor_id bigint, distance int, rank int")
     merged = parts[0]
