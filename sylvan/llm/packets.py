@@ -53,3 +53,60 @@ def by_slice(sent: DataFrame, merge: Callable[[int, Iterator[bytes]], Iterator[p
                 pass
 
     return sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, schema)
+
+
+FILTER_SLICE = 1 << 20
+
+
+def key_filter(keys: DataFrame, rows: int, most: int = 26) -> tuple[np.ndarray, int]:
+    """Bits set for the binary keys of a one-column table, and the logarithm of their number: 8 for each of ``rows``, 2**most at most.
+
+    A key whose bit isn't set isn't in the table; some others pass as well. The driver gets the bits, whose size is bounded.
+    """
+    width = min(most, max(20, int(8 * max(1, rows) - 1).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [key_places(batch.column(0).to_pylist(), width) for batch in batches]
+        at = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+        for s in np.unique(at // FILTER_SLICE).tolist():
+            bits = np.zeros(FILTER_SLICE, bool)
+            bits[at[at // FILTER_SLICE == s] - s * FILTER_SLICE] = True
+            yield packets([(s, pack(np.packbits(bits)))])
+
+    out = np.zeros((1 << width) // 8, np.uint8)
+    for s, payload in by_slice(keys.mapInArrow(run, PACKET), _either, PACKET).toLocalIterator():
+        out[s * FILTER_SLICE // 8 : (s + 1) * FILTER_SLICE // 8] = unpack(bytes(payload), "u1")[0]
+    return out, width
+
+
+def _either(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(FILTER_SLICE // 8, np.uint8)
+    for p in payloads:
+        bits |= unpack(p, "u1")[0]
+    yield packets([(number, pack(bits))])
+
+
+def key_places(keys: list[bytes], width: int) -> np.ndarray:
+    return (np.frombuffer(b"".join(k[:8] for k in keys), ">u8") >> np.uint64(64 - width)).astype(np.int64)
+
+
+def maybe_in(bits: np.ndarray, width: int, keys: list[bytes]) -> np.ndarray:
+    at = key_places(keys, width)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def sift(rows: DataFrame, key: str, keys: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows whose binary key may be in ``keys``, and the rows whose key isn't: only the former need to travel to a join."""
+    sent = rows.sparkSession.sparkContext.broadcast(key_filter(keys, n_rows))
+    at = rows.columns.index(key)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def half(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield batch.filter(pa.array(maybe_in(*sent.value, batch.column(at).to_pylist()) == wanted))
+
+        return run
+
+    return rows.mapInArrow(half(True), schema), rows.mapInArrow(half(False), schema)

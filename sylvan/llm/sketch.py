@@ -27,10 +27,30 @@ def cells(items: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(32))) * ROWS[row] >> np.uint64(64 - width)).astype(np.int64)
 
 
+def gaps(at: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers as bytes: the numbers left out between them, 255 standing for 255 of them and more to come."""
+    between = np.diff(at, prepend=-1) - 1
+    many = between // 255
+    out = np.full(len(at) + int(many.sum()), 255, np.uint8)
+    out[np.cumsum(many + 1) - 1] = between % 255
+    return out
+
+
+def places(gap: np.ndarray) -> np.ndarray:
+    end = gap != 255
+    return np.cumsum(gap, dtype=np.int64)[end] + np.arange(int(end.sum()))
+
+
+def _bits(at: np.ndarray) -> np.ndarray:
+    bits = np.zeros(SLICE, bool)
+    bits[at] = True
+    return np.packbits(bits)
+
+
 class Partial:
     """The sketch of one task's items, kept as sorted cells and flushed as packets of (cells seen once, cells seen more often)."""
 
-    def __init__(self, width: int, flush_items: int = 6_000_000) -> None:
+    def __init__(self, width: int, flush_items: int = 5_000_000) -> None:
         self.width, self.flush_items, self.items, self.n = width, flush_items, [], 0
 
     def add(self, items: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -51,17 +71,15 @@ class Partial:
             cuts, out = np.searchsorted(at, np.arange(0, (1 << self.width) + 1, SLICE)), []
             for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
                 if a < b:
-                    bits = np.zeros((2, SLICE), bool)
                     local = at[a:b] - s * SLICE
-                    bits[0, local], bits[1, local[many[a:b]]] = True, True
-                    out.append(((row << 16) + s, pack(np.packbits(bits[0]), np.packbits(bits[1]))))
+                    out.append(((row << 16) + s, pack(gaps(local), gaps(local[many[a:b]]))))
             yield packets(out)
 
 
 def _merge(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
     once, twice = np.zeros(SLICE // 8, np.uint8), np.zeros(SLICE // 8, np.uint8)
     for p in payloads:
-        a, b = unpack(p, "u1", "u1")
+        a, b = (_bits(places(x)) for x in unpack(p, "u1", "u1"))
         twice |= b | (once & a)
         once |= a
     yield packets([(number, zstandard.compress(twice.tobytes(), 1))])

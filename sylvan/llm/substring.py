@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import as_bytes, packed_mask, word_starts
-from .packets import PACKET, by_slice, pack, packets, unpack
+from .common import as_bytes, durable, packed_mask, word_starts
+from .packets import PACKET, by_slice, pack, packets, sift, unpack
 
 
 def window_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -45,7 +45,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: l
     keep = ["doc_id"] if keep is None else keep
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    total = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    total, n_rows = texts.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)), F.count(F.lit(1))).first()
     bits = sketch.log_width(total // 6, most_bits)
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,16 +65,20 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: l
                 hashes = window_hashes(value.split(), width)
                 places = np.flatnonzero(sketch.repeated(sent.value, hashes[:, 0], bits))
                 block.add(key, hashes[places], places)
-                if block.n >= 1_500_000:
+                if block.n >= 700_000:
                     yield from block.flush()
         yield from block.flush()
 
     keyed = texts.select("__text", F.unhex(F.md5(F.col("__text").cast("binary"))).alias("__key"))
     flags = by_slice(keyed.mapInArrow(second_pass, PACKET), _judge, "key binary, starts binary")
-    flags = flags.groupBy("key").agg(F.collect_list("starts").alias("__starts"))
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    joined = rows.join(flags, F.unhex(F.md5(F.col("__text").cast("binary"))) == F.col("key"), "left").select(*rows.columns, "__starts")
+    flags = durable(flags.groupBy("key").agg(F.collect_list("starts").alias("__starts")))
+    # Only texts that may lose something travel to their starts; a filter of the keys, bounded in size, tells them.
+    whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("__text"), F.unhex(F.md5(whole.cast("binary"))).alias("__key"))
+    some, others = sift(rows, "__key", flags.select("key"), n_rows)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]]
+    joined = some.join(flags, F.col("__key") == F.col("key"), "left").select(*rows.columns[:-1], "__starts")
+    others = others.select(*rows.columns[:-1], F.lit(None).cast("array<binary>").alias("__starts"))
     schema = ", ".join([*fields, "n_words bigint", "n_removed bigint", "kept_sha256 string", *(["kept string"] if cleaned else [])])
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +98,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: l
             out = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.string())] if cleaned else [])]
             yield pa.RecordBatch.from_arrays(out, [*keep, "n_words", "n_removed", "kept_sha256", *(["kept"] if cleaned else [])])
 
-    return joined.mapInArrow(last_pass, schema)
+    return joined.mapInArrow(last_pass, schema).unionByName(others.mapInArrow(last_pass, schema))
 
 
 class _Block:

@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import as_bytes
-from .packets import PACKET, by_slice, pack, packets, unpack
+from .common import as_bytes, durable
+from .packets import PACKET, by_slice, pack, packets, sift, unpack
 
 GRAM = 26
 #: Bytes of text looked at together, and the id that null ids take, which no other id exceeds.
@@ -113,7 +113,7 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("bigint"), F.lit(LAST))
     row_key = F.unhex(F.md5(F.concat_ws(":", F.md5(whole.cast("binary")), ident.cast("string")).cast("binary")))
     texts = docs.select(whole.alias("__text"), row_key.alias("__key"), ident.alias("__id"))
-    total = texts.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
+    total, n_rows = texts.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)), F.count(F.lit(1))).first()
     anchors = 2 * total // (width - GRAM + 2)
     bits = sketch.log_width(anchors, most_bits)
 
@@ -125,7 +125,7 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         yield from partial.flush()
 
     sent = spark.sparkContext.broadcast(sketch.merged(texts.select("__text").mapInArrow(first_pass, PACKET), bits))
-    slices = max(8, anchors // 1_000_000)
+    slices = max(12, anchors // 8_000_000)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(slices, width)
@@ -137,15 +137,18 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 start, end, anchor, hashed = stretches(data, limits, width)
                 pick = sketch.repeated(sent.value, hashed, bits)
                 block.add(data, start[pick], end[pick], anchor[pick], hashed[pick], number, place, keys, ids)
-                if block.n >= 400_000:
+                if block.n + len(block.settled) // 4 >= 120_000:
                     yield from block.flush()
         yield from block.flush()
 
     judge = lambda number, payloads: _judge(payloads, width)
     flags = by_slice(texts.mapInArrow(second_pass, PACKET), judge, "key binary, marks binary")
-    flags = flags.groupBy("key").agg(F.collect_list("marks").alias("__marks"))
+    flags = durable(flags.groupBy("key").agg(F.collect_list("marks").alias("__marks")))
+    # Only texts that may lose something travel to their marks; a filter of the marks' keys, bounded in size, tells them.
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("__text"), row_key.alias("__key"))
-    joined = rows.join(flags, F.col("__key") == F.col("key"), "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "__marks")
+    some, others = sift(rows, "__key", flags.select("key"), n_rows)
+    joined = some.join(flags, F.col("__key") == F.col("key"), "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "__marks")
+    others = others.select(*[F.col(f"`{c}`") for c in keep], "__text", F.lit(None).cast("array<binary>").alias("__marks"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]]
     schema = ", ".join([*fields, "n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string", *(["kept binary"] if cleaned else [])])
 
@@ -167,7 +170,7 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.binary())] if cleaned else [])]
             yield pa.RecordBatch.from_arrays(out, [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if cleaned else [])])
 
-    return joined.mapInArrow(last_pass, schema)
+    return joined.mapInArrow(last_pass, schema).unionByName(others.mapInArrow(last_pass, schema))
 
 
 def removed_spans(marks: np.ndarray, n: int, width: int) -> list[tuple[int, int]]:
@@ -218,20 +221,20 @@ class _Block:
         names = np.frombuffer(b"".join(self.names), np.uint8).reshape(-1, 16)
         parts: dict[int, tuple[list, ...]] = {}
         for piece, (ident, h, offset, places) in self.groups.items():
-            part = parts.setdefault(h % self.slices, ([], [], [], [], [], []))
+            part = parts.setdefault(h % self.slices, ([], [], [], [], []))
             for n, p in places:
-                for column, x in zip(part, (piece, offset, ident, n, p, h), strict=True):
+                for column, x in zip(part, (piece, offset, ident, n, p), strict=True):
                     column.append(x)
         settled = np.array(self.settled, np.int64).reshape(-1, 2)
         self._clear()
         out = []
         for s in sorted({*parts, *np.unique(settled[:, 0] % self.slices).tolist()}):
-            pieces, offset, ident, owner, place, h = parts.get(s, ([], [], [], [], [], []))
+            pieces, offset, ident, owner, place = parts.get(s, ([], [], [], [], []))
             mine = settled[settled[:, 0] % self.slices == s]
             who, local = np.unique(np.concatenate((np.array(owner, np.int64), mine[:, 0])), return_inverse=True)
             local = local.astype(np.int32)
             k = len(owner)
-            out.append((s, pack(names[who], b"".join(pieces), np.array([len(p) for p in pieces], np.uint8), np.array(offset, np.uint8), np.array(ident, np.int64), local[:k], np.array(place, np.int32), np.array(h, np.uint64), local[k:], mine[:, 1])))
+            out.append((s, pack(names[who], b"".join(pieces), np.array([len(p) for p in pieces], np.uint8), np.array(offset, np.uint8), np.array(ident, np.int64), local[:k], np.array(place, np.int32), local[k:], mine[:, 1])))
         if out:
             yield packets(out)
 
@@ -322,64 +325,40 @@ def merge_sort(bucket: np.ndarray, text: np.ndarray, length: np.ndarray) -> tupl
     return order, common
 
 
+#: Stretches that are sorted together, at most, unless one anchor has more.
+TOGETHER = 250_000
+
+
 def _judge(payloads: Iterator[bytes], width: int) -> Iterator[pa.RecordBatch]:
     """Stretches of a slice: for each, which of its windows a smaller id has too. Yields marks by row key."""
-    tail = width - GRAM
     parts, names, n, marks = [], [], 0, []
     for p in payloads:
-        k, raw, size, offset, ident, owner, place, h, settled, mark = unpack(p, "u1", "u1", "u1", "u1", "i8", "i4", "i4", "u8", "i4", "i8")
+        k, raw, size, offset, ident, owner, place, settled, mark = unpack(p, "u1", "u1", "u1", "u1", "i8", "i4", "i4", "i4", "i8")
         names.append(k.reshape(-1, 16))
         marks.append((settled.astype(np.int64) + n, mark))
-        parts.append((raw, size.astype(np.int64), offset.astype(np.int64), ident, owner.astype(np.int64) + n, place.astype(np.int64), h))
+        parts.append((raw, size, offset, ident, owner + np.int32(n), place))
         n += len(names[-1])
-    raw, size, offset, ident, owner, place, h = (np.concatenate(x) for x in zip(*parts, strict=True))
+    raw, size, offset, ident, owner, place = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
-    begin = np.cumsum(size) - size
+    raw = np.concatenate((raw, np.zeros(width + 8, np.uint8)))
+    begin = np.cumsum(size, dtype=np.int64) - size
+    h = np.concatenate([_hash_at(raw, (begin + offset)[i : i + TOGETHER]) for i in range(0, max(1, len(size)), TOGETHER)])
     order = np.argsort(h, kind="stable")
-    bucket = h[order]
+    h = h[order]
     # an anchor that only one stretch has is done; so is one whose stretches all have one id
-    new = np.concatenate(([True], bucket[1:] != bucket[:-1])) if len(bucket) else np.empty(0, bool)
-    number = np.cumsum(new) - 1
-    if len(number):
-        first = np.flatnonzero(new)
+    if len(h):
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
         ids = ident[order]
         mixed = np.minimum.reduceat(ids, first) < np.maximum.reduceat(ids, first)
-        order = order[mixed[number]]
-    if len(order):
-        size, offset, ident, begin = size[order], offset[order], ident[order], begin[order]
-        bucket = h[order]
-        number = np.cumsum(np.concatenate(([True], bucket[1:] != bucket[:-1]))) - 1
-        left, right = offset, size - offset - GRAM
-        steps = np.arange(tail)
-        raw = np.concatenate((raw, np.zeros(width + 8, np.uint8)))
-        after = raw[np.where(steps < right[:, None], (begin + offset + GRAM)[:, None] + steps, len(raw) - 1)]
-        before = raw[np.where(steps < left[:, None], (begin + offset - 1)[:, None] - steps, len(raw) - 1)]
-        grams = raw[(begin + offset)[:, None] + np.arange(GRAM)]
-        # stretches with equal hashes and different anchors would be two buckets: the anchor's bytes lead the suffixes then
-        clash = (np.concatenate(([False], number[1:] == number[:-1])) & np.concatenate(([False], (grams[1:] != grams[:-1]).any(axis=1)))).any()
-        if clash:
-            _, exact = np.unique(np.concatenate((number[:, None].astype(">i8").view(np.uint8).reshape(-1, 8), grams), axis=1), axis=0, return_inverse=True)
-            again = np.argsort(exact, kind="stable")
-            order, size, offset, ident, left, right, after, before, number = (x[again] for x in (order, size, offset, ident, left, right, after, before, exact))
-        sort_r, common_r = merge_sort(number, after, right)
-        sort_l, common_l = merge_sort(number, before, left)
-        mask = np.zeros(len(order), np.int64)
-        for rel in range(tail + 1):  # windows that begin ``rel`` bytes before the anchor
-            need = tail - rel
-            valid = np.flatnonzero((left >= rel) & (right >= need))
-            if not len(valid):
-                continue
-            class_r, class_l = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-            class_r[sort_r] = np.cumsum(common_r < need)
-            class_l[sort_l] = np.cumsum(common_l < rel)
-            pair = class_r[valid] * (len(order) + 1) + class_l[valid]
-            by = np.lexsort((ident[valid], pair))
-            start = np.concatenate(([True], pair[by][1:] != pair[by][:-1]))
-            least = ident[valid][by][np.flatnonzero(start)][np.cumsum(start) - 1]
-            later = valid[by][ident[valid][by] > least]
-            mask[later] |= 1 << (left[later] - rel)
-        hit = np.flatnonzero(mask)
-        marks.append((owner[order[hit]], place[order[hit]] << 32 | mask[hit]))
+        stay = np.repeat(mixed, np.diff(np.concatenate((first, [len(h)]))))
+        order, h = order[stay], h[stay]
+    at = 0
+    while at < len(order):
+        end = len(order) if len(order) - at <= TOGETHER else max(int(np.searchsorted(h, h[at + TOGETHER])), int(np.searchsorted(h, h[at], side="right")))
+        part = order[at:end]
+        hit, mask = _compare(raw, begin[part] + offset[part], size[part].astype(np.int64), offset[part].astype(np.int64), ident[part], h[at:end], width)
+        marks.append((owner[part][hit].astype(np.int64), place[part][hit].astype(np.int64) << 32 | mask[hit]))
+        at = end
     owners, values = np.concatenate([m[0] for m in marks]), np.concatenate([m[1] for m in marks])
     order = np.argsort(owners, kind="stable")
     owners, values, names = owners[order], values[order], np.concatenate(names)
@@ -388,3 +367,50 @@ def _judge(payloads: Iterator[bytes], width: int) -> Iterator[pa.RecordBatch]:
     for i in range(0, len(first), 20_000):
         cut = list(zip(first[i : i + 20_000].tolist(), ends[i : i + 20_000].tolist(), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array([names[owners[a]].tobytes() for a, _ in cut], pa.binary()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())], ["key", "marks"])
+
+
+def _hash_at(raw: np.ndarray, anchors: np.ndarray) -> np.ndarray:
+    """Hashes of the GRAM bytes at the given places."""
+    grams = np.zeros((len(anchors), GRAM), np.uint8)
+    grams[:] = raw[anchors[:, None] + np.arange(GRAM)]
+    return gram_hashes(grams.ravel())[::GRAM] if len(anchors) else np.empty(0, np.uint64)
+
+
+def _compare(raw: np.ndarray, anchor: np.ndarray, size: np.ndarray, left: np.ndarray, ident: np.ndarray, h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For stretches sorted by their anchors' hashes: (those with windows that a smaller id has, the windows as bits of all)."""
+    tail, n = width - GRAM, len(anchor)
+    number = np.cumsum(np.concatenate(([True], h[1:] != h[:-1]))) - 1
+    right = size - left - GRAM
+    back = np.arange(n)
+    steps, pad = np.arange(tail), len(raw) - 1
+    grams = raw[anchor[:, None] + np.arange(GRAM)]
+    # stretches with equal hashes and different anchors would meet in one bucket: then the anchors' bytes make the buckets
+    if ((number[1:] == number[:-1]) & (grams[1:] != grams[:-1]).any(axis=1)).any():
+        number = np.unique(np.concatenate((number[:, None].astype(">i8").view(np.uint8).reshape(-1, 8), grams), axis=1), axis=0, return_inverse=True)[1].ravel()
+        back = np.argsort(number, kind="stable")
+        number, anchor, left, right, ident = (x[back] for x in (number, anchor, left, right, ident))
+    del grams
+    after = raw[np.where(steps < right[:, None], (anchor + GRAM)[:, None] + steps, pad)]
+    sort_r, common_r = merge_sort(number, after, right)
+    del after
+    before = raw[np.where(steps < left[:, None], (anchor - 1)[:, None] - steps, pad)]
+    sort_l, common_l = merge_sort(number, before, left)
+    del before
+    mask = np.zeros(n, np.int64)
+    for rel in range(tail + 1):  # windows that begin ``rel`` bytes before the anchor
+        need = tail - rel
+        valid = np.flatnonzero((left >= rel) & (right >= need))
+        if not len(valid):
+            continue
+        class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
+        class_r[sort_r] = np.cumsum(common_r < need)
+        class_l[sort_l] = np.cumsum(common_l < rel)
+        pair = class_r[valid] * (n + 1) + class_l[valid]
+        by = np.lexsort((ident[valid], pair))
+        start = np.concatenate(([True], pair[by][1:] != pair[by][:-1]))
+        least = ident[valid][by][np.flatnonzero(start)][np.cumsum(start) - 1]
+        later = valid[by][ident[valid][by] > least]
+        mask[later] |= 1 << (left[later] - rel)
+    out = np.empty(n, np.int64)
+    out[back] = mask
+    return np.flatnonzero(out), out

@@ -99,6 +99,8 @@ def test_sketch_never_underestimates():
     items = np.concatenate((items, items[:500]))
     for row in range(3):
         assert len(np.unique(sketch.cells(items, row, 20))) > 4000
+    for at in ([], [0], [5, 6, 260, 261, 516, 1000], list(range(300)), [255, 511, 100_000]):
+        assert sketch.places(sketch.gaps(np.array(at, np.int64))).tolist() == at
     assert sketch.log_width(1) == 18 and sketch.log_width(1 << 40) == 28
 
 
