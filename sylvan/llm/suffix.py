@@ -125,7 +125,7 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         yield from partial.flush()
 
     sent = spark.sparkContext.broadcast(sketch.merged(texts.select("__text").mapInArrow(first_pass, PACKET), bits))
-    slices = max(12, anchors // 8_000_000)
+    slices = max(12, anchors // 2_500_000)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(slices, width)
@@ -326,7 +326,7 @@ def merge_sort(bucket: np.ndarray, text: np.ndarray, length: np.ndarray) -> tupl
 
 
 #: Stretches that are sorted together, at most, unless one anchor has more.
-TOGETHER = 250_000
+TOGETHER = 100_000
 
 
 def _judge(payloads: Iterator[bytes], width: int) -> Iterator[pa.RecordBatch]:
