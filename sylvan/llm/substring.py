@@ -72,6 +72,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: l
     keyed = texts.select("__text", F.unhex(F.md5(F.col("__text").cast("binary"))).alias("__key"))
     flags = by_slice(keyed.mapInArrow(second_pass, PACKET), _judge, "key binary, starts binary")
     flags = durable(flags.groupBy("key").agg(F.collect_list("starts").alias("__starts")))
+    sent.destroy()  # the checkpoint needs it no more, and workers would keep it
     # Only texts that may lose something travel to their starts; a filter of the keys, bounded in size, tells them.
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("__text"), F.unhex(F.md5(whole.cast("binary"))).alias("__key"))

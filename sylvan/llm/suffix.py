@@ -144,6 +144,7 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     judge = lambda number, payloads: _judge(payloads, width)
     flags = by_slice(texts.mapInArrow(second_pass, PACKET), judge, "key binary, marks binary")
     flags = durable(flags.groupBy("key").agg(F.collect_list("marks").alias("__marks")))
+    sent.destroy()  # the checkpoint needs it no more, and workers would keep it
     # Only texts that may lose something travel to their marks; a filter of the marks' keys, bounded in size, tells them.
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("__text"), row_key.alias("__key"))
     some, others = sift(rows, "__key", flags.select("key"), n_rows)
