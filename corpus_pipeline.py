@@ -10,7 +10,7 @@ from sylvan.llm.decontaminate import contamination
 from sylvan.llm.langid import identify
 from sylvan.llm.mixing import mix
 from sylvan.llm.sharding import histogram_shards
-from sylvan.llm.simhash import one_of_each
+from sylvan.llm.similar import one_of_similar
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by SimHash fingerprints of five-word shingles: the one with the smallest doc_id."""
-    return one_of_each(docs, distance=6, shingle=5, blocks=9)
+    """One document of each group linked by pairs that share 0.8 or more of their five-word shingles: the one with the smallest doc_id."""
+    return one_of_similar(docs, similarity=0.8, shingle=5)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

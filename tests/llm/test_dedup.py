@@ -1,13 +1,15 @@
 """SimHash groups, repeated windows and strings of earlier documents, against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
-from sylvan.llm import simhash, sketch, substring, suffix
+import corpus_pipeline
+from sylvan.llm import simhash, similar, sketch, substring, suffix
 from sylvan.llm.components import connected_components
 
 
@@ -93,6 +95,48 @@ def test_one_of_each(odd_docs, no_docs):
     assert simhash.one_of_each(no_docs).collect() == []
 
 
+def slow_stay(rows, t=0.8, k=5):
+    """Ids that stay, over all pairs of texts."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} or {b" ".join(w)})
+    root = list(range(len(rows)))
+
+    def find(i):
+        return i if root[i] == i else find(root[i])
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    return sorted(min(rows[i][0] for i in range(len(rows)) if find(i) == r) for r in {find(i) for i in range(len(rows))})
+
+
+def test_pairs_of_similarity_of_four_fifths(spark, odd_docs, no_docs):
+    rng = random.Random(5)
+    line = [f"common{i}" for i in range(12)]
+    rows = []
+    for i in range(60):
+        base = [f"v{rng.randrange(3000)}" for _ in range(rng.choice((8, 40, 150, 400)))] + line * (i % 2)
+        for _ in range(rng.choice((1, 2, 5))):
+            copy = list(base)
+            for _ in range(rng.randrange(1 + len(copy) // 25)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(1000, None), (1001, " "), (1002, rows[0][1].upper())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    want = slow_stay(rows)
+    stays = sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect())
+    assert stays == want
+    simple = simhash.one_of_each(docs, distance=6, shingle=5, blocks=9).count()
+    assert len(want) < simple  # 6 bits of 64 leave edited copies
+    known = [(r.doc_id, r.text) for r in odd_docs.collect() if r.doc_id is not None]
+    kept = similar.one_of_similar(odd_docs.where("doc_id is not null"))
+    assert kept.columns == odd_docs.columns and sorted(r.doc_id for r in kept.collect()) == slow_stay(known)
+    assert similar.one_of_similar(no_docs).collect() == []
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(3)
     items = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
