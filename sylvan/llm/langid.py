@@ -59,32 +59,43 @@ def train(docs: DataFrame, text: str, lang: str, max_languages: int = 1000) -> t
     return names, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
-def mixtures(ll: np.ndarray, owner: np.ndarray, n: int, start: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def mixtures(ll: np.ndarray, owner: np.ndarray, n: int, start: np.ndarray, rounds: int | None = None, settled: float = 0.01) -> tuple[np.ndarray, np.ndarray]:
     """(proportions, log-likelihood) of n texts whose words have log-likelihoods ``ll`` by language, after EM from ``start``.
 
-    ``owner`` is sorted; a zero in ``start`` stays zero, which restricts a text to a set of languages.
+    ``owner`` is sorted; a zero in ``start`` stays zero, which restricts a text to a set of languages. A text is done when its
+    log-likelihood is within ``settled`` of the greatest one: it can't gain more than words * (largest factor of a proportion
+    in a round - 1), as it is concave in the proportions. ``rounds`` ends EM earlier.
     """
     top = ll.max(axis=1, keepdims=True)
-    like = np.exp(ll - top)
+    like = np.exp((ll - top).astype(np.float64))
     words = np.bincount(owner, minlength=n).astype(np.float64)
     first = np.searchsorted(owner, np.arange(n))
     full = words > 0
     share = start.astype(np.float64)
-    for _ in range(rounds):
-        each = like * share[owner]
-        each /= np.maximum(each.sum(axis=1, keepdims=True), 1e-300)
-        share[full] = np.add.reduceat(each, first[full], axis=0) / words[full, None]
+    open_, mine, at = np.flatnonzero(full), like, np.repeat(np.arange(int(full.sum())), words[full].astype(np.int64))
+    done = 0
+    while len(open_) and done != rounds:
+        now = share[open_]
+        mixed = np.einsum("ij,ij->i", mine, now[at])
+        begin = np.searchsorted(at, np.arange(len(open_)))
+        factor = np.add.reduceat(mine / np.maximum(mixed, 1e-300)[:, None], begin, axis=0) / words[open_, None]
+        share[open_] = now * factor
+        done += 1
+        left = words[open_] * (np.where(now > 0, factor, 0).max(axis=1) - 1) > settled
+        if not left.all():
+            pick, place = left[at], np.cumsum(left) - 1
+            open_, mine, at = open_[left], mine[pick], place[at[pick]]
     value = np.log(np.maximum((like * share[owner]).sum(axis=1), 1e-300)) + top[:, 0]
     total = np.zeros(n)
     total[full] = np.add.reduceat(value, first[full])
     return share, total
 
 
-def infer(ll: np.ndarray, owner: np.ndarray, n: int, rounds: int = 12, most: int = 4, penalty: float = 1.0) -> tuple[np.ndarray, list[list[int]]]:
+def infer(ll: np.ndarray, owner: np.ndarray, n: int, rounds: int | None = None, penalty: float = 1.0) -> tuple[np.ndarray, list[list[int]]]:
     """Proportions over all languages, and the language set of each text.
 
-    Sets are nested by proportion; the chosen one has the least -2 log-likelihood + penalty * (size - 1) * log(words). If all
-    languages together gain less over the first alone than a second one costs, the first alone is best and no set is tried.
+    Sets are nested by proportion; the chosen one has the least -2 log-likelihood + penalty * (size - 1) * log(words). Sets of any
+    size are tried, until even the likelihood of all languages together would not pay for the next size.
     """
     langs = ll.shape[1]
     share, total = mixtures(ll, owner, n, np.full((n, langs), 1 / langs), rounds)
@@ -95,8 +106,8 @@ def infer(ll: np.ndarray, owner: np.ndarray, n: int, rounds: int = 12, most: int
     one[np.arange(n), rank[:, 0]] = 1
     alone = mixtures(ll, owner, n, one, 0)[1]
     best, size = -2 * alone, np.ones(n, np.int64)
-    for k in range(2, min(most, langs) + 1):
-        open_ = np.flatnonzero(2 * (total - alone) > cost)
+    for k in range(2, langs + 1):
+        open_ = np.flatnonzero(-2 * total + (k - 1) * cost < best)
         if not len(open_):
             break
         place = np.full(n, -1)
@@ -111,11 +122,11 @@ def infer(ll: np.ndarray, owner: np.ndarray, n: int, rounds: int = 12, most: int
     return share, [rank[i, : size[i]].tolist() for i in range(n)]
 
 
-def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str = "lang", keep: list[F.Column | str] | None = None, rounds: int = 12) -> DataFrame:
+def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str = "lang", keep: list[F.Column | str] | None = None, rounds: int | None = None) -> DataFrame:
     """Columns ``keep``, then lang_pred, score and languages (the chosen set, by falling proportion), for each row of docs.
 
     lang_pred is the language with the largest proportion; score is that proportion, smoothed by half a word for each language,
-    so that few words give less. A null text, or one without a letter, is ``und`` with score 0 and no languages; so is every
+    so that few words give less. EM runs until it settles (or for ``rounds``), and sets may hold any number of languages. A null text, or one without a letter, is ``und`` with score 0 and no languages; so is every
     text if no training row has a text and a language. Ties go to the first language in code point order. Other columns play
     no part in a prediction; repeated rows get equal predictions; an empty table gives an empty one.
     """

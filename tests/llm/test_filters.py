@@ -116,6 +116,17 @@ def test_mixture_of_two_languages():
     assert abs(share[0, 0] - 0.625) < 0.02
 
 
+def test_mixture_of_six_languages():
+    ll = np.log(np.full((240, 8), 0.01) + 0.9 * (np.arange(240)[:, None] // 40 == np.arange(8)))
+    share, sets = langid.infer(ll, np.zeros(240, np.int64), 1)
+    assert sorted(sets[0]) == list(range(6))
+    close = np.log(np.array([[0.5, 0.4]] * 60 + [[0.4, 0.5]] * 40))  # languages that differ little settle late
+    share, total = langid.mixtures(close, np.zeros(100, np.int64), 1, np.array([[0.5, 0.5]]))
+    grid = np.linspace(0, 1, 2001)[:, None]
+    best = np.log(grid * np.exp(close[:, 0]) + (1 - grid) * np.exp(close[:, 1])).sum(axis=1).max()
+    assert best - total[0] < 0.011
+
+
 def slow_hmm(model, seq):
     total, start, moves, emit = 0.0, np.zeros(2), np.zeros((2, 2)), np.zeros_like(model.emit)
     for path in itertools.product(range(2), repeat=len(seq)):
