@@ -14,10 +14,16 @@ from sylvan.llm.similar import one_of_similar
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without any (null texts and texts without a letter) go. A missing lang is filled in."""
+    """Documents that a learned language explains, with the language that was inferred.
+
+    Null texts and texts without a letter go, and so do texts that the mixture of all learned languages explains no better than
+    trigrams drawn evenly. A lang that is in the inferred set of languages stays; any other, and null, becomes the language with
+    the largest proportion.
+    """
     columns = docs.columns
-    named = identify(docs, docs, keep=columns).where("lang_pred <> 'und'")
-    return named.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    named = identify(docs, docs, keep=columns, gain=True).where("lang_pred <> 'und' and gain > 0")
+    fits = F.coalesce(F.array_contains("languages", F.col("lang")), F.lit(False))
+    return named.withColumn("lang", F.when(fits, F.col("lang")).otherwise(F.col("lang_pred"))).select(*columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,6 +116,19 @@ def test_pipeline(spark):
     assert digest(whole) == digest(last)
 
 
+def test_the_language_stage_uses_what_it_infers(spark):
+    docs = table(spark, SF, "documents")
+    french = docs.where("lang = 'fr' and length(text) > 500").orderBy("doc_id").limit(1)
+    assert french.count() == 1
+    rng = np.random.default_rng(9)
+    junk = " ".join("".join(chr(0x4E00 + int(x)) for x in rng.integers(0, 20_000, 6)) for _ in range(80))
+    odd = french.selectExpr("-1L doc_id", "text", "'en' lang", "source", "n_chars").unionByName(french.selectExpr("-2L doc_id", "text", "cast(null as string) lang", "source", "n_chars"))
+    odd = odd.unionByName(spark.createDataFrame([(-3, junk, None, "s", len(junk))], "doc_id bigint, text string, lang string, source string, n_chars bigint"))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, docs.select(*odd.columns).unionByName(odd), SF).collect()}
+    assert got[-1] == "fr" and got[-2] == "fr" and -3 not in got
+    assert len(got) >= 0.95 * docs.count()
+
+
 def test_pipeline_with_odd_rows(spark, odd_docs, no_docs):
     docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:
