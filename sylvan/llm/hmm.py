@@ -35,7 +35,7 @@ class Hmm:
     def seeded(cls, states: int, classes: int, prior: np.ndarray, seed: int = 42) -> Hmm:
         noise = np.random.default_rng(seed).gamma(1.0, size=(classes, states)) + 0.1
         emit = noise * prior[:, None]
-        moves = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * 0.9
+        moves = np.random.default_rng(seed + 1).gamma(1.0, size=(states, states)) + 0.1  # without order: states that stay would hold on to it
         return cls(np.full(states, 1 / states), moves / moves.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
     @classmethod
@@ -235,6 +235,85 @@ def _sum_texts(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatc
     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in name], pa.binary()), pa.array(np.bincount(at, np.concatenate(sums)), pa.float64()), pa.array(np.bincount(at, np.concatenate(known)).astype(np.int64), pa.int64())], ["key", "logs", "n_known"])
 
 
+def _pairs(sent, parts: int):
+    """Packets of (pair codes as differences, counts): neighbouring classes, and the first class of each text after a class of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, n = sent.value
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            joined = np.concatenate(held)
+            inner = joined[:-1] * n + joined[1:]  # the edge class n stands before each text
+            code, count = np.unique(inner[joined[1:] != n], return_counts=True)
+            part = code // n * parts // (n + 1)
+            cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
+            return packets([(i, pack(np.diff(code[a:b], prepend=0), count[a:b].astype(np.int32))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b])
+
+        for b in batches:
+            for text in as_bytes(b.column(0)):
+                held += [np.array([n], np.int64), classes.of(text)]
+                size += len(held[-1])
+                if size >= 2_000_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _add_pairs(n: int):
+    def merge(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        code, count = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            codes, at = np.unique(np.concatenate([code, *(c for c, _ in held)]), return_inverse=True)
+            return codes, np.bincount(at, np.concatenate([count, *(k for _, k in held)]), len(codes)).astype(np.int64)
+
+        for p in payloads:
+            gaps, k = unpack(p, "i8", "i4")
+            held.append((np.cumsum(gaps), k.astype(np.int64)))
+            if sum(len(k) for _, k in held) > max(1_000_000, len(code)):
+                code, count = added()
+                held = []
+        code, count = added()
+        yield packets([(number, pack(np.diff(code, prepend=0), count))])
+
+    return merge
+
+
+def from_pairs(model: Hmm, pairs: np.ndarray, first: np.ndarray, prior: np.ndarray, rounds: int = 60, settled: float = 1e-5) -> Hmm:
+    """EM from ``model`` on the counts of neighbouring classes (C x C) and of first classes: a start for Baum-Welch."""
+    states, total, last = len(model.start), max(1.0, float(pairs.sum(dtype=np.float64))), -np.inf
+    share = np.full(states, 1 / states)
+    for _ in range(rounds):
+        emit = model.emit.astype(np.float32)
+        joint = (share[:, None] * model.moves).astype(np.float32)
+        moved, back = emit @ joint, emit @ joint.T
+        before, after, crossing, value = np.zeros_like(model.emit), np.zeros_like(model.emit), np.zeros_like(model.moves), 0.0
+        for a in range(0, len(pairs), 512):
+            n = pairs[a : a + 512]
+            p = np.maximum(moved[a : a + 512] @ emit.T, np.float32(1e-35))
+            value += float((n * np.log(p)).sum(dtype=np.float64))
+            x = n / p
+            right = x @ emit
+            before[a : a + 512] = x @ back
+            after += x.T @ moved[a : a + 512]
+            crossing += emit[a : a + 512].T @ right
+        began = model.start * model.emit
+        began *= (first / np.maximum(began.sum(axis=1), 1e-300))[:, None]
+        moves = joint * crossing
+        share = (moves.sum(axis=1) + 0.5) / (moves.sum() + 0.5 * states)
+        model = Hmm.from_counts(began.sum(axis=0), moves, model.emit * (before + after), prior)
+        if value - last < settled * total:
+            break
+        last = value
+    return model
+
+
 def _learn(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, model, parts = sent.value
@@ -275,12 +354,12 @@ def _score(sent, names: list[str]):
     return run
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod: int = 10, states: int = 8, frequent: int = 4096, endings: int = 1024, rounds: int = 2, sample: int = 400, sample_bytes: int = 20_000, seed: int = 42) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod: int = 10, states: int = 8, frequent: int = 4096, endings: int = 1024, rounds: int | None = None, sample: int | None = None, seed: int = 42, settled: float = 1e-3) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for each row of docs.
 
-    Rows with crc32(doc_id as text) mod ``held_mod`` of 0 are held out; all others train. Word counts, and the expected counts
-    of ``rounds`` Baum-Welch rounds, cover all training texts. Only the starting point is fitted on a bounded sample: ``sample``
-    training texts of up to ``sample_bytes`` bytes, those with the least hash.
+    Rows with crc32(doc_id as text) mod ``held_mod`` of 0 are held out; all others train. Word counts, the start of the hidden
+    states (fitted to the counts of neighbouring classes) and all Baum-Welch rounds cover all training texts. Rounds end when
+    one gains less than ``settled`` (natural log) a token, or after ``rounds`` if given. ``sample`` has no effect: nothing is sampled.
 
     A null text is empty: just the end token. An unseen word counts as the one unseen type of its class. Null ids hash as the empty
     text. Repeated rows train as often as they occur. Other columns are ignored; an empty table gives an empty one.
@@ -313,22 +392,27 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod:
     offset = np.concatenate((-np.log10(np.array([c for _, c in top]) + ADD), -np.log10(tokens + ADD * (types + 1))))
 
     training = rows.where("not held_out").select("__text")
-    # The sample is named by hash first, so that no task sends more than ``sample`` numbers; copies count as one text.
-    hashed = training.where(F.octet_length("__text") <= sample_bytes).select("__text", F.xxhash64("__text", F.lit(seed)).alias("h"))
-    names = [r[0] for r in hashed.select("h").distinct().orderBy("h").limit(sample).collect()]
-    few = hashed.where(F.col("h") <= max(names)).groupBy("h").agg(F.min("__text").alias("t")).orderBy("h").select("t").collect() if names else []
-    model = Hmm.seeded(states, len(prior), prior, seed)
-    starter = [classes.of(r[0].encode()) for r in few]
-    for _ in range(12 if starter else 0):
-        model = Hmm.from_counts(*model.batch(starter, True)[1], prior)
-    for _ in range(rounds):
+    model, n, n_tokens = Hmm.seeded(states, len(prior), prior, seed), len(prior), max(1.0, n_train)
+    near = np.zeros((n + 1, n), np.float32)
+    sent = spark.sparkContext.broadcast((classes, n))
+    for r in by_slice(training.mapInArrow(_pairs(sent, 16), PACKET), _add_pairs(n), PACKET).toLocalIterator():
+        gaps, count = unpack(bytes(r[1]), "i8", "i8")
+        near.ravel()[np.cumsum(gaps)] = count
+    model = from_pairs(model, near[:-1], near[-1], prior)
+    del near
+    last, done = -np.inf, 0
+    while done != rounds:
         sent = spark.sparkContext.broadcast((classes, model, 16))
         parts = {r[0]: bytes(r[1]) for r in by_slice(training.mapInArrow(_learn(sent), PACKET), _add, PACKET).collect()}
         if not parts:
             break
-        start, moves, _ = unpack(parts[-1], "f8", "f8", "f8")
+        start, moves, value = unpack(parts[-1], "f8", "f8", "f8")
         emit = np.concatenate([unpack(parts[i], "f8")[0].reshape(-1, states) for i in range(16)])
         model = Hmm.from_counts(start, moves.reshape(states, states), emit, prior)
+        done += 1
+        if value[0] - last < settled * n_tokens:
+            break
+        last = value[0]
     sent = spark.sparkContext.broadcast((classes, model, offset))
     names = ["doc_id", "held_out", "__key", "n_tokens", "__value"]
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, __key binary, n_tokens bigint, __value double"

@@ -155,6 +155,24 @@ def test_forward_and_expected_counts():
     assert abs(total - 1) < 1e-9
 
 
+def test_long_texts_shape_the_states(spark):
+    """Without a text of up to 20,000 bytes the states are fitted too: words that alternate are told apart by their neighbours."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join("ab"[j % 2] + "xyz"[rng.integers(3)] for j in range(8000))) for i in range(12)]
+    got = hmm.score(spark.createDataFrame(rows, "doc_id bigint, text string"), states=3, frequent=50, endings=16, held_mod=5).collect()
+    for r in got:
+        assert r.score / r.n_tokens > -0.52 and r.base_score / r.n_tokens < -0.75  # log10 3 is 0.48, log10 6 is 0.78
+
+
+def test_pair_counts_start():
+    rng = np.random.default_rng(5)
+    prior = np.full(6, 1 / 6)
+    pairs = np.zeros((6, 6))
+    pairs[:3, 3:] = pairs[3:, :3] = rng.integers(4900, 5100, (3, 3))
+    model = hmm.from_pairs(hmm.Hmm.seeded(3, 6, prior), pairs, np.array([9, 9, 9, 0, 0, 0.0]), prior, rounds=300, settled=1e-9)
+    assert model.moves.diagonal().max() < 0.05
+
+
 def test_scores(spark, odd_docs, no_docs):
     for docs in (odd_docs, table(spark, SF, "documents")):
         got = hmm.score(docs, states=3, frequent=50, endings=16, rounds=1, sample=20).collect()
