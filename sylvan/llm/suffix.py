@@ -21,6 +21,8 @@ from .common import as_bytes, durable
 from .packets import PACKET, by_slice, pack, packets, sift, unpack
 
 GRAM = 26
+#: Windows of a stretch that one mark holds.
+RUN = 32
 #: Bytes of text looked at together, and the id that null ids take, which no other id exceeds.
 PIECE, LAST = 1 << 19, (1 << 63) - 1
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -71,6 +73,16 @@ def stretches(data: np.ndarray, limits: np.ndarray, width: int) -> tuple[np.ndar
     return start, end, anchor[start], hashes[anchor[start]]
 
 
+def cut_runs(start: np.ndarray, end: np.ndarray, anchor: np.ndarray, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches cut to RUN windows at most, which is what a mark has bits for; each part keeps the anchor."""
+    many = -(-(end - start) // RUN)
+    if (many <= 1).all():
+        return start, end, anchor, hashed
+    at = np.repeat(np.arange(len(start)), many)
+    first = start[at] + RUN * (np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many))
+    return first, np.minimum(first + RUN, end[at]), anchor[at], hashed[at]
+
+
 def _pieces(texts: list[bytes], width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Byte arrays of about PIECE bytes, with each place's text number, place in the text and end of text; long texts overlap."""
     held: list[tuple[int, int, bytes]] = []
@@ -136,7 +148,7 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             for data, number, place, limits in _pieces(values, width):
                 start, end, anchor, hashed = stretches(data, limits, width)
                 pick = sketch.repeated(sent.value, hashed, bits)
-                block.add(data, start[pick], end[pick], anchor[pick], hashed[pick], number, place, keys, ids)
+                block.add(data, *cut_runs(start[pick], end[pick], anchor[pick], hashed[pick]), number, place, keys, ids)
                 if block.n + len(block.settled) // 4 >= 120_000:
                     yield from block.flush()
         yield from block.flush()
@@ -235,7 +247,7 @@ class _Block:
             who, local = np.unique(np.concatenate((np.array(owner, np.int64), mine[:, 0])), return_inverse=True)
             local = local.astype(np.int32)
             k = len(owner)
-            out.append((s, pack(names[who], b"".join(pieces), np.array([len(p) for p in pieces], np.uint8), np.array(offset, np.uint8), np.array(ident, np.int64), local[:k], np.array(place, np.int32), local[k:], mine[:, 1])))
+            out.append((s, pack(names[who], b"".join(pieces), np.array([len(p) for p in pieces], np.uint16), np.array(offset, np.uint8), np.array(ident, np.int64), local[:k], np.array(place, np.int32), local[k:], mine[:, 1])))
         if out:
             yield packets(out)
 
@@ -334,7 +346,7 @@ def _judge(payloads: Iterator[bytes], width: int) -> Iterator[pa.RecordBatch]:
     """Stretches of a slice: for each, which of its windows a smaller id has too. Yields marks by row key."""
     parts, names, n, marks = [], [], 0, []
     for p in payloads:
-        k, raw, size, offset, ident, owner, place, settled, mark = unpack(p, "u1", "u1", "u1", "u1", "i8", "i4", "i4", "i4", "i8")
+        k, raw, size, offset, ident, owner, place, settled, mark = unpack(p, "u1", "u1", "u2", "u1", "i8", "i4", "i4", "i4", "i8")
         names.append(k.reshape(-1, 16))
         marks.append((settled.astype(np.int64) + n, mark))
         parts.append((raw, size, offset, ident, owner + np.int32(n), place))

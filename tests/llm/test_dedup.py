@@ -189,6 +189,17 @@ def test_suffix(odd_docs, no_docs):
     assert suffix.remove_earlier(no_docs).collect() == []
 
 
+@pytest.mark.parametrize("width", [58, 140, 255])
+def test_suffix_of_other_widths(spark, width):
+    rng = np.random.default_rng(width)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    base = letters(1500)
+    docs = [(2, base), (5, letters(90) + base[200:900] + letters(40)), (1, base[1000 : 1000 + width] + letters(300)), (7, base[: width - 1]), (None, base), (9, "a" * 700), (4, "a" * 400)]
+    got = suffix.remove_earlier(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3), width=width).collect()
+    key = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(map(tuple, got), key=key) == sorted(slow_suffix([(i, t.encode()) for i, t in docs], width), key=key)
+
+
 def test_long_texts_are_looked_at_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = "".join(map(chr, rng.integers(97, 110, 3000)))
