@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from itertools import islice
 
 from . import tables as T
 from .parser import _COMMENT_END, ParseError, Parser, lower
@@ -26,9 +28,9 @@ def parse_errors(html: str | None, fragment: bool = False, most: int = 1000) ->
     html, n, found = reader.html, reader.n, []
 
     def add(code: str, at: int, tag: str = "", category: str = "tokenizer") -> None:
-        found.append((at, ParseError(code, html.count("\n", 0, at) + 1, at - html.rfind("\n", 0, at), category, MESSAGES[code].format(tag))))
+        found.append((at, code, tag, category))
 
-    for m in re.finditer("\0", html):
+    for m in islice(re.finditer("\0", html), most):
         add("unexpected-null-character", m.start())
     body = html.lstrip(T.SPACE)
     if not fragment and body and body[:9].lower() != "<!doctype":
@@ -43,7 +45,8 @@ def parse_errors(html: str | None, fragment: bool = False, most: int = 1000) ->
         add("unknown-doctype", n - len(body), category="treebuilder")
     open_: list[str] = []
     pos = 0
-    while m := _MARKUP.search(html, pos):
+    by_place = len(found)
+    while len(found) - by_place < most and (m := _MARKUP.search(html, pos)):  # the scan finds errors by place
         if m[1]:
             close = _COMMENT_END.search(html, m.end())
             if not close:
@@ -74,4 +77,10 @@ def parse_errors(html: str | None, fragment: bool = False, most: int = 1000) ->
                         del open_[last:]
                 if name not in T.VOID and not got[1]:
                     open_.append(name)
-    return [e for _, e in sorted(found, key=lambda x: x[0])][:most]
+    found = sorted(found, key=lambda x: x[0])[:most]
+    lines = [i for i, c in enumerate(html) if c == "\n"] if found else []
+    out = []
+    for at, code, tag, category in found:
+        line = bisect_left(lines, at)  # line ends before the place
+        out.append(ParseError(code, line + 1, at - (lines[line - 1] if line else -1), category, MESSAGES[code].format(tag)))
+    return out

@@ -13,7 +13,8 @@ from ..functions.text import strip as strip_column
 from ..html.dom import from_rows
 from ..html.rows import NodeColumns
 from ..html.transforms import apply_transforms
-from ..plans.selector import attr, plan_selector
+from ..html.select import parse_selector
+from ..plans.selector import SelectorPlan, attr, plan_selector
 from ..plans.transforms import relational, split
 from ..schema import NODES
 
@@ -21,7 +22,10 @@ __all__ = ["attr", "nodes_to_pages", "select", "select_one", "to_text", "transfo
 
 
 def select(nodes: DataFrame, selector: str, page_id: str = "page_id") -> DataFrame:
-    """Rows of the nodes that a selector finds."""
+    """Rows of the nodes that a selector finds. Without combinators that is a filter; with them nodes are read for each step, so keep them in a table."""
+    own = SelectorPlan(nodes, page_id).own(parse_selector(selector))
+    if own is not None:
+        return nodes.where(own)
     return nodes.join(plan_selector(nodes, selector, page_id), [page_id, "pre"], "left_semi")
 
 

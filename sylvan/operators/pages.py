@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
 import pyarrow as pa
@@ -14,8 +14,9 @@ from ..html.events import stream
 from ..html.parser import FragmentContext, StrictModeError, parse
 from ..html.policy import SanitizationPolicy
 from ..html.rows import NodeColumns
+from ..html.select import parse_selector
 from ..html.transforms import apply_transforms, with_sanitize
-from ..schema import ERRORS, EVENTS, NODES
+from ..schema import ATTRS, ERRORS, EVENTS, NODES
 
 #: Rows that a node batch holds at least before it is sent on.
 BATCH_ROWS = 20_000
@@ -26,6 +27,13 @@ def _pages(pages: DataFrame, page_id: str, html: str) -> tuple[DataFrame, str]:
     return rows, f"`{page_id}` {rows.schema[0].dataType.simpleString()}"
 
 
+def _sources(batch: pa.RecordBatch) -> Iterator[tuple[Any, str | None]]:
+    """(page id, source) of the pages of a batch, of which few are Python objects at a time."""
+    for at in range(0, batch.num_rows, 256):
+        part = batch.slice(at, 256)
+        yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
+
+
 def parse_html(pages: DataFrame, page_id: str = "page_id", html: str = "html", *, sanitize: bool = False, policy: SanitizationPolicy | None = None, transforms: Sequence[Any] = (), fragment: bool = False, context: FragmentContext | None = None, locations: bool = False, **options) -> DataFrame:
     """The node table of pages: one row for each node, numbered in preorder within its page (see sylvan.schema).
 
@@ -40,7 +48,7 @@ def parse_html(pages: DataFrame, page_id: str = "page_id", html: str = "html", *
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, n = NodeColumns(), 0
-            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, source in _sources(batch):
                 root = parse(source, fragment=fragment, context=context, literal=literal, track=locations, **options)
                 if specs:
                     apply_transforms(root, specs, policy=policy)
@@ -60,8 +68,8 @@ def html_events(pages: DataFrame, page_id: str = "page_id", html: str = "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made: list[dict] = []
-            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            schema, made = _EVENTS.insert(0, batch.schema.field(0)), []
+            for key, source in _sources(batch):
                 for seq, event in enumerate(stream(source)):
                     row = {page_id: key, "seq": seq, "event": event[0], "name": None, "attrs": None, "data": None, "public_id": None, "system_id": None}
                     if event[0] in ("start", "end"):
@@ -73,7 +81,11 @@ def html_events(pages: DataFrame, page_id: str = "page_id", html: str = "html")
                     else:
                         row["data"] = event[1]
                     made.append(row)
-            yield pa.RecordBatch.from_pylist(made, _EVENTS.insert(0, batch.schema.field(0)))
+                if len(made) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(made, schema)
+                    made = []
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema)
 
     return rows.mapInArrow(run, f"{ident}, {EVENTS}")
 
@@ -89,13 +101,17 @@ def html_errors(pages: DataFrame, page_id: str = "page_id", html: str = "html",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            schema, made = _ERRORS.insert(0, batch.schema.field(0)), []
+            for key, source in _sources(batch):
                 found = parse_errors(source, fragment, most)
                 if found and strict:
                     raise StrictModeError(f"page {key}: {found[0].message} at line {found[0].line}, column {found[0].column}")
                 made += [{page_id: key, "seq": i, **vars(e)} for i, e in enumerate(found)]
-            yield pa.RecordBatch.from_pylist(made, _ERRORS.insert(0, batch.schema.field(0)))
+                if len(made) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(made, schema)
+                    made = []
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema)
 
     return rows.mapInArrow(run, f"{ident}, {ERRORS}")
 
@@ -107,16 +123,57 @@ def transform_errors(pages: DataFrame, transforms: Sequence[Any] = (), page_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for key, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            schema, made = _ERRORS.insert(0, batch.schema.field(0)), []
+            for key, source in _sources(batch):
                 found: list = []
                 apply_transforms(parse(source, fragment=fragment, **options), specs, found, policy)
                 made += [{page_id: key, "seq": i, **vars(e)} for i, e in enumerate(sorted(found, key=lambda e: (e.line, e.column)))]
-            yield pa.RecordBatch.from_pylist(made, _ERRORS.insert(0, batch.schema.field(0)))
+                if len(made) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(made, schema)
+                    made = []
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema)
 
     return rows.mapInArrow(run, f"{ident}, {ERRORS}")
 
 
+_FOUND = pa.schema([("selector", pa.string()), ("seq", pa.int32()), ("name", pa.string()), ("attrs", pa.list_(_STRUCT)), ("data", pa.string()), ("text", pa.string())])
+
+
+def find_nodes(pages: DataFrame, selectors: Mapping[str, str], page_id: str = "page_id", html: str = "html", *, first: bool = False, separator: str = " ", strip: bool = True, transforms: Sequence[Any] = (), sanitize: bool = False, policy: SanitizationPolicy | None = None, **options) -> DataFrame:
+    """``page_id, selector, seq, name, attrs, data, text`` of the nodes that named selectors find in each page, numbered from 1 in its order.
+
+    For pages that aren't kept as a node table: each is parsed once for all selectors, and only matches leave the worker. ``first``
+    keeps the first match of each selector; ``text`` is the text inside a node. A null page is an empty document. Selectors have
+    the limits of ``sylvan.html.select``.
+    """
+    rows, ident = _pages(pages, page_id, html)
+    specs = with_sanitize(transforms) if sanitize else list(transforms)
+    wanted = dict(selectors)
+    for selector in wanted.values():
+        parse_selector(selector)  # errors are the caller's, before any task runs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema, made = _FOUND.insert(0, batch.schema.field(0)), []
+            for key, source in _sources(batch):
+                root = parse(source, **options)
+                if specs:
+                    apply_transforms(root, specs, policy=policy)
+                for name, selector in wanted.items():
+                    for seq, node in enumerate(root.query(selector)[: 1 if first else None], 1):
+                        attrs = [{"name": k, "value": v} for k, v in node.attrs.items()] if node.is_element else None
+                        data = node.data if isinstance(node.data, str) else None
+                        made.append({page_id: key, "selector": name, "seq": seq, "name": node.name, "attrs": attrs, "data": data, "text": node.to_text(separator, strip)})
+                if len(made) >= BATCH_ROWS:
+                    yield pa.RecordBatch.from_pylist(made, schema)
+                    made = []
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema)
+
+    return rows.mapInArrow(run, f"{ident}, selector string, seq int, name string, attrs {ATTRS}, data string, text string")
+
+
 def run(pages: DataFrame, *, selector: str | None = None, format: str = "html", first: bool = False, sanitize: bool = True, cleanup: bool = False, policy: SanitizationPolicy | None = None, transforms: Sequence[Any] = (), separator: str = " ", separator_blocks_only: bool = False, strip: bool = True, page_id: str = "page_id", html: str = "html", **options) -> DataFrame:  # noqa: A002
     """``page_id, matches, output``: each page, or the elements that a selector finds in it, as html, text or markdown.
 
@@ -134,7 +191,7 @@ def run(pages: DataFrame, *, selector: str | None = None, format: str = "html",
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, outputs = [], []
-            for source in batch.column(1).to_pylist():
+            for _, source in _sources(batch):
                 root = apply_transforms(parse(source, **options), specs, policy=policy)
                 found = root.query(selector) if selector else [root]
                 found = found[:1] if first else found

@@ -67,6 +67,12 @@ class SelectorPlan:
     def __init__(self, nodes: DataFrame, page_id: str) -> None:
         self.nodes, self.page = nodes, page_id
 
+    def own(self, selectors: tuple[Complex, ...]) -> Column | None:
+        """The selectors as one condition on a node's own columns, if they ask for no more than those."""
+        if any(len(c) > 1 or self._needs_join(c[0][1]) for c in selectors):
+            return None
+        return reduce(Column.__or__, [self._condition(c[0][1]) for c in selectors])
+
     def of(self, selectors: tuple[Complex, ...]) -> DataFrame:
         """(page, pre) of the matches, once each."""
         single = [c for c in selectors if len(c) == 1 and not self._needs_join(c[0][1])]

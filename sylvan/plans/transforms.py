@@ -1,17 +1,25 @@
-"""Transforms as DataFrame operations on the node table, where a transform's effect doesn't depend on the walk."""
+"""Transforms as DataFrame operations on the node table, where a transform's effect doesn't depend on the walk.
+
+Attributes change by expressions. What goes is found by running maxima over a page in preorder: a node goes if the farthest end of
+the dropped subtrees that began so far lies behind it. All drops share one exchange and sort, and so does the renumbering of what
+is left, page by page in Arrow.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_invisible
 from ..html import transforms as X
 from ..html.select import parse_selector
-from .selector import SelectorPlan, plan_selector
+from .selector import SelectorPlan
 
 _STRUCTURAL = (X.Drop, X.Empty, X.DropComments, X.DropDoctype)
 _ATTRIBUTES = (X.SetAttrs, X.DropAttrs, X.AllowlistAttrs, X.MergeAttrs, X.StripInvisible)
@@ -37,23 +45,33 @@ def split(transforms: Sequence[Any]) -> tuple[list[Any], list[Any]]:
 
 def relational(nodes: DataFrame, transforms: Sequence[Any], page_id: str = "page_id") -> DataFrame:
     """The node table after transforms of the relational kind. Nodes are renumbered once, if any went."""
-    gone = False
-    for s in transforms:
+    columns, going = nodes.columns, []
+    for i, s in enumerate(transforms):
         if isinstance(s, _ATTRIBUTES):
             nodes = _attributes(nodes, s, page_id)
+        elif isinstance(s, X.DropComments):
+            nodes = nodes.withColumn(f"__go{i}", F.col("kind").isin("comment", "pi"))
+            going.append(f"__go{i}")
+        elif isinstance(s, X.DropDoctype):
+            nodes = nodes.withColumn(f"__go{i}", F.col("kind") == "doctype")
+            going.append(f"__go{i}")
         else:
-            nodes, gone = _remove(nodes, s, page_id), True
-    return renumber(nodes, page_id) if gone else nodes
-
-
-def _remove(nodes: DataFrame, s: Any, page_id: str) -> DataFrame:
-    if isinstance(s, X.DropComments):
-        return nodes.where("kind not in ('comment', 'pi')")
-    if isinstance(s, X.DropDoctype):
-        return nodes.where("kind <> 'doctype'")
-    tops = nodes.join(plan_selector(nodes, s.selector, page_id), [page_id, "pre"], "left_semi").select(F.col(page_id).alias("k_page"), F.col("pre").alias("k_pre"), F.col("last").alias("k_last"))
-    after = F.col("pre") > F.col("k_pre") if isinstance(s, X.Empty) else F.col("pre") >= F.col("k_pre")
-    return nodes.join(tops, (F.col(page_id) == F.col("k_page")) & after & (F.col("pre") <= F.col("k_last")), "left_anti")
+            # a node's own attributes as they are at this point of the sequence decide
+            nodes = nodes.withColumn(f"__top{i}", F.when(SelectorPlan(nodes, page_id).own(parse_selector(s.selector)), F.col("last")))
+            going.append(f"__top{i}")
+    if not going:
+        return nodes
+    rows = Window.partitionBy(page_id).orderBy("pre")
+    gone = F.lit(False)
+    for name in going:
+        if name.startswith("__go"):
+            gone = gone | F.col(name)
+            continue
+        empty = isinstance(transforms[int(name[5:])], X.Empty)
+        reach = F.max(name).over(rows.rowsBetween(Window.unboundedPreceding, -1 if empty else 0))
+        nodes = nodes.withColumn(name, F.coalesce(reach >= F.col("pre"), F.lit(False)))
+        gone = gone | F.col(name)
+    return renumber(nodes.where(~gone).select(*columns), page_id)
 
 
 def _attributes(nodes: DataFrame, s: Any, page_id: str) -> DataFrame:
@@ -102,26 +120,50 @@ def _set_one(attrs: Column, name: str, value: Column) -> Column:
 
 def renumber(nodes: DataFrame, page_id: str = "page_id") -> DataFrame:
     """Fresh pre, last and sibling positions for a table from which whole subtrees have gone."""
-    by_page = Window.partitionBy(page_id).orderBy("pre")
-    n = nodes.withColumn("__new", F.row_number().over(by_page) - 1)
-    within = Window.partitionBy(page_id).orderBy("pre").rangeBetween(Window.unboundedPreceding, 0)
-    # the last row at or before the old end of a subtree: its new number is the subtree's new end
-    numbers = n.select(F.col(page_id).alias("m_page"), F.col("pre").alias("m_pre"), F.col("__new").alias("m_new"))
-    n = n.join(numbers.withColumnsRenamed({"m_page": "p_page", "m_pre": "p_pre", "m_new": "p_new"}), (F.col(page_id) == F.col("p_page")) & (F.col("parent_pre") == F.col("p_pre")), "left").drop("p_page", "p_pre")
-    ends = n.select(F.col(page_id), F.col("last").alias("pre"), F.lit(None).cast("int").alias("__new")).distinct()
-    seen = n.select(page_id, "pre", "__new").unionByName(ends).groupBy(page_id, "pre").agg(F.max("__new").alias("__new"))
-    seen = seen.withColumn("e_new", F.last("__new", ignorenulls=True).over(within)).select(F.col(page_id).alias("e_page"), F.col("pre").alias("e_pre"), "e_new")
-    n = n.join(seen, (F.col(page_id) == F.col("e_page")) & (F.col("last") == F.col("e_pre"))).drop("e_page", "e_pre")
-    solid = ~F.startswith("name", F.lit("#"))
-    sibs = Window.partitionBy(page_id, "p_new").orderBy("__new")
-    every = Window.partitionBy(page_id, "p_new")
-    same = Window.partitionBy(page_id, "p_new", F.lower("name")).orderBy("__new")
-    all_same = Window.partitionBy(page_id, "p_new", F.lower("name"))
-    before = F.last(F.when(solid, F.col("__new")), ignorenulls=True).over(sibs.rowsBetween(Window.unboundedPreceding, -1))
-    count = lambda w: F.when(solid & F.col("p_new").isNotNull(), F.sum(F.when(solid, 1).otherwise(0)).over(w).cast("int"))
-    content = F.when(solid | ((F.col("kind") == "text") & (F.col("data").rlike("[^\\s]"))), F.col("p_new"))
-    parents = n.where(content.isNotNull()).select(F.col(page_id).alias("c_page"), content.alias("c_pre")).distinct().withColumn("c_full", F.lit(True))
-    out = n.withColumns({"elem_idx": count(sibs), "elem_cnt": count(every), "type_idx": count(same), "type_cnt": count(all_same), "prev_elem_pre": F.when(solid & F.col("p_new").isNotNull(), before)})
-    out = out.join(parents, (F.col(page_id) == F.col("c_page")) & (F.col("__new") == F.col("c_pre")), "left")
-    out = out.withColumns({"pre": F.col("__new").cast("int"), "parent_pre": F.col("p_new").cast("int"), "last": F.col("e_new").cast("int"), "prev_elem_pre": F.col("prev_elem_pre").cast("int"), "is_empty": (F.col("kind") == "element") & F.col("c_full").isNull()})
-    return out.select(*nodes.columns)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields)
+    return nodes.groupBy(page_id).applyInArrow(_renumbered, fields)
+
+
+def _ranks(*groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place from 1, size) of each row in its group, rows being in order."""
+    n = len(groups[0])
+    order = np.lexsort((np.arange(n), *groups))
+    head = np.ones(n, bool)
+    for g in groups:
+        head[1:] &= g[order][1:] == g[order][:-1]
+    head[1:] = ~head[1:]
+    first = np.flatnonzero(head)
+    sizes = np.diff(np.append(first, n))
+    place, size = np.empty(n, np.int64), np.empty(n, np.int64)
+    place[order], size[order] = np.arange(n) - np.repeat(first, sizes) + 1, np.repeat(sizes, sizes)
+    return place, size
+
+
+def _renumbered(table: pa.Table) -> pa.Table:
+    table = table.sort_by("pre").combine_chunks()
+    pre, last = table.column("pre").to_numpy(), table.column("last").to_numpy()
+    n, top = len(pre), table.column("parent_pre").is_null().to_numpy(zero_copy_only=False)
+    parent = np.searchsorted(pre, table.column("parent_pre").fill_null(0).to_numpy())
+    names, kinds = pc.utf8_lower(table.column("name")), table.column("kind")
+    codes = pc.dictionary_encode(names).combine_chunks().indices.to_numpy() if n else np.empty(0, np.int64)
+    solid = ~pc.starts_with(names, "#").to_numpy(zero_copy_only=False)
+    placed = np.flatnonzero(solid & ~top)
+    columns = {c: np.zeros(n, np.int32) for c in ("elem_idx", "elem_cnt", "type_idx", "type_cnt", "prev_elem_pre")}
+    columns["elem_idx"][placed], columns["elem_cnt"][placed] = _ranks(parent[placed])
+    columns["type_idx"][placed], columns["type_cnt"][placed] = _ranks(codes[placed], parent[placed])
+    by_parent = placed[np.lexsort((placed, parent[placed]))]
+    columns["prev_elem_pre"][by_parent[1:]] = by_parent[:-1]
+    hidden = {c: np.ones(n, bool) for c in columns}
+    for c in columns:
+        hidden[c][placed] = c == "prev_elem_pre" and columns["elem_idx"][placed] == 1
+    written = pc.fill_null(pc.and_(pc.equal(kinds, "text"), pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(table.column("data"))), 0)), False).to_numpy(zero_copy_only=False)
+    full = np.zeros(n, bool)
+    full[parent[(solid | written) & ~top]] = True
+    is_element = pc.equal(kinds, "element").to_numpy(zero_copy_only=False)
+    new = {"pre": np.arange(n, dtype=np.int32), "last": (np.searchsorted(pre, last, side="right") - 1).astype(np.int32), "is_empty": is_element & ~full}
+    for name, values in new.items():
+        table = table.set_column(table.column_names.index(name), table.schema.field(name), pa.array(values))
+    table = table.set_column(table.column_names.index("parent_pre"), table.schema.field("parent_pre"), pa.array(parent.astype(np.int32), mask=top))
+    for name, values in columns.items():
+        table = table.set_column(table.column_names.index(name), table.schema.field(name), pa.array(values, mask=hidden[name]))
+    return table

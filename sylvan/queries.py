@@ -11,7 +11,8 @@ from .functions import text as T
 from .html import transforms as X
 from .html.policy import DEFAULT_POLICY
 from .html.urls import UrlPolicy, UrlRule
-from .operators import attr, html_errors, html_events, nodes_to_pages, parse_html, run, select, select_one, to_text, transform_nodes
+from .operators import attr, find_nodes, html_errors, html_events, nodes_to_pages, parse_html, run, select, transform_nodes
+from .sources import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,10 +20,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages dealt to all cores: a small table is one file, and parsing is work for each row."""
+    """Pages dealt to all cores where the table is so small that its files make fewer splits: parsing is work for each row."""
     pages = _table(spark, sf_dir, "pages")
     cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    small = pages._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < cores << 27
+    return pages.repartition(cores) if small else pages
 
 
 def _nodes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
@@ -30,9 +32,8 @@ def _nodes(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def page_title(spark, sf):
-    nodes = _nodes(spark, sf)
-    found = select_one(nodes, "head > title")
-    return to_text(nodes, found).select("page_id", F.col("text").alias("title"))
+    found = find_nodes(_pages(spark, sf), {"title": "head > title"}, first=True)
+    return found.select("page_id", F.col("text").alias("title"))
 
 
 def page_lang_counts(spark, sf):
@@ -41,27 +42,13 @@ def page_lang_counts(spark, sf):
 
 
 def nav_links(spark, sf):
-    nodes = _nodes(spark, sf)
-    links = select(nodes, "nav a[href]")
-    texts = to_text(nodes, links)
-    ordered = links.join(texts, ["page_id", "pre"]).select("page_id", "pre", attr("href").alias("href"), "text")
-    number = F.row_number().over(_by_page()).alias("position")
-    return ordered.select("page_id", number, "href", "text")
-
-
-def _by_page():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("page_id").orderBy("pre")
+    found = find_nodes(_pages(spark, sf), {"links": "nav a[href]"})
+    return found.select("page_id", F.col("seq").alias("position"), attr("href").alias("href"), "text")
 
 
 def nav_link_places(spark, sf):
-    nodes = _nodes(spark, sf)
-    out = None
-    for place, selector in (("first", "li:first-child > a"), ("last", "nav li:last-child > a"), ("odd", "nav li:nth-child(odd) > a"), ("third", "nav li:nth-of-type(3) a")):
-        one = select(nodes, selector).select("page_id", F.lit(place).alias("place"), attr("href").alias("href"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    places = {"first": "li:first-child > a", "last": "nav li:last-child > a", "odd": "nav li:nth-child(odd) > a", "third": "nav li:nth-of-type(3) a"}
+    return find_nodes(_pages(spark, sf), places).select("page_id", F.col("selector").alias("place"), attr("href").alias("href"))
 
 
 def comments(spark, sf):
@@ -69,8 +56,8 @@ def comments(spark, sf):
 
 
 def sibling_counts(spark, sf):
-    """Adjacent and general siblings, a list, and a negation."""
-    nodes = _nodes(spark, sf)
+    """Adjacent and general siblings, a list, and a negation, as joins over a node table that is parsed and written once."""
+    nodes = materialize(_nodes(spark, sf).select("page_id", "pre", "last", "parent_pre", "prev_elem_pre", "name", "attrs"))
     out = None
     for name, selector in (("nav ~ div.ad", "nav ~ div.ad"), ("div.ad + article", "div.ad + article"), ("h1, title", "h1, title"), ("a:not(nav a)", "a:not(nav a)")):
         one = select(nodes, selector).groupBy().agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("selector"), "n")
@@ -133,7 +120,7 @@ def encoding_labels(spark, sf):
 
 
 def relational_transforms(spark, sf):
-    """Drop, Empty, SetAttrs and DropComments as joins over the node table; then element counts of what is left."""
+    """Drop, Empty, SetAttrs and DropComments as windows over the node table; then element counts of what is left."""
     specs = [X.Drop("script, style"), X.Empty("nav"), X.SetAttrs("a", {"rel": "nofollow"}), X.DropComments()]
     left = transform_nodes(_nodes(spark, sf), specs)
     return left.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("name in ('nav', 'li', 'a', '#comment', 'script', 'style', 'article', 'title')")
@@ -171,7 +158,7 @@ def cleaned_html(spark, sf):
 
 def walked_transforms(spark, sf):
     specs = [X.Unwrap("nav li"), X.Decide(".ad", lambda n: X.Decision.DROP), X.Linkify(), X.CollapseWhitespace(), X.PruneEmpty("p, div"), X.Stage([X.Escape("b")])]
-    return nodes_to_pages(transform_nodes(_nodes(spark, sf), specs))
+    return run(_pages(spark, sf), transforms=specs, sanitize=False).select("page_id", "output")
 
 
 def page_errors(spark, sf):
@@ -179,7 +166,7 @@ def page_errors(spark, sf):
 
 
 def contains_text(spark, sf):
-    return select(_nodes(spark, sf), 'footer:contains("©")').select("page_id", "name")
+    return find_nodes(_pages(spark, sf), {"footer": 'footer:contains("©")'}).select("page_id", "name")
 
 
 def tree_dump(spark, sf):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +14,19 @@ from ..html.rows import NodeColumns
 from ..schema import NODES
 
 
+def materialize(table: DataFrame) -> DataFrame:
+    """A table written once, as Parquet in the folder that the cluster shares (spark.checkpoint.dir), for queries that read it several times."""
+    spark = table.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", "")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        folder = tempfile.mkdtemp(prefix="sylvan-")
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    table.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def pages_from_parquet(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """A Parquet table of pages. Few large files make few tasks, so pages are dealt out again if ``partitions`` says so."""
     pages = spark.read.parquet(path)
