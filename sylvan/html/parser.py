@@ -918,7 +918,7 @@ class Parser:
                 self.frameset_ok = False
                 self._merge(self.open[1], attrs)
         elif name == "frameset":
-            if len(self.open) > 1 and self.open[1].name == "body" and self.frameset_ok:
+            if len(self.open) > 1 and self.open[1].name == "body" and self.frameset_ok and _replaceable(self.open[1]):
                 self.open[1].detach()
                 del self.open[1:]
                 self._insert(name, attrs)
@@ -1679,6 +1679,20 @@ class Parser:
                             marker.children.append(copy)
 
 
+def _replaceable(body: Node) -> bool:
+    """Whether a frameset may take the place of a body: it holds only plain containers, formatting, foreign elements and blank text."""
+    pending = [(c, True) for c in body.children]
+    while pending:
+        node, plain = pending.pop()
+        if node.name == "#text":
+            if (node.data or "").strip(WS if plain else WS + "\ufffd"):
+                return False
+        elif node.ns == "html" and plain and node.name not in T.FRAMESET_BODY and not (node.name == "input" and lower(node.attrs.get("type") or "") == "hidden"):
+            return False
+        pending += [(c, plain and node.ns == "html") for c in node.children]
+    return True
+
+
 def parse(html: str | None, *, fragment: bool = False, context: FragmentContext | None = None, scripting: bool = True, iframe_srcdoc: bool = False, xml_coercion: bool = False, discard_bom: bool = True, track: bool = False, literal: bool = False) -> Node:
     """The tree of a document, or of a fragment (by default as if inside a div). None is the empty document."""
     html = html or ""

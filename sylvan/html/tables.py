@@ -13,6 +13,8 @@ def words(text: str) -> frozenset[str]:
 VOID = words("area base br col embed hr img input link meta param source track wbr")
 HEADINGS = words("h1 h2 h3 h4 h5 h6")
 FORMATTING = words("a b big code em font i nobr s small strike strong tt u")
+# Fixed values, of this engine and not of the standard: what a body may hold that a frameset replaces.
+FRAMESET_BODY = FORMATTING | words("div figure p param source track")
 SPECIAL = words(
     "address applet area article aside base basefont bgsound blockquote body br button caption center col colgroup dd details dialog"
     " dir div dl dt embed fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe img"
