@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,30 +18,81 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-#: Rows of a batch that goes to Python: texts are long, and a worker holds a batch several times over.
-BATCH_ROWS = 2000
+#: Rows, and bytes, of a batch that an operator looks at together: it holds them several times over.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder, read in a session whose Arrow batches hold BATCH_ROWS rows at most."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    """A table of a folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. Without one, a temporary folder if all runs on this machine, else an error."""
+    named = spark.conf.get("spark.checkpoint.dir", "")
+    if named:
+        return named
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="sylvan-")
 
-    A temporary folder is set only where the setting is absent, which is so in tests on one machine.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the shared folder."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", "")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sylvan-checkpoints-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def _lean() -> None:
+    """From now on arrays of 1 MB or more have pages of their own, which go back as soon as they are freed."""
+    _LIBC.mallopt(_MMAP_THRESHOLD, 1 << 20)
+
+
+def _tidy() -> None:
+    """Give freed memory back to the system, so that a worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    _LIBC.malloc_trim(0)
+
+
+#: glibc's name for the size from which an array has pages of its own.
+_MMAP_THRESHOLD = -3
+
+
+class _NoLibc:
+    """Where the C library isn't the GNU one, memory is left to its own rules."""
+
+    def mallopt(self, *_: int) -> None: ...
+
+    def malloc_trim(self, *_: int) -> None: ...
+
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:
+    _LIBC = _NoLibc()
+
+
+def arrow_map(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` in batches of bounded size, whose workers give large arrays back to the system as soon as they are freed, and the rest at a task's end."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, min(BATCH_ROWS, batch.num_rows * BATCH_BYTES // max(BATCH_BYTES, batch.nbytes)))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+    def lean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
+        try:
+            yield from run(cut(batches))
+        finally:
+            _tidy()
+
+    return rows.mapInArrow(lean, schema)
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.large_binary()).to_pylist()
@@ -69,8 +123,7 @@ def packed_mask(starts: np.ndarray, width: int, n: int) -> np.ndarray:
 def written(df: DataFrame) -> DataFrame:
     """Write a table as Parquet into the shared checkpoint folder and read it back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="sylvan-tables-")
-    path = f"{folder}/sylvan-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/sylvan-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

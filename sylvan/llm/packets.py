@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
+from .common import arrow_map
+
 PACKET = "slice int, payload binary"
 
 
@@ -52,7 +55,7 @@ def by_slice(sent: DataFrame, merge: Callable[[int, Iterator[bytes]], Iterator[p
             for _ in stream:
                 pass
 
-    return sent.repartition("slice").sortWithinPartitions("slice").mapInArrow(run, schema)
+    return arrow_map(sent.repartition("slice").sortWithinPartitions("slice"), run, schema)
 
 
 FILTER_SLICE = 1 << 20
@@ -74,7 +77,7 @@ def key_filter(keys: DataFrame, rows: int, most: int = 26) -> tuple[np.ndarray,
             yield packets([(s, pack(np.packbits(bits)))])
 
     out = np.zeros((1 << width) // 8, np.uint8)
-    for s, payload in by_slice(keys.mapInArrow(run, PACKET), _either, PACKET).toLocalIterator():
+    for s, payload in by_slice(arrow_map(keys, run, PACKET), _either, PACKET).toLocalIterator():
         out[s * FILTER_SLICE // 8 : (s + 1) * FILTER_SLICE // 8] = unpack(bytes(payload), "u1")[0]
     return out, width
 
@@ -109,4 +112,59 @@ def sift(rows: DataFrame, key: str, keys: DataFrame, n_rows: int) -> tuple[DataF
 
         return run
 
-    return rows.mapInArrow(half(True), schema), rows.mapInArrow(half(False), schema)
+    return arrow_map(rows, half(True), schema), arrow_map(rows, half(False), schema)
+
+
+def block_slice(uid: int) -> int:
+    """Slice by which what belongs to a block of a task meets again."""
+    return uid & 0x7FFFFFFF
+
+
+def block_uid(partition: int, block: int) -> int:
+    return xxhash.xxh64_intdigest(f"{partition}:{block}") >> 1
+
+
+def head_packet(uid: int, names: np.ndarray, owner: np.ndarray, mark: np.ndarray) -> tuple[int, bytes]:
+    """What a block knows itself: the names (16 bytes) of its texts, and marks of some. Goes past the judges of the slices, as slice below 0."""
+    return -1 - (uid & 1023), pack(np.array([uid, 1], np.int64), names, owner.astype(np.int32), mark.astype(np.int64))
+
+
+def mark_packets(uids: np.ndarray, owner: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """What a slice's judge found, block by block: marks of texts, each named by its number in the block."""
+    if not len(uids):
+        return
+    order = np.argsort(uids, kind="stable")
+    uids, owner, mark = uids[order], owner[order], mark[order]
+    first, out = np.flatnonzero(np.concatenate(([True], uids[1:] != uids[:-1]))), []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(uids)], strict=True):
+        uid = int(uids[a])
+        out.append((block_slice(uid), pack(np.array([uid, 0], np.int64), b"", owner[a:b].astype(np.int32), mark[a:b].astype(np.int64))))
+    yield packets(out)
+
+
+def past(payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """Head packets on their way to their blocks."""
+    for p in payloads:
+        yield packets([(block_slice(int(unpack(p, "i8", "bytes", "i4", "i8")[0][0])), p)])
+
+
+def gathered(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """``key, marks`` of each text of a block that has marks, each mark once: what the block knew and what the slices' judges found."""
+    names: dict[int, np.ndarray] = {}
+    marks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for p in payloads:
+        (uid, is_head), raw, owner, mark = unpack(p, "i8", "bytes", "i4", "i8")
+        if is_head:
+            names[int(uid)] = np.frombuffer(raw, "V16")
+        marks.setdefault(int(uid), []).append((owner, mark))
+    for uid, parts in marks.items():
+        owner, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((mark, owner))
+        owner, mark = owner[order], mark[order]
+        fresh = np.concatenate(([True], (owner[1:] != owner[:-1]) | (mark[1:] != mark[:-1]))) if len(owner) else np.empty(0, bool)
+        owner, mark = owner[fresh], mark[fresh]
+        first = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else np.empty(0, np.int64)
+        ends = [*first[1:].tolist(), len(owner)]
+        for i in range(0, len(first), 5_000):
+            cut = list(zip(first[i : i + 5_000].tolist(), ends[i : i + 5_000], strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array([names[uid][owner[a]].tobytes() for a, _ in cut], pa.binary()), pa.array([mark[a:b].tobytes() for a, b in cut], pa.binary())], ["key", "marks"])

@@ -50,7 +50,7 @@ def _bits(at: np.ndarray) -> np.ndarray:
 class Partial:
     """The sketch of one task's items, kept as sorted cells and flushed as packets of (cells seen once, cells seen more often)."""
 
-    def __init__(self, width: int, flush_items: int = 5_000_000) -> None:
+    def __init__(self, width: int, flush_items: int = 3_000_000) -> None:
         self.width, self.flush_items, self.items, self.n = width, flush_items, [], 0
 
     def add(self, items: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -85,19 +85,25 @@ def _merge(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
     yield packets([(number, zstandard.compress(twice.tobytes(), 1))])
 
 
-def merged(partials: DataFrame, width: int) -> np.ndarray:
-    """Bits of the cells whose merged count is two or more: an array of rows x bytes, on the driver, of a size that ``width`` bounds."""
+def merged(partials: DataFrame, width: int) -> bytes:
+    """Bits of the cells whose merged count is two or more, row by row, on the driver; ``width`` bounds their number.
+
+    They are bytes because a worker reads those from a broadcast without a second copy.
+    """
     bits = np.zeros((len(ROWS), (1 << width) // 8), np.uint8)
     for number, payload in by_slice(partials, _merge, "slice int, payload binary").toLocalIterator():
         row, s = number >> 16, number & 0xFFFF
         bits[row, s * SLICE // 8 : (s + 1) * SLICE // 8] = np.frombuffer(zstandard.decompress(bytes(payload)), np.uint8)
-    return bits
+    return bits.tobytes()
 
 
-def repeated(bits: np.ndarray, items: np.ndarray, width: int) -> np.ndarray:
+def repeated(bits: bytes, items: np.ndarray, width: int) -> np.ndarray:
     """True where the estimated count of an item is two or more; true for every item that is repeated."""
-    out = np.ones(len(items), bool)
-    for row in range(len(ROWS)):
-        at = cells(items, row, width)
-        out &= (bits[row, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    rows = np.frombuffer(bits, np.uint8).reshape(len(ROWS), -1)
+    left = np.arange(len(items))
+    for row in range(len(ROWS)):  # few items pass the first row where most occur once
+        at = cells(items[left], row, width)
+        left = left[(rows[row][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(items), bool)
+    out[left] = True
     return out

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import as_bytes, durable, packed_mask, word_starts
-from .packets import PACKET, by_slice, pack, packets, sift, unpack
+from .common import arrow_map, as_bytes, durable, packed_mask, word_starts
+from .packets import PACKET, block_uid, by_slice, gathered, head_packet, mark_packets, pack, packets, past, sift, unpack
 
 
 def window_hashes(words: list[bytes], width: int) -> np.ndarray:
@@ -27,7 +28,7 @@ def window_hashes(words: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(first[:n].tolist(), last[width - 1 :].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: list[str] | None = None, most_bits: int = 28, entries_per_slice: int = 3_000_000, cleaned: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: list[str] | None = None, most_bits: int = 28, entries_per_slice: int = 500_000, cleaned: bool = False) -> DataFrame:
     """Columns ``keep``, then n_words, n_removed, kept_sha256, and with ``cleaned`` the kept words joined by single spaces.
 
     A word goes if a window of ``width`` words of its document that covers it has a word sequence that also starts elsewhere,
@@ -55,11 +56,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: l
                 yield from partial.add(window_hashes(value.split(), width)[:, 0])
         yield from partial.flush()
 
-    sent = spark.sparkContext.broadcast(sketch.merged(texts.mapInArrow(first_pass, PACKET), bits))
+    sent = spark.sparkContext.broadcast(sketch.merged(arrow_map(texts, first_pass, PACKET), bits))
     slices = max(8, total // 6 // 3 // entries_per_slice)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(slices)
+        block = _Block(TaskContext.get().partitionId(), slices)
         for batch in batches:
             for value, key in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 hashes = window_hashes(value.split(), width)
@@ -70,8 +71,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: l
         yield from block.flush()
 
     keyed = texts.select("__text", F.unhex(F.md5(F.col("__text").cast("binary"))).alias("__key"))
-    flags = by_slice(keyed.mapInArrow(second_pass, PACKET), _judge, "key binary, starts binary")
-    flags = durable(flags.groupBy("key").agg(F.collect_list("starts").alias("__starts")))
+    judged = by_slice(arrow_map(keyed, second_pass, PACKET), _judge, PACKET)
+    # equal texts of several blocks have equal marks, so one row of them tells all
+    flags = durable(by_slice(judged, gathered, "key binary, marks binary").groupBy("key").agg(F.max("marks").alias("__starts")))
     sent.destroy()  # the checkpoint needs it no more, and workers would keep it
     # Only texts that may lose something travel to their starts; a filter of the keys, bounded in size, tells them.
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
@@ -79,7 +81,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: l
     some, others = sift(rows, "__key", flags.select("key"), n_rows)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]]
     joined = some.join(flags, F.col("__key") == F.col("key"), "left").select(*rows.columns[:-1], "__starts")
-    others = others.select(*rows.columns[:-1], F.lit(None).cast("array<binary>").alias("__starts"))
+    others = others.select(*rows.columns[:-1], F.lit(None).cast("binary").alias("__starts"))
     schema = ", ".join([*fields, "n_words bigint", "n_removed bigint", "kept_sha256 string", *(["kept string"] if cleaned else [])])
 
     def last_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,7 +91,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: l
                 words = value.split()
                 n.append(len(words))
                 if starts:
-                    mask = packed_mask(np.frombuffer(b"".join(starts), np.int32).astype(np.int64), width, len(words))
+                    mask = packed_mask(np.frombuffer(starts, np.int64), width, len(words))
                     words = [words[i] for i in np.flatnonzero(~mask).tolist()]
                 gone.append(n[-1] - len(words))
                 left = b" ".join(words)
@@ -99,14 +101,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", width: int = 35, keep: l
             out = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.string())] if cleaned else [])]
             yield pa.RecordBatch.from_arrays(out, [*keep, "n_words", "n_removed", "kept_sha256", *(["kept"] if cleaned else [])])
 
-    return joined.mapInArrow(last_pass, schema).unionByName(others.mapInArrow(last_pass, schema))
+    return arrow_map(joined, last_pass, schema).unionByName(arrow_map(others, last_pass, schema))
 
 
 class _Block:
     """Windows of some documents of a task: those repeated among them are settled, the others are dealt out with their places."""
 
-    def __init__(self, slices: int) -> None:
-        self.slices = slices
+    def __init__(self, partition: int, slices: int) -> None:
+        self.partition, self.number, self.slices = partition, 0, slices
         self._clear()
 
     def _clear(self) -> None:
@@ -129,54 +131,41 @@ class _Block:
         if not self.n:
             return
         hashes, owner, place = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        keys, weight = np.frombuffer(b"".join(self.keys), np.uint8).reshape(-1, 16), np.array(self.weight)
+        names, weight, uid = np.frombuffer(b"".join(self.keys), np.uint8), np.array(self.weight), block_uid(self.partition, self.number)
+        self.number += 1
         self._clear()
-        order = np.lexsort((hashes[:, 1], hashes[:, 0]))
-        hashes, owner, place = hashes[order], owner[order], place[order]
+        to = (hashes[:, 0] % np.uint64(self.slices)).astype(np.int32)
+        order = np.lexsort((hashes[:, 1], hashes[:, 0], to))
+        hashes, owner, place, to = hashes[order], owner[order], place[order], to[order]
         head = np.concatenate(([True], (hashes[1:] != hashes[:-1]).any(axis=1)))
         first = np.flatnonzero(head)
-        count = np.add.reduceat(weight[owner], first)
-        many = np.repeat(count > 1, np.diff(np.concatenate((first, [len(owner)]))))
-        to = (hashes[:, 0] % np.uint64(self.slices)).astype(np.int32)
-        out = []
-        for s in range(self.slices):
-            here = to == s
-            one, known, flagged = here & ~many, here & many & head, here & many
-            who, owner_here = np.unique(owner[one | flagged], return_inverse=True)
-            numbers = np.empty(len(owner), np.int32)
-            numbers[one | flagged] = owner_here
-            if here.any():
-                out.append((s, pack(keys[who], hashes[one], numbers[one], place[one], hashes[known], numbers[flagged], place[flagged])))
+        many = np.repeat(np.add.reduceat(weight[owner], first) > 1, np.diff(np.concatenate((first, [len(owner)]))))
+        out = [head_packet(uid, names, owner[many], place[many])]
+        cuts = np.searchsorted(to, np.arange(self.slices + 1)).tolist()
+        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                one, known = ~many[a:b], many[a:b] & head[a:b]
+                out.append((s, pack(np.array([uid], np.int64), hashes[a:b][one], owner[a:b][one], place[a:b][one], hashes[a:b][known])))
         yield packets(out)
 
 
 def _judge(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-    """Entries of a slice: digests met in two packets are repeated. Yields the starts of repeated windows by text key."""
-    keys, hashes, owners, places, n = [], [], [], [], 0
+    """Entries of a slice: digests met in two packets are repeated. Yields packets of starts of repeated windows, by block."""
+    if number < 0:
+        yield from past(payloads)
+        return
+    hashes, blocks, owners, places, uids = [], [], [], [], []
     for p in payloads:
-        k, h, o, w, known, settled, at = unpack(p, "u1", "u8", "i4", "i4", "u8", "i4", "i4")
-        k = k.reshape(-1, 16)
-        yield from _flagged(k, settled, at)
-        keys.append(k)
+        uid, h, o, w, known = unpack(p, "i8", "u8", "i4", "i4", "u8")
         hashes += [h.reshape(-1, 2), known.reshape(-1, 2)]
-        owners += [o + n, np.full(len(known) // 2, -1)]
-        places += [w, np.full(len(known) // 2, -1)]
-        n += len(k)
-    hashes, owners, places = np.concatenate(hashes), np.concatenate(owners), np.concatenate(places)
+        blocks.append(np.full(len(o) + len(known) // 2, len(uids), np.int32))
+        owners += [o, np.full(len(known) // 2, -1, np.int32)]
+        places += [w, np.full(len(known) // 2, -1, np.int32)]
+        uids.append(int(uid[0]))
+    hashes, blocks, owners, places = (np.concatenate(x) for x in (hashes, blocks, owners, places))
     order = np.lexsort((hashes[:, 1], hashes[:, 0]))
-    same = (hashes[order][1:] == hashes[order][:-1]).all(axis=1)
-    twice = np.concatenate((same, [False])) | np.concatenate(([False], same))
-    chosen = order[twice]
+    hashes = hashes[order]
+    same = (hashes[1:] == hashes[:-1]).all(axis=1)
+    chosen = order[np.concatenate((same, [False])) | np.concatenate(([False], same))]
     chosen = chosen[owners[chosen] >= 0]
-    yield from _flagged(np.concatenate(keys), owners[chosen], places[chosen])
-
-
-def _flagged(keys: np.ndarray, owners: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    order = np.argsort(owners, kind="stable")
-    owners, places = owners[order], places[order].astype(np.int32)
-    first = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1]))) if len(owners) else np.empty(0, np.int64)
-    for i in range(0, len(first), 20_000):
-        cut = first[i : i + 20_000].tolist()
-        ends = [*first[i + 1 : i + 20_001].tolist(), *([len(owners)] if i + 20_000 >= len(first) else [])]
-        names = [keys[owners[a]].tobytes() for a in cut]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([places[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], ["key", "starts"])
+    yield from mark_packets(np.array(uids, np.int64)[blocks[chosen]], owners[chosen], places[chosen])
