@@ -7,6 +7,7 @@ from enum import Enum
 
 from . import tables as T
 from .dom import Node
+from .pretty import Printer
 from .text import escape_attr_value, escape_js_string, escape_text, escape_url_value, neutralize_end_tags
 
 _TAG = re.compile(r"[A-Za-z][^\t\n\f\r />]*\Z")
@@ -42,7 +43,6 @@ LAYOUT = frozenset(
     " h4 h5 h6 header hgroup hr html iframe li listing main marquee menu nav noframes noscript ol p plaintext pre search section summary"
     " table tbody td tfoot th thead tr ul".split()
 )
-MOST_INDENT = 64
 
 
 class HTMLContext(Enum):
@@ -122,74 +122,15 @@ def compact(root: Node, **options) -> str:
     return "".join(out)
 
 
-def _inline(nodes: list[Node]) -> bool:
-    """Whether breaking the line between these siblings would show: text, or two inline elements that touch."""
-    if any(n.name == "#text" and n.data.strip() for n in nodes):
-        return True
-    solid = [n for n in nodes if n.ns is not None or n.name == "#text"]
-    return any(a.ns is not None and b.ns is not None and a.name not in LAYOUT and b.name not in LAYOUT for a, b in zip(solid, solid[1:], strict=False))
-
-
 def pretty(root: Node, indent: int = 0, indent_size: int = 2, **options) -> str:
-    """One node a line where that adds no visible space; deeper levels than MOST_INDENT share its indentation."""
-    lines: list[str] = []
-    pad = lambda depth: " " * (indent_size * min(depth, MOST_INDENT))
-    pending: list[tuple[Node | str, int]] = [(root, indent)]
-    while pending:
-        node, depth = pending.pop()
-        if isinstance(node, str):
-            lines.append(pad(depth) + node)
-            continue
-        if node.ns is None and not node.name.startswith("#document"):
-            text = leaf(node)
-            if node.name == "#text":
-                text = " ".join(text.split())
-            if text:
-                lines.append(pad(depth) + text)
-            continue
-        children = [*(node.content.children if node.content is not None else ()), *node.children]
-        if node.ns is None:
-            pending += [(c, depth) for c in reversed(children)]
-            continue
-        open_ = start_tag(node.name, node.attrs, ns=node.ns, **options)
-        if node.ns == "html" and node.name in T.VOID:
-            lines.append(pad(depth) + open_)
-        elif not children:
-            lines.append(f"{pad(depth)}{open_}</{node.name}>")
-        elif node.name in T.PRESERVE_SPACE:
-            lines.append(pad(depth) + compact(node, **options))
-        elif all(c.name == "#text" for c in children):
-            lines.append(f"{pad(depth)}{open_}{' '.join(''.join(map(leaf, children)).split())}</{node.name}>")
-        elif any(c.name in LAYOUT for c in children if c.ns is not None) or not _inline(children):
-            lines.append(pad(depth) + open_)
-            pending.append((f"</{node.name}>", depth))
-            runs: list[list[Node]] = []
-            for c in children:
-                if c.ns is None or c.name in LAYOUT or not _inline(children):
-                    if c.name == "#text" and runs and runs[-1] and runs[-1][-1].name == "#text":
-                        runs[-1].append(c)
-                    elif c.name == "#text" and runs and not _apart(runs[-1][-1]):
-                        runs[-1].append(c)
-                    else:
-                        runs.append([c])
-                elif runs and not _apart(runs[-1][-1]):
-                    runs[-1].append(c)
-                else:
-                    runs.append([c])
-            for run in reversed(runs):
-                if len(run) == 1:
-                    pending.append((run[0], depth + 1))
-                elif text := " ".join("".join(compact(c, **options) for c in run).split()):
-                    pending.append((text, depth + 1))
-        else:
-            inner = "".join(compact(c, **options) for c in children)
-            lines.append(f"{pad(depth)}{open_}{inner.strip(T.SPACE)}</{node.name}>")
-    return "\n".join(lines)
+    """One node a line where that adds no visible space."""
 
+    def text(data: str, parent: Node | None) -> str:
+        if parent is not None and parent.ns == "html" and (name := parent.name.lower()) in T.RAW_OUTPUT:
+            return data if name == "plaintext" else neutralize_end_tags(data, name)
+        return escape_text(data)
 
-def _apart(node: Node) -> bool:
-    """Whether a line may break after this sibling."""
-    return (node.ns is not None and node.name in LAYOUT) or node.name in ("#comment", "#pi", "!doctype") or (node.name == "#text" and not node.data.strip())
+    return Printer(root, LAYOUT, indent_size, lambda n: start_tag(n.name, n.attrs, ns=n.ns, **options), leaf, text).print(root, indent)
 
 
 def to_html(root: Node, pretty_print: bool = False, *, context: HTMLContext = HTMLContext.HTML, quote: str = '"', indent: int = 0, indent_size: int = 2, **options) -> str:

@@ -30,6 +30,7 @@ CLOSES_P = words(
     " p search section summary ul"
 )
 BLOCK_END = CLOSES_P - {"p"} | words("button listing pre select")
+# Fixed values, of this engine and not of the standard: where white space stays, where blocks trim it, and whose text is written raw.
 PRESERVE_SPACE = words("code pre script style textarea")
 TRIM_BLOCKS = words(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2"

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import golden
 from .functions import text as T
 from .html import transforms as X
 from .html.policy import DEFAULT_POLICY
@@ -133,9 +134,6 @@ def decoded_pages(spark, sf):
     return pages.select("page_id", got.alias("d")).select("page_id", F.col("d.encoding").alias("encoding"), F.md5("d.html").alias("digest"))
 
 
-# Without SQL: what no query language says about a page.
-
-
 def sanitized_html(spark, sf):
     return run(_pages(spark, sf)).select("page_id", "output")
 
@@ -192,6 +190,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _BARE = "regexp_replace(html, '<script>.*?</script>', '', 'gs')"
 _COUNT = "len(regexp_extract_all({}, '{}'))"
 
+#: The parts of a generated page: n and p say how texts look in HTML output and as plain text, d how many <b> are open around a paragraph.
+_N = "replace(replace(replace({}, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·')"
+_P = "replace(replace(replace(" + _N + ", '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_M = r"regexp_replace(replace(replace(" + _P + r", '&', '&amp;'), '<', '&lt;'), '([\\`*_\[\]])', '\\\1', 'g')"
+#: Addresses that end in a known domain, linked.
+_MAIL = r"""regexp_replace({}, '([A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.(com|net|org))', '<a href="mailto:\1">\1</a>', 'g')"""
+#: White space as the indented form writes it.
+_W = r"regexp_replace({}, '\s+', ' ', 'g')"
+_PARTS = f"""
+    page AS (SELECT page_id, {_BARE} AS h, html, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
+        regexp_extract(html, '<script>(.*?)</script>', 1) AS script, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h1, regexp_extract(html, '<footer>([^<]*)', 1) AS footer,
+        regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<li><a href="([^"]*)">([^<]*)</a>', 2) AS names,
+        regexp_extract_all(html, '<!--(.*?)-->', 1) AS notes, regexp_extract_all(html, '<div class="ad">([^<]*)</div>', 1) AS ads FROM pages),
+    par AS (SELECT page_id, unnest(range(1, len(t) + 1)) AS i, CAST(unnest(b) = '<p><b>' AS INTEGER) AS b, unnest(t) AS t
+        FROM (SELECT page_id, regexp_extract_all(h, '<p>(?:<b>)?') AS b, regexp_extract_all(h, '<p>(?:<b>)?([^<]*)', 1) AS t FROM page)),
+    deep AS (SELECT *, CAST(least(sum(b) OVER (PARTITION BY page_id ORDER BY i) - b, 3) + b AS INTEGER) AS d FROM par),
+    body AS (SELECT page_id, CAST(least(sum(b), 3) AS INTEGER) AS o,
+        string_agg('<p>' || repeat('<b>', d) || {_N.format("t")} || repeat('<br>', b) || repeat('</b>', d) || '</p>', '' ORDER BY i) AS html_p,
+        string_agg(trim({_P.format("t")}), chr(10) ORDER BY i) AS text_p,
+        string_agg('<p>' || repeat('&lt;b&gt;', d) || {_MAIL.format("trim(" + _W.format(_N.format("t")) + ")")} || repeat('<br>', b) || '</p>', '' ORDER BY i) AS walk_p,
+        string_agg(CASE WHEN d = 0 THEN '    <p>' || trim({_W.format(_N.format("t"))}) || '</p>' ELSE '    <p>' || chr(10) || CASE WHEN b = 0 THEN '      ' || repeat('<b>', d) || {_W.format(_N.format("t"))} || repeat('</b>', d) || chr(10)
+            ELSE list_aggregate(list_transform(range(1, d), lambda k: repeat('  ', CAST(k AS INTEGER) + 2) || '<b>' || chr(10)) || [''], 'string_agg', '') || repeat('  ', d + 2) || '<b>' || {_W.format(_N.format("t"))} || '<br></b>' || chr(10)
+                || list_aggregate(list_transform(range(1, d), lambda k: repeat('  ', d + 2 - CAST(k AS INTEGER)) || '</b>' || chr(10)) || [''], 'string_agg', '') END || '    </p>' END, chr(10) ORDER BY i) AS fine_p,
+        string_agg(repeat('**', d) || trim({_M.format("t")}) || repeat('**', d), chr(10) || chr(10) ORDER BY i) AS mark_p,
+        string_agg('|       <p>' || chr(10) || list_aggregate(list_transform(range(0, d), lambda k: '| ' || repeat('  ', CAST(k AS INTEGER) + 4) || '<b>' || chr(10)), 'string_agg', '')
+            || '| ' || repeat('  ', d + 4) || '"' || {_P.format("t")} || '"' || repeat(chr(10) || '| ' || repeat('  ', d + 4) || '<br>', b), chr(10) ORDER BY i) AS tree_p FROM deep GROUP BY page_id),
+    whole AS (SELECT * FROM page JOIN body USING (page_id))"""
+_LIST = "list_aggregate(list_transform(range(1, len({0}) + 1), lambda i: {1}), 'string_agg', {2})"
+_ITEMS = _LIST.format("names", "'<li><a href=\"' || hrefs[i] || '\">' || " + _N.format("names[i]") + " || '</a></li>'", "''")
+_ADS = "coalesce(" + _LIST.format("ads", "'<div class=\"ad\">' || " + _N.format("ads[i]") + " || '</div>'", "''") + ", '')"
+_CONTENT = f"'<ul>' || {_ITEMS} || '</ul>' || {_ADS} || '<h1>' || {_N.format('h1')} || '</h1>' || html_p || repeat('<b>', o) || {_N.format('footer')} || repeat('</b>', o)"
+
 ORACLES: dict[str, str] = {
     "page_title": """
         SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS title
@@ -256,5 +286,44 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'article', CAST(sum(len(regexp_extract_all(html, '<article>'))) AS BIGINT) FROM pages
         UNION ALL SELECT 'title', CAST(sum(len(regexp_extract_all(html, '<title>'))) AS BIGINT) FROM pages
         UNION ALL SELECT * FROM (SELECT 'a', CAST(sum(len(regexp_extract_all(html, '<a href='))) - sum(len(regexp_extract_all(html, '<li><a href='))) AS BIGINT) AS n FROM pages) WHERE n > 0""",
+    "page_errors": "SELECT 'unexpected-end-tag' AS code, CAST(sum(len(regexp_extract_all(html, '<script>[^<]*</p>'))) AS BIGINT) AS n FROM pages",
+    "contains_text": "SELECT page_id, 'footer' AS name FROM pages WHERE html LIKE '%<footer>%&copy;%'",
+    "sanitized_html": f"""
+        WITH {_PARTS}
+        SELECT page_id, '<!DOCTYPE html><html lang="' || lang || '"><head><title>' || {_N.format("title")} || '</title></head><body>' || {_CONTENT} || '</body></html>' AS output FROM whole""",
+    "cleaned_html": f"""
+        WITH {_PARTS}
+        SELECT page_id, 1 AS matches, {_N.format("title")} || {_CONTENT} AS output FROM whole""",
+    "page_text": f"""
+        WITH {_PARTS}
+        SELECT page_id, trim({_P.format("title")}) || chr(10) || {_P.format("array_to_string(list_transform(names || ads || [h1], lambda x: trim(x)), chr(10))")}
+            || chr(10) || text_p || chr(10) || trim({_P.format("footer")}) AS text FROM whole""",
+    "page_markdown": f"""
+        WITH {_PARTS}
+        SELECT page_id, 1 AS matches, '# ' || trim({_M.format("h1")}) || chr(10) || chr(10) || mark_p AS output FROM whole""",
+    "pretty_html": f"""
+        WITH {_PARTS}
+        SELECT page_id, array_to_string(['<!DOCTYPE html>', '<html lang="' || lang || '">', '  <head>', '    <title>' || trim({_W.format(_N.format("title"))}) || '</title>', '  </head>', '  <body>', '    <ul>']
+            || list_transform(range(1, len(names) + 1), lambda i: '      <li>' || chr(10) || '        <a href="' || hrefs[i] || '">' || trim({_W.format(_N.format("names[i]"))}) || '</a>' || chr(10) || '      </li>') || ['    </ul>']
+            || list_transform(ads, lambda x: '    <div class="ad">' || trim({_W.format(_N.format("x"))}) || '</div>') || ['    <h1>' || trim({_W.format(_N.format("h1"))}) || '</h1>', fine_p,
+            '    ' || repeat('<b>', o) || trim({_W.format(_N.format("footer"))}) || repeat('</b>', o), '  </body>', '</html>'], chr(10)) AS output FROM whole""",
+    "walked_transforms": rf"""
+        WITH {_PARTS}
+        SELECT page_id, '<!DOCTYPE html><html lang="' || lang || '"><head><meta charset="utf-8"><title>' || {_W.format(_N.format("title"))} || '</title><style>p{{margin:0}}</style><script>' || script || '</script></head><body><nav><ul>'
+            || {_LIST.format("names", "'<a href=\"' || hrefs[i] || '\">' || " + _W.format(_N.format("names[i]")) + " || '</a>'", "''")} || '</ul></nav>' || {_LIST.format("notes", "'<!--' || notes[i] || '-->'", "''")}
+            || '<article><h1>' || trim({_W.format(_N.format("h1"))}) || '</h1>' || walk_p || '</article><footer>' || repeat('&lt;b&gt;', o)
+            || regexp_replace({_W.format(_N.format("footer"))}, '([a-z0-9-]+(\.[a-z0-9-]+)*\.(com|net|org))', '<a href="http://\1">\1</a>') || '</footer></body></html>' AS output FROM whole""",
+    "tree_dump": f"""
+        WITH {_PARTS}
+        SELECT page_id, array_to_string(['| <!DOCTYPE html>', '| <html>', '|   lang="' || lang || '"', '|   <head>', '|     <meta>', '|       charset="utf-8"', '|     <title>', '|       "' || {_P.format("title")} || '"',
+            '|     <style>', '|       "p{{margin:0}}"', '|     <script>', '|       "' || script || '"', '|   <body>', '|     <nav>', '|       <ul>']
+            || list_transform(range(1, len(names) + 1), lambda i: '|         <li>' || chr(10) || '|           <a>' || chr(10) || '|             href="' || {_P.format("hrefs[i]")} || '"' || chr(10) || '|             "' || {_P.format("names[i]")} || '"')
+            || list_transform(range(1, len(ads) + 1), lambda i: '|     <!-- ' || notes[i] || ' -->' || chr(10) || '|     <div>' || chr(10) || '|       class="ad"' || chr(10) || '|       "' || {_P.format("ads[i]")} || '"')
+            || ['|     <article>', '|       <h1>', '|         "' || {_P.format("h1")} || '"', tree_p, '|     <footer>']
+            || list_transform(range(0, o), lambda k: '| ' || repeat('  ', CAST(k AS INTEGER) + 3) || '<b>') || ['| ' || repeat('  ', o + 3) || '"' || {_P.format("footer")} || '"'], chr(10)) AS output FROM whole""",
+    "srcset_clean": "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') OR url NOT LIKE '%:%' THEN url || ' 1x, /x.png 2x' END AS srcset FROM pages",
     "decoded_pages": "SELECT page_id, 'utf-8' AS encoding, md5(html) AS digest FROM pages",
 }
+
+QUERIES.update(golden.QUERIES)
+ORACLES.update(golden.ORACLES)
