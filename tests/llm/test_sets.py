@@ -145,3 +145,27 @@ def test_registered_queries(spark, name):
     from sylvan.llm.queries import QUERIES
 
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_equal_codes_and_many_queries(spark):
+    """A dense group of one code costs what k of its rows cost, and more queries don't make a larger plan."""
+    rng = np.random.default_rng(3)
+    codes = ["01" * 32] * 5000 + ["".join(map(str, rng.integers(0, 2, 64))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate(codes)), "id bigint, code string").repartition(4)
+    got = hamming.top_k(frame, frame.where("id % 100 = 0"), k=5, rows_per_index=2000, query_block=8)
+    found = {}
+    for r in got.collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.distance, r.neighbor_id))
+    assert set(found) == set(range(0, 5300, 100))
+    for q, rows in found.items():
+        far = sorted((sum(a != b for a, b in zip(codes[q], c)), i) for i, c in enumerate(codes))[:5]
+        assert sorted(rows) == [(j + 1, d, i) for j, (d, i) in enumerate(far)]
+    plan = lambda f: f._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    assert plan(got) == plan(hamming.top_k(frame, frame.where("id = 0"), k=5, rows_per_index=2000, query_block=8))
+
+
+def test_a_hundred_thousand_equal_codes():
+    bits = np.tile(np.array([0, 1], np.uint8), (100_000, 32))
+    index, ids, _ = hamming._index([(np.arange(100_000)[::-1], np.zeros(100_000, bool), np.packbits(bits, axis=1))], 64, 10, 12)
+    rows, far = index.search(bits[:100], 10)
+    assert index.n == 10 and (far == 0).all() and (np.sort(ids[rows], axis=1) == np.arange(10)).all()
