@@ -11,6 +11,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, doc_crc, durable
+from .common import arrow_map, as_bytes, doc_crc, durable
 from .packets import PACKET, by_slice, pack, packets, unpack
 
 END = b"\n"  # no word contains it
@@ -139,11 +140,15 @@ def batches_of(texts: Iterator[tuple[object, np.ndarray]], tokens: int = 250_000
     yield from cut()
 
 
-def _word_blocks(slices: int):
-    """Packets of (text keys, words, occurrences): each word once for a block of texts, with the texts it occurs in."""
+def _word_blocks(slices: int, hot: list[bytes], most: int):
+    """Packets of (text keys, words, occurrences): each word once for a block of texts, with the texts it occurs in.
+
+    ``hot`` words occur in so many texts that their occurrences would fill a slice: of them only counts travel, as packet -1.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, block = TaskContext.get().partitionId() << 20, 0
+        hot_at, hot_counts = {w: i for i, w in enumerate(hot)}, np.zeros(len(hot), np.int64)
         keys: dict[bytes, int] = {}
         weight: list[int] = []
         words: dict[bytes, int] = {}
@@ -156,7 +161,10 @@ def _word_blocks(slices: int):
             t = np.repeat(np.arange(len(keys), dtype=np.int32), [len(x) for x in word_at])
             c, trained = np.concatenate(times), np.array(weight, np.int64)
             spelled = list(words)
-            slice_of = np.fromiter((zlib.crc32(x) % slices for x in spelled), np.int64, len(spelled))
+            hot_of = np.fromiter(map(hot_at.get, spelled, repeat(-1)), np.int64, len(spelled))
+            common = hot_of[w] >= 0
+            np.add.at(hot_counts, hot_of[w[common]], (c * trained[t])[common])
+            slice_of = np.fromiter((-1 if x in hot_at else zlib.crc32(x) % slices for x in spelled), np.int64, len(spelled))
             order = np.lexsort((w, slice_of[w]))
             w, t, c = w[order], t[order], c[order]
             cuts, out = np.searchsorted(slice_of[w], np.arange(slices + 1)), []
@@ -180,23 +188,30 @@ def _word_blocks(slices: int):
                 word_at.append(np.fromiter((words.setdefault(x, len(words)) for x in counted), np.int64, len(counted)))
                 times.append(np.fromiter(counted.values(), np.int64, len(counted)))
                 n += len(counted)
-                if n >= 2_000_000:
+                if n >= most:
                     yield flush()
                     block += 1
                     keys, weight, words, word_at, times, n = {}, [], {}, [], [], 0
         if keys:
             yield flush()
+        if hot_counts.any():
+            yield packets([(-1, pack(hot_counts))])
 
     return run
 
 
-def _count(frequent: int, endings: int):
+def _count(hot: int, frequent: int, endings: int):
     """For a slice of the words: exact training counts; then, for each block, its texts' sums of log10(count + ADD) and known tokens.
 
-    Yields one row of statistics (kind 1) and one of sums for each block (kind 0).
+    Yields rows of kind 0, sums of a block's texts; 1, counts and numbers of words by ending; 2, the slice's most frequent words;
+    and for slice -1 of kind 3, the counts of the hot words.
     """
+    row = lambda kind, uid, payload: pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([uid], pa.int64()), pa.array([payload], pa.binary())], ["kind", "uid", "payload"])
 
     def merge(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+        if number < 0:
+            yield row(3, 0, pack(sum((unpack(p, "i8")[0] for p in payloads), np.zeros(hot, np.int64))))
+            return
         known: dict[bytes, int] = {}
         counts = np.zeros(1 << 16)
         held = []
@@ -207,32 +222,61 @@ def _count(frequent: int, endings: int):
                 counts = np.concatenate((counts, np.zeros(max(len(counts), len(known)))))
             counts[at] += np.bincount(word, times * weight[owner], len(at))
             held.append((int(uid[0]), p, at))
-        row = lambda kind, uid, payload: pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([uid], pa.int64()), pa.array([payload], pa.binary())], ["kind", "uid", "payload"])
         counts = counts[: len(known)]
         logs = np.log10(counts + ADD)
         for uid, p, at in held:
             _, keys, _, _, word, owner, times = unpack(p, "i8", "u1", "i8", "bytes", "i4", "i4", "i4")
             here = at[word]
             n = len(keys) // 16
-            yield row(0, uid, pack(keys, np.bincount(owner, logs[here] * times, n), np.bincount(owner, (counts[here] > 0) * times, n).astype(np.int64)))
+            yield row(0, uid, pack(np.array([uid], np.int64), keys, np.bincount(owner, logs[here] * times, n), np.bincount(owner, (counts[here] > 0) * times, n).astype(np.int64)))
         words = list(known)
         seen = np.flatnonzero(counts > 0)
-        top = sorted(seen.tolist(), key=lambda i: (-counts[i], words[i]))[:frequent] if len(seen) <= 4 * frequent else sorted(seen[np.argpartition(-counts[seen], frequent)[: 2 * frequent]].tolist(), key=lambda i: (-counts[i], words[i]))[:frequent]
+        top = seen if len(seen) <= frequent else seen[counts[seen] >= np.partition(counts[seen], len(seen) - frequent)[len(seen) - frequent]]
+        top = sorted(top.tolist(), key=lambda i: (-counts[i], words[i]))[:frequent]
         kinds = np.fromiter((ending_class(words[i], endings) for i in seen.tolist()), np.int64, len(seen))
-        yield row(1, number, pack(b" ".join([words[i] for i in top]), counts[top], np.bincount(kinds, counts[seen], endings), np.bincount(kinds, minlength=endings).astype(np.float64)))
+        yield row(1, 0, pack(np.bincount(kinds, counts[seen], endings), np.bincount(kinds, minlength=endings).astype(np.float64)))
+        for i in top:
+            yield row(2, int(counts[i]), words[i])
 
     return merge
 
 
 def _sum_texts(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-    keys, sums, known = [], [], []
+    """Sums of each text of each block over all slices of words. A text that several blocks hold has equal sums in each."""
+    keys, blocks, sums, known = [], [], [], []
     for p in payloads:
-        k, s, n = unpack(p, "u1", "f8", "i8")
+        uid, k, s, n = unpack(p, "i8", "u1", "f8", "i8")
         keys.append(k.view("V16"))
+        blocks.append(np.full(len(s), uid[0], np.int64))
         sums.append(s)
         known.append(n)
-    name, at = np.unique(np.concatenate(keys), return_inverse=True)
-    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in name], pa.binary()), pa.array(np.bincount(at, np.concatenate(sums)), pa.float64()), pa.array(np.bincount(at, np.concatenate(known)).astype(np.int64), pa.int64())], ["key", "logs", "n_known"])
+    keys, blocks = np.concatenate(keys), np.concatenate(blocks)
+    both = np.rec.fromarrays([keys, blocks.view("V8")]).view("V24")
+    name, at = np.unique(both, return_inverse=True)
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()[:16] for x in name], pa.binary()), pa.array(np.bincount(at, np.concatenate(sums)), pa.float64()), pa.array(np.bincount(at, np.concatenate(known)).astype(np.int64), pa.int64())], ["key", "logs", "n_known"])
+
+
+def _add_endings(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    total = None
+    for p in payloads:
+        now = unpack(p, "f8", "f8")
+        total = now if total is None else [a + b for a, b in zip(total, now, strict=True)]
+    yield packets([(number, pack(*total))])
+
+
+def _hot_words(rows: DataFrame, n_rows: int, sample: int = 5_000, most: int = 4096) -> list[bytes]:
+    """Words that occur in one of 200 texts or more, as far as a sample of texts tells; which words these are decides only how counts travel."""
+    some = rows.where(F.pmod(F.xxhash64("__key"), F.lit(max(1, n_rows // sample))) == 0).select("__key", "__text")
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in as_bytes(batch.column(1)):
+                words = list(set(text.lower().split()))
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary())], ["word"])
+
+    found = arrow_map(some.dropDuplicates(["__key"]), spelled, "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    found = found.where(F.col("n") >= max(3, sample // 200)).orderBy(F.desc("n"), "word").limit(most).collect()
+    return [END, *(bytes(r.word) for r in found)]
 
 
 def _pairs(sent, parts: int):
@@ -338,23 +382,31 @@ def _add(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(sent, names: list[str]):
+    """Model log10 probability, and the hot words' share of the sums of log10(count + ADD) and of the known tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, model, offset = sent.value
+        classes, model, offset, hot, hot_logs, hot_known = sent.value
 
-        def rows() -> Iterator[tuple[dict, np.ndarray]]:
+        def rows() -> Iterator[tuple[tuple, np.ndarray]]:
             for b in batches:
-                kept = b.select(list(range(1, b.num_columns))).to_pylist()
-                yield from zip(kept, map(classes.of, as_bytes(b.column(0))), strict=True)
+                kept = zip(*(b.column(i).to_pylist() for i in range(1, b.num_columns)), strict=True)
+                for row, text in zip(kept, as_bytes(b.column(0)), strict=True):
+                    words = text.lower().split()
+                    words.append(END)
+                    at = np.fromiter(map(hot.get, words, repeat(-1)), np.int64, len(words))
+                    yield (*row, float(hot_logs[at].sum()), int(hot_known[at].sum())), np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
 
         for kept, texts in batches_of(rows()):
             value, _ = model.batch(texts, False)
             value = value / np.log(10) + [offset[t].sum() for t in texts]
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[n] for k in kept]) for n in names[:-3]), pa.array([k["__key"] for k in kept], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array(value, pa.float64())], names)
+            columns = [*zip(*kept, strict=True)]
+            kinds = [None, pa.bool_(), pa.binary(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)), pa.array([len(t) for t in texts], pa.int64()), pa.array(value, pa.float64())], names)
 
     return run
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod: int = 10, states: int = 8, frequent: int = 4096, endings: int = 1024, rounds: int | None = None, sample: int | None = None, seed: int = 42, settled: float = 1e-3) -> DataFrame:
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod: int = 10, states: int = 8, frequent: int = 4096, endings: int = 1024, rounds: int | None = None, sample: int | None = None, seed: int = 42, settled: float = 1e-3, slices: int | None = None, block_words: int = 2_000_000) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for each row of docs.
 
     Rows with crc32(doc_id as text) mod ``held_mod`` of 0 are held out; all others train. Word counts, the start of the hidden
@@ -367,19 +419,28 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod:
     spark = docs.sparkSession
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(whole.alias("__text"), F.unhex(F.md5(whole.cast("binary"))).alias("__key"), F.col(f"`{doc_id}`").alias("doc_id"), (doc_crc(F.col(f"`{doc_id}`")) % held_mod == 0).alias("held_out"))
-    total = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    slices = max(12, total >> 29)
-    blocks = rows.select("__text", "__key", F.when(F.col("held_out"), 0).otherwise(1).alias("train")).mapInArrow(_word_blocks(slices), PACKET)
-    counted = durable(by_slice(blocks, _count(frequent, endings), "kind int, uid bigint, payload binary"))
-    known = by_slice(counted.where("kind = 0").select(F.pmod(F.xxhash64("uid"), F.lit(1 << 30)).cast("int").alias("slice"), "payload"), _sum_texts, "key binary, logs double, n_known bigint")
+    total, n_rows = rows.agg(F.coalesce(F.sum(F.octet_length("__text")), F.lit(0)), F.count(F.lit(1))).first()
+    slices = slices or max(12, total >> 26)
+    hot = _hot_words(rows, n_rows)
+    marked = rows.select("__text", "__key", F.when(F.col("held_out"), 0).otherwise(1).alias("train"))
+    blocks = arrow_map(marked, _word_blocks(slices, hot, block_words), PACKET)
+    counted = durable(by_slice(blocks, _count(len(hot), frequent, endings), "kind int, uid bigint, payload binary"))
+    deal = F.pmod(F.xxhash64("uid"), F.lit(max(64, slices))).cast("int")
+    known = by_slice(counted.where("kind = 0").select(deal.alias("slice"), "payload"), _sum_texts, "key binary, logs double, n_known bigint")
     known = known.groupBy("key").agg(F.max("logs").alias("logs"), F.max("n_known").alias("n_known"))
 
-    top: list[tuple[bytes, float]] = []
-    tokens, types = np.zeros(endings), np.zeros(endings)
-    for r in counted.where("kind = 1").select("payload").toLocalIterator():
-        words, c, n, v = unpack(bytes(r[0]), "bytes", "f8", "f8", "f8")
-        top += zip(words.split(b" ") if len(c) else [], c.tolist(), strict=True)
-        tokens, types = tokens + n, types + v
+    tokens, types, hot_counts = np.zeros(endings), np.zeros(endings), np.zeros(len(hot), np.int64)
+    for r in counted.where("kind = 3").select("payload").collect():
+        hot_counts = hot_counts + unpack(bytes(r[0]), "i8")[0]
+    for r in by_slice(counted.where("kind = 1").select(F.lit(0).alias("slice"), "payload"), _add_endings, PACKET).collect():
+        tokens, types = unpack(bytes(r[1]), "f8", "f8")
+    seen_hot = [(w, float(c)) for w, c in zip(hot, hot_counts.tolist(), strict=True) if c > 0]
+    tokens, types = tokens.copy(), types.copy()
+    for w, c in seen_hot:
+        k = ending_class(w, endings)
+        tokens[k], types[k] = tokens[k] + c, types[k] + 1
+    best = counted.where("kind = 2").select("uid", "payload").orderBy(F.desc("uid"), "payload").limit(frequent).collect()
+    top = seen_hot + [(bytes(r.payload), float(r.uid)) for r in best]
     n_train, n_types = tokens.sum(), types.sum()
     top = sorted(top, key=lambda x: (x[0] != END, -x[1], x[0]))[:frequent]
     for w, c in top:
@@ -395,7 +456,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod:
     model, n, n_tokens = Hmm.seeded(states, len(prior), prior, seed), len(prior), max(1.0, n_train)
     near = np.zeros((n + 1, n), np.float32)
     sent = spark.sparkContext.broadcast((classes, n))
-    for r in by_slice(training.mapInArrow(_pairs(sent, 16), PACKET), _add_pairs(n), PACKET).toLocalIterator():
+    for r in by_slice(arrow_map(training, _pairs(sent, 16), PACKET), _add_pairs(n), PACKET).toLocalIterator():
         gaps, count = unpack(bytes(r[1]), "i8", "i8")
         near.ravel()[np.cumsum(gaps)] = count
     model = from_pairs(model, near[:-1], near[-1], prior)
@@ -403,7 +464,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod:
     last, done = -np.inf, 0
     while done != rounds:
         sent = spark.sparkContext.broadcast((classes, model, 16))
-        parts = {r[0]: bytes(r[1]) for r in by_slice(training.mapInArrow(_learn(sent), PACKET), _add, PACKET).collect()}
+        parts = {r[0]: bytes(r[1]) for r in by_slice(arrow_map(training, _learn(sent), PACKET), _add, PACKET).collect()}
         if not parts:
             break
         start, moves, value = unpack(parts[-1], "f8", "f8", "f8")
@@ -413,12 +474,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod:
         if value[0] - last < settled * n_tokens:
             break
         last = value[0]
-    sent = spark.sparkContext.broadcast((classes, model, offset))
-    names = ["doc_id", "held_out", "__key", "n_tokens", "__value"]
-    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, __key binary, n_tokens bigint, __value double"
-    scored = rows.select("__text", "doc_id", "held_out", "__key").mapInArrow(_score(sent, names), kinds)
+    hot_logs, hot_known = np.append(np.log10(hot_counts + ADD), 0.0), np.append(hot_counts > 0, False)
+    sent = spark.sparkContext.broadcast((classes, model, offset, {w: i for i, w in enumerate(hot)}, hot_logs, hot_known))
+    names = ["doc_id", "held_out", "__key", "__hot_logs", "__hot_known", "n_tokens", "__value"]
+    kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, __key binary, __hot_logs double, __hot_known bigint, n_tokens bigint, __value double"
+    scored = arrow_map(rows.select("__text", "doc_id", "held_out", "__key"), _score(sent, names), kinds)
     unit = float(np.log10(n_train + ADD * (n_types + 1)))
-    return scored.join(known, F.col("__key") == F.col("key")).select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(int(round(n_train))).cast("bigint").alias("train_tokens"),
-        (F.col("logs") - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("__value") + F.col("logs")).alias("score"),
+    logs = F.coalesce("logs", F.lit(0.0)) + F.col("__hot_logs")  # a text of hot words alone has no sums
+    return scored.join(known, F.col("__key") == F.col("key"), "left").select(
+        "doc_id", "held_out", "n_tokens", (F.coalesce("n_known", F.lit(0)) + F.col("__hot_known")).alias("n_known"), F.lit(int(round(n_train))).cast("bigint").alias("train_tokens"),
+        (logs - F.col("n_tokens") * F.lit(unit)).alias("base_score"), (F.col("__value") + logs).alias("score"),
     )

@@ -193,3 +193,47 @@ def test_scores(spark, odd_docs, no_docs):
     big = [r for r in got if r.held_out]
     assert sum(r.score for r in big) > sum(r.base_score for r in big)  # on held-out texts the states help
     assert hmm.score(no_docs).collect() == []
+
+
+def tiny_corpus():
+    rng = np.random.default_rng(11)
+    texts = [" ".join(rng.choice(["a", "b", "cat", "hat", "dog", "fog", "x"], rng.integers(0, 6))) for _ in range(40)]
+    return [(i, t) for i, t in enumerate([*texts, texts[0], texts[1], "never seen"])]
+
+
+def test_scores_against_enumeration(spark):
+    """The whole model, from counts to scores, by loops over all state sequences."""
+    rows = tiny_corpus()
+    got = {r.doc_id: r for r in hmm.score(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), states=2, frequent=4, endings=8, rounds=2).collect()}
+    split = lambda t: [*t.encode().split(), b"\n"]
+    train = [split(t) for i, t in rows if zlib.crc32(str(i).encode()) % 10]
+    count = Counter(w for t in train for w in t)
+    top = sorted(count, key=lambda w: (w != b"\n", -count[w], w))[:4]
+    kind = lambda w: top.index(w) if w in top else len(top) + zlib.crc32(w[-3:]) % 8
+    total, types = np.zeros(8), np.zeros(8)
+    for w, c in count.items():
+        if w not in top:
+            total[kind(w) - len(top)] += c
+            types[kind(w) - len(top)] += 1
+    prior = np.concatenate(([count[w] for w in top], total)) + 0.1
+    prior /= prior.sum()
+    pairs, first = np.zeros((len(prior), len(prior))), np.zeros(len(prior))
+    for t in train:
+        first[kind(t[0])] += 1
+        for a, b in zip(t, t[1:]):
+            pairs[kind(a), kind(b)] += 1
+    model = hmm.from_pairs(hmm.Hmm.seeded(2, len(prior), prior, 42), pairs.astype(np.float32), first.astype(np.float32), prior)
+    for _ in range(2):
+        parts = [slow_hmm(model, [kind(w) for w in t]) for t in train]
+        model = hmm.Hmm.from_counts(*(sum(p[i] for p in parts) for i in (1, 2, 3)), prior)
+    for i, text in rows:
+        words = split(text)
+        inside = sum(0 if w in top else math.log10((count[w] + 0.1) / (total[kind(w) - len(top)] + 0.1 * (types[kind(w) - len(top)] + 1))) for w in words)
+        assert abs(got[i].score - (slow_hmm(model, [kind(w) for w in words])[0] / math.log(10) + inside)) < 1e-4
+
+
+def test_blocks_that_share_a_slice_add_up_apart(spark):
+    rows = tiny_corpus() * 3
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    found = [sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in hmm.score(docs, states=2, frequent=4, endings=8, rounds=1, **small).collect()) for small in ({}, {"slices": 1, "block_words": 5})]
+    assert found[0] == found[1]
