@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, attach, durable, row_hash, word_starts
-from .components import connected_components
+from .common import arrow_map, as_bytes, attach, durable, row_hash, word_starts
+from .components import connected_components, pairs_across
 
 BITS = 64
 
@@ -51,7 +51,7 @@ def with_fingerprint(docs: DataFrame, text: str, keep: list[str], shingle: int =
             fps = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fps], [*keep, "fp"])
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)
 
 
 def block_keys(distance: int, blocks: int | None = None) -> list[list[tuple[int, int]]]:
@@ -62,10 +62,29 @@ def block_keys(distance: int, blocks: int | None = None) -> list[list[tuple[int,
     return [list(c) for c in combinations(spans, blocks - distance)]
 
 
-def _key(number: int, spans: list[tuple[int, int]]) -> F.Column:
-    """One bigint for each (combination, block values): a hash may merge two keys, which only proposes more pairs."""
-    parts = [F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in spans]
-    return F.xxhash64(F.lit(number), *parts)
+def exploded_keys(prints: DataFrame, distance: int, blocks: int | None = None) -> DataFrame:
+    """Adds ``number`` (the block combination) and ``key`` to rows with ``fp``: one row for each combination.
+
+    A key is a hash of the combination's number and block values; two keys with one hash only propose more pairs. Rows are dealt
+    out first: they are few bytes each, and the keys are many.
+    """
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    value = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
+    keys = [F.struct(F.lit(i).alias("number"), F.xxhash64(F.lit(i), *[value(*s) for s in spans]).alias("key")) for i, spans in enumerate(block_keys(distance, blocks))]
+    return prints.repartition(parts, "fp").withColumn("k", F.explode(F.array(*keys))).select(*prints.columns, "k.number", "k.key")
+
+
+def narrower_keys(distance: int, blocks: int | None = None) -> F.Column:
+    """Array of keys inside a bucket: the bits outside its blocks, cut into distance + 1 parts, of which a near pair shares one."""
+    rest = []
+    for spans in block_keys(distance, blocks):
+        taken = {b for shift, width in spans for b in range(shift, shift + width)}
+        left = [b for b in range(BITS) if b not in taken]
+        edges = [round(i * len(left) / (distance + 1)) for i in range(distance + 2)]
+        masks = [sum(1 << b for b in left[x:y]) for x, y in zip(edges, edges[1:], strict=False)]
+        rest.append([m - (1 << BITS) if m >> (BITS - 1) else m for m in masks])
+    masks = F.element_at(F.array(*[F.array(*[F.lit(m).cast("bigint") for m in part]) for part in rest]), F.col("number") + 1)
+    return F.transform(masks, lambda m, i: F.xxhash64(i, F.col("fp").bitwiseAND(m)))
 
 
 def near_groups(fingerprints: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
@@ -73,24 +92,21 @@ def near_groups(fingerprints: DataFrame, distance: int = 4, blocks: int | None =
 
     1. Every key's bucket gets a pivot, chosen by hash so that buckets of one dense cluster have different pivots; members
        within the distance are linked to it. That joins dense clusters with as many links as members.
-    2. Buckets that still hold members of different groups are joined with themselves, only across groups, and verified.
+    2. In buckets that still hold several groups, members outside the largest one meet those of other groups by narrower
+       keys, and are verified.
     No pair is lost: a pair in one group already needs no link of its own, a pair across groups is compared in step 2.
     """
     fps = fingerprints.select("fp").where("fp is not null").distinct()
-    keyed = fps.select("fp", F.explode(F.array(*[_key(i, s) for i, s in enumerate(block_keys(distance, blocks))])).alias("key"))
+    keyed = exploded_keys(fps, distance, blocks)
     pivots = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("fp", "key").alias("r"), "fp")).alias("p"))
     pivots = pivots.where("n > 1").select("key", F.col("p.fp").alias("pivot"))
     near = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
     crowded = durable(keyed.join(pivots, "key"))
     star = crowded.where((F.col("fp") != F.col("pivot")) & near("fp", "pivot")).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
     roots = connected_components(star)
-    named = crowded.select("key", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
-    named = durable(named)
-    mixed = named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = named.join(mixed, "key", "left_semi")
-    left, right = open_.select("key", F.col("fp").alias("a"), F.col("root").alias("u")), open_.select("key", F.col("fp").alias("b"), F.col("root").alias("v"))
-    across = left.join(right, "key").where((F.col("u") < F.col("v")) & near("a", "b")).select("u", "v")
-    joined = connected_components(across)
+    named = crowded.select("key", "number", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "number", "fp", F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"))
+    across = pairs_across(durable(named), [], narrower_keys(distance, blocks)).where(near("a_node", "b_node"))
+    joined = connected_components(across.select(F.col("a_root").alias("u"), F.col("b_root").alias("v")))
     final = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     known = final.select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root"))
     fresh = joined.join(roots, "node", "left_anti").select(F.col("node").alias("fp"), "root")
@@ -113,16 +129,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.join(named, "fp").select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 5, seed: int = 42, blocks: int | None = None) -> DataFrame:
+def one_of_each(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", distance: int = 4, shingle: int = 5, seed: int = 42, blocks: int | None = None, similarity: float | None = None
+) -> DataFrame:
     """The rows of docs that stay when one of each near-duplicate group is kept: that with the smallest id, nulls last.
 
+    Two rows are linked if their fingerprints differ in ``distance`` bits at most. With ``similarity`` they are linked if they share
+    that part or more of all distinct shingles of both, whatever their distance: fingerprints then link most copies cheaply, each
+    link being checked on the shingles, and ``similar.similar_groups`` adds exactly the pairs that are farther apart.
+
     Rows with that id are told apart by a hash of all columns; of wholly equal rows one stays. Columns are those of docs.
     """
-    named = docs.withColumn("__hash", row_hash(docs))
-    rows = durable(with_fingerprint(named, text, [doc_id, "__hash"], shingle, seed))
-    roots = near_groups(rows, distance, blocks)
-    order = F.struct(F.col(doc_id).isNull().alias("a"), F.col(doc_id).alias("b"), F.col("__hash").alias("c"))
-    each = rows.join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), order.alias("o"))
+    if similarity is None:
+        named = docs.select(F.col(f"`{doc_id}`").alias("__id"), row_hash(docs).alias("__hash"), F.col(f"`{text}`").cast("string").alias("__text"))
+        rows = durable(with_fingerprint(named, "__text", ["__id", "__hash"], shingle, seed))
+        roots, group = near_groups(rows, distance, blocks), "fp"
+    else:
+        from .similar import named_sets, similar_groups
+
+        rows, group = durable(named_sets(docs, doc_id, text, shingle)), "sid"
+        roots = similar_groups(docs, rows, text, similarity, shingle, distance, blocks)
+    order = F.struct(F.col("__id").isNull().alias("a"), F.col("__id").alias("b"), F.col("__hash").alias("c"))
+    each = rows.join(roots, group, "left").select(F.coalesce("root", group).alias("root"), order.alias("o"))
     first = each.groupBy("root", "o").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.min(F.struct("o", "n")).alias("m"))
-    decided = first.select(F.col("m.o.b").alias("__id"), F.col("m.o.c").alias("__hash"), F.col("m.n").alias("__rows"), F.lit(1).alias("__stay"))
-    return attach(docs, decided, doc_id, "__stay").drop("__stay")
+    decided = first.select(F.col("m.o.b").alias("__id"), F.col("m.o.c").alias("__hash"), F.col("m.n").alias("__rows"))
+    return attach(docs, decided, doc_id)

@@ -1,6 +1,8 @@
-"""Groups of texts whose sets of word shingles are similar, by an exact prefix-filtered join.
+"""Groups of texts whose sets of word shingles are similar: SimHash links first, then an exact check that leaves no pair out.
 
-All shingles have one global order. Two sets of similarity (shared / all shingles) t or more share one of the first n - ceil(t * n) + 1
+SimHash fingerprints of the sets meet by pigeonhole blocks; pairs within the distance are verified on the whole sets and linked.
+Fingerprints of pairs just similar enough differ in many bits (about 10 of 64 at 0.8), more than blocks can cover. So a
+prefix-filtered join completes the links between the groups that SimHash made: all shingles have one global order. Two sets of similarity (shared / all shingles) t or more share one of the first n - ceil(t * n) + 1
 shingles of each, so these are the join keys. Shingles that a sketch says occur once come first and, as nothing can meet by
 them, are never sent; those that are common in a sample come last. The order decides only the cost: every candidate is
 verified on the whole sets, and no pair is left out.
@@ -18,9 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import as_bytes, attach, durable, row_hash
-from .components import connected_components
+from .common import arrow_map, as_bytes, durable, row_hash
+from .components import connected_components, pairs_across
 from .packets import PACKET, sift
+from .simhash import exploded_keys, one_of_each
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts in the sample that tells common shingles, occurrences there that make one common, and the most that are sent.
@@ -71,12 +74,46 @@ def _signed(values: list[int] | np.ndarray) -> pa.Array:
     return pa.array(np.array(values, np.uint64).view(np.int64))
 
 
-def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: float, shingle: int) -> DataFrame:
-    """``sid``, ``root`` of the shingle sets that have a similar one; others are left out. ``rows`` has ``__hash``, ``sid`` and ``n`` of all rows.
+def set_fingerprint(values: np.ndarray) -> int:
+    """64-bit SimHash of a set of shingle hashes: a bit is 1 if it is set in over half of them; of the text without words, 0."""
+    ones = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(values)).tobytes(), "big")
 
-    As in ``simhash.near_groups``: every key's bucket gets a pivot, members similar to it are linked, and buckets that still
-    hold several groups are joined with themselves across groups. Pairs that can't be similar by their sizes and the places
-    of the shared key are dropped before their sets are fetched.
+
+#: Words of 64 bits of a set's parity signature.
+PARITY = 4
+
+
+def parity(values: np.ndarray) -> np.ndarray:
+    """Bits that say of each of 64 * PARITY classes of shingles whether a set has an odd number of them.
+
+    Two sets that differ in d shingles have signatures that differ in d bits at most, so many different bits rule a pair out.
+    """
+    return np.packbits(np.bincount((values >> np.uint64(17)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1 == 1).view(">i8").astype(np.int64)
+
+
+def named_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """``__id, __hash, sid, n, fp, q0 ...`` of every row: the name, size, fingerprint and parity signature of its shingle set."""
+    named = docs.select(F.col(f"`{doc_id}`").alias("__id"), row_hash(docs).alias("__hash"), F.col(f"`{text}`").cast("string").alias("__text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sets in _sets(batches, 2, shingle):
+            columns = [_signed([_name(x) for x in sets]), pa.array([len(x) for x in sets], pa.int32()), _signed([set_fingerprint(x) for x in sets])]
+            odd = np.array([parity(x) for x in sets]).reshape(-1, PARITY)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *(pa.array(odd[:, i]) for i in range(PARITY))], ["__id", "__hash", "sid", "n", "fp", *SIGNATURE])
+
+    return arrow_map(named, run, f"__id {named.schema['__id'].dataType.simpleString()}, __hash bigint, sid bigint, n int, fp bigint, " + ", ".join(f"{q} bigint" for q in SIGNATURE))
+
+
+SIGNATURE = [f"q{i}" for i in range(PARITY)]
+
+
+def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: float, shingle: int, distance: int = 4, blocks: int | None = None) -> DataFrame:
+    """``sid``, ``root`` of the shingle sets that have a similar one; others are left out. ``rows``: as ``named_sets`` gives it.
+
+    In SimHash's buckets and in those of the prefixes, a pivot meets all members and similar ones are linked; buckets of prefixes
+    that then hold several groups are compared across groups. Pairs in one group already, and pairs that can't be similar by
+    their sizes and the places of the shared key, are dropped before their sets are fetched.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("__text"))
@@ -94,11 +131,11 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
             yield pa.RecordBatch.from_arrays([_signed(np.concatenate(sets))], ["key"])
 
     some = texts.where(F.pmod(F.xxhash64("__text"), F.lit(max(1, n_rows // SAMPLE))) == 0)
-    often = some.distinct().mapInArrow(listed, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    often = arrow_map(some.distinct(), listed, "key bigint").groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     often = often.orderBy(F.desc("n"), "key").limit(MOST).toArrow()
     keys, times = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
     by = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((sketch.merged(texts.mapInArrow(sketched, PACKET), bits), keys[by], times[by]))
+    sent = spark.sparkContext.broadcast((sketch.merged(arrow_map(texts, sketched, PACKET), bits), keys[by], times[by]))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, common, weight = sent.value
@@ -125,15 +162,29 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
                 key, sid, n, place = (np.concatenate(x) for x in out)
                 yield pa.RecordBatch.from_arrays([_signed(key), _signed(sid), pa.array(n, pa.int32()), pa.array(place, pa.int32())], ["key", "sid", "n", "place"])
 
-    keyed = durable(texts.mapInArrow(prefixes, "key bigint, sid bigint, n int, place int").distinct())
+    keyed = durable(arrow_map(texts, prefixes, "key bigint, sid bigint, n int, place int").distinct())
     sent.destroy()
     # a bucket's pivot depends on one of 4 orders, so that one dense cluster has few pivots, and not one alone
     pick = F.struct(F.xxhash64("sid", F.pmod("key", F.lit(4))).alias("r"), "sid", "n", "place")
     pivots = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(pick).alias("p")).where("many > 1")
     crowded = durable(keyed.join(pivots.select("key", "p"), "key"))
 
+    about = rows.groupBy("sid").agg(F.min("n").alias("n"), *[F.min(q).alias(q) for q in SIGNATURE])
+
+    def differ(a: str, b: str) -> F.Column:
+        """Whether the signatures, and sizes, of two sets leave room for the similarity: sets that share s of all differ in (1 - s) / (1 + s) of their sizes."""
+        bits = sum((F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}"))) for q in SIGNATURE), F.lit(0))
+        return bits <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
+
     hashed = F.unhex(F.lpad(F.hex("__hash"), 16, "0"))
-    wanted = rows.join(crowded.select("sid").distinct(), "sid").groupBy("sid").agg(F.min("__hash").alias("__hash"))
+    # SimHash: members of a block's bucket and its pivot, within the distance
+    hashed_sets = exploded_keys(rows.groupBy("sid").agg(F.min("fp").alias("fp")), distance, blocks)
+    block_pivot = hashed_sets.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("sid", F.pmod("key", F.lit(4))).alias("r"), "sid", "fp")).alias("p")).where("many > 1")
+    close = hashed_sets.join(block_pivot.select("key", "p"), "key").where((F.col("sid") != F.col("p.sid")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= distance))
+    close = durable(close.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct())
+
+    met = crowded.select("sid").unionByName(close.select(F.col("a").alias("sid"))).unionByName(close.select(F.col("b").alias("sid"))).distinct()
+    wanted = rows.join(met, "sid").groupBy("sid").agg(F.min("__hash").alias("__hash"))
     wanted = durable(wanted.select("sid", hashed.alias("__key")))
     named = docs.withColumn("__hash", row_hash(docs)).select(F.col(f"`{text}`").cast("string").alias("__text"), hashed.alias("__key"))
     held = sift(named, "__key", wanted.select("__key"), n_rows)[0].join(wanted, "__key").select("sid", "__text")
@@ -142,7 +193,7 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
         for batch, sets in _sets(batches, 1, shingle):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["sid", "set"])
 
-    whole = durable(held.mapInArrow(packed, "sid bigint, set binary").groupBy("sid").agg(F.min("set").alias("set")))
+    whole = durable(arrow_map(held, packed, "sid bigint, set binary").groupBy("sid").agg(F.min("set").alias("set")))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,25 +201,31 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def links(pairs: DataFrame) -> DataFrame:
-        """Verified ones of pairs a, b."""
+        """Verified ones of pairs a, b: by their signatures, then by their sets."""
+        side = lambda x: about.select(F.col("sid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *SIGNATURE)])
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(differ("a_", "b_")).select("a", "b")
         first = pairs.join(whole.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a")
         both = first.join(whole.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "set_a", "set_b")
-        return both.mapInArrow(verify, "u bigint, v bigint")
+        return arrow_map(both, verify, "u bigint, v bigint")
 
     def possible(n: str, place: str, m: str, other: str) -> F.Column:
         """If this is the first shingle in which two sets meet: whether what is left of both can be similar."""
         most = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other))
         return most >= F.lit(similarity) * (F.col(n) + F.col(m) - most) - 1e-9
 
+    edges = lambda roots: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+    by_print = connected_components(links(close))
     star = crowded.select(F.col("sid").alias("a"), "n", "place", F.col("p.sid").alias("b"), F.col("p.n").alias("m"), F.col("p.place").alias("other"))
-    roots = connected_components(links(star.where((F.col("a") != F.col("b")) & possible("n", "place", "m", "other")).select("a", "b").distinct()))
-    grouped = durable(crowded.select("key", "sid", "n", "place").join(roots, F.col("sid") == F.col("node"), "left").select("key", "sid", "n", "place", F.coalesce("root", "sid").alias("root")))
-    mixed = grouped.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    open_ = grouped.join(mixed, "key", "left_semi")
-    left = open_.select("key", F.col("sid").alias("a"), "n", "place", F.col("root").alias("u"))
-    right = open_.select("key", F.col("sid").alias("b"), F.col("n").alias("m"), F.col("place").alias("other"), F.col("root").alias("v"))
-    across = left.join(right, "key").where((F.col("u") < F.col("v")) & possible("n", "place", "m", "other")).select("a", "b").distinct()
-    joined = connected_components(links(across).unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v"))))
+    star = star.where((F.col("a") != F.col("b")) & possible("n", "place", "m", "other")).select("a", "b").distinct()
+    of = lambda name: by_print.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    apart = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
+    roots = connected_components(links(apart).unionByName(edges(by_print)))
+    grouped = crowded.select("key", "sid", "n", "place").join(roots, F.col("sid") == F.col("node"), "left")
+    grouped = durable(grouped.select("key", F.col("sid").alias("node"), "n", "place", F.coalesce("root", "sid").alias("root")))
+    signed = about.select(F.col("sid").alias("node"), *SIGNATURE)
+    across = pairs_across(grouped, ["n", "place"], about=signed).where(possible("a_n", "a_place", "b_n", "b_place") & differ("a_", "b_"))
+    across = across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+    joined = connected_components(links(across).unionByName(edges(roots)))
     return joined.select(F.col("node").alias("sid"), "root")
 
 
@@ -179,16 +236,4 @@ def one_of_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     shingle is one shingle; null, empty and blank texts are equal. Rows with the smallest id are told apart by a hash of all
     columns; of wholly equal rows one stays. Columns are those of docs.
     """
-    named = docs.select(F.col(f"`{doc_id}`").alias("__id"), row_hash(docs).alias("__hash"), F.col(f"`{text}`").cast("string").alias("__text"))
-
-    def named_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, 2, shingle):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _signed([_name(x) for x in sets]), pa.array([len(x) for x in sets], pa.int32())], ["__id", "__hash", "sid", "n"])
-
-    rows = durable(named.mapInArrow(named_sets, f"__id {named.schema['__id'].dataType.simpleString()}, __hash bigint, sid bigint, n int"))
-    roots = similar_groups(docs, rows, text, similarity, shingle)
-    order = F.struct(F.col("__id").isNull().alias("a"), F.col("__id").alias("b"), F.col("__hash").alias("c"))
-    each = rows.join(roots, "sid", "left").select(F.coalesce("root", "sid").alias("root"), order.alias("o"))
-    first = each.groupBy("root", "o").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.min(F.struct("o", "n")).alias("m"))
-    decided = first.select(F.col("m.o.b").alias("__id"), F.col("m.o.c").alias("__hash"), F.col("m.n").alias("__rows"), F.lit(1).alias("__stay"))
-    return attach(docs, decided, doc_id, "__stay").drop("__stay")
+    return one_of_each(docs, doc_id, text, shingle=shingle, similarity=similarity)
