@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import arrow_map
+
 GRAMS = 1 << 16
 LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that belong to words: ASCII letters and all bytes of non-ASCII characters; every other byte reads as a space.
@@ -33,7 +35,7 @@ def train(docs: DataFrame, text: str, lang: str, max_languages: int = 1000) -> t
     """Languages, and log-probabilities of the trigram hashes in each (add-one half), from every row with a text and a language.
 
     A task adds its texts up in one count table for each language it met; the tables are summed as a DataFrame. The driver gets
-    GRAMS counts for each language at most, and stops with an error beyond ``max_languages``.
+    GRAMS counts for each language at most; with more than ``max_languages`` it stops before that with an error.
     """
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{text}`").cast("string"), F.col(f"`{lang}`").cast("string"))
 
@@ -47,11 +49,12 @@ def train(docs: DataFrame, text: str, lang: str, max_languages: int = 1000) -> t
             at = np.flatnonzero(table)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(table[at], pa.int64())], ["lang", "gram", "n"])
 
-    counts = rows.mapInArrow(count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    many = rows.select(F.col(f"`{lang}`")).distinct().limit(max_languages + 1).count()
+    if many > max_languages:
+        raise ValueError(f"more than {max_languages} languages")
+    counts = arrow_map(rows, count, "lang string, gram int, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counts.toArrow()
     names = sorted(set(found.column("lang").to_pylist()))
-    if len(names) > max_languages:
-        raise ValueError(f"more than {max_languages} languages")
     number = {n: i for i, n in enumerate(names)}
     table = np.full((GRAMS, len(names)), 0.5)
     which = np.array([number[n] for n in found.column("lang").to_pylist()], np.int64)
@@ -92,10 +95,11 @@ def mixtures(ll: np.ndarray, owner: np.ndarray, n: int, start: np.ndarray, round
 
 
 def infer(ll: np.ndarray, owner: np.ndarray, n: int, rounds: int | None = None, penalty: float = 1.0) -> tuple[np.ndarray, list[list[int]]]:
-    """Proportions over all languages, and the language set of each text.
+    """Proportions of the languages of each text's set, estimated inside the set, and the sets by falling proportion.
 
-    Sets are nested by proportion; the chosen one has the least -2 log-likelihood + penalty * (size - 1) * log(words). Sets of any
-    size are tried, until even the likelihood of all languages together would not pay for the next size.
+    Sets are nested by the proportions of a mixture of all languages; the chosen one has the least -2 log-likelihood + penalty *
+    (size - 1) * log(words). Sets of any size are tried, until even the likelihood of all languages together would not pay for the
+    next size.
     """
     langs = ll.shape[1]
     share, total = mixtures(ll, owner, n, np.full((n, langs), 1 / langs), rounds)
@@ -105,7 +109,7 @@ def infer(ll: np.ndarray, owner: np.ndarray, n: int, rounds: int | None = None,
     one = np.zeros((n, langs))
     one[np.arange(n), rank[:, 0]] = 1
     alone = mixtures(ll, owner, n, one, 0)[1]
-    best, size = -2 * alone, np.ones(n, np.int64)
+    best, size, inside = -2 * alone, np.ones(n, np.int64), one
     for k in range(2, langs + 1):
         open_ = np.flatnonzero(-2 * total + (k - 1) * cost < best)
         if not len(open_):
@@ -115,22 +119,30 @@ def infer(ll: np.ndarray, owner: np.ndarray, n: int, rounds: int | None = None,
         pick = place[owner] >= 0
         start = np.zeros((len(open_), langs))
         start[np.arange(len(open_))[:, None], rank[open_, :k]] = 1 / k
-        value = mixtures(ll[pick], place[owner[pick]], len(open_), start, rounds)[1]
+        estimate, value = mixtures(ll[pick], place[owner[pick]], len(open_), start, rounds)
         value = -2 * value + (k - 1) * cost[open_]
         better = value < best[open_]
-        best[open_[better]], size[open_[better]] = value[better], k
-    return share, [rank[i, : size[i]].tolist() for i in range(n)]
+        best[open_[better]], size[open_[better]], inside[open_[better]] = value[better], k, estimate[better]
+    sets = [rank[i, : size[i]] for i in range(n)]
+    return inside, [s[np.lexsort((s, -inside[i, s]))].tolist() for i, s in enumerate(sets)]
+
+
+def word_likelihoods(table: np.ndarray, grams: np.ndarray, first: np.ndarray, step: int = 1 << 15) -> np.ndarray:
+    """Log-likelihood of each word (those begin at ``first``) in each language, some words at a time: a long text's trigrams times languages are never held."""
+    ends = np.append(first, len(grams))
+    parts = [np.add.reduceat(table[grams[ends[i] : ends[min(i + step, len(first))]]], first[i : i + step] - first[i], axis=0) for i in range(0, len(first), step)]
+    return np.concatenate(parts)
 
 
 def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str = "lang", keep: list[F.Column | str] | None = None, rounds: int | None = None, gain: bool = False) -> DataFrame:
     """Columns ``keep``, then lang_pred, score and languages (the chosen set, by falling proportion), for each row of docs.
 
-    lang_pred is the language with the largest proportion; score is that proportion, smoothed by half a word for each language,
-    so that few words give less. EM runs until it settles (or for ``rounds``), and sets may hold any number of languages. A null text, or one without a letter, is ``und`` with score 0 and no languages; so is every
+    lang_pred is the language of the chosen set with the largest proportion, estimated inside the set; score is that proportion,
+    smoothed by half a word for each language, so that few words give less. EM runs until it settles (or for ``rounds``), and sets may hold any number of languages. A null text, or one without a letter, is ``und`` with score 0 and no languages; so is every
     text if no training row has a text and a language. Ties go to the first language in code point order. Other columns play
     no part in a prediction; repeated rows get equal predictions; an empty table gives an empty one.
 
-    With ``gain`` a last column says by how much (natural log, a letter byte) the mixture of all languages explains the text better
+    With ``gain`` a last column says by how much (natural log, a letter byte) the mixture of the chosen languages explains the text better
     than trigram hashes drawn evenly would; null for ``und``. Where it isn't above 0, no learned language explains the text.
     """
     keep = ["doc_id"] if keep is None else keep
@@ -155,7 +167,7 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str
                 letters = [int((_TO[np.frombuffer(p, np.uint8)] != 32).sum()) for p in parts]
                 first = np.flatnonzero(starts)
                 owner = np.repeat(np.arange(len(group)), letters)[first]
-                ll = np.add.reduceat(sent.value[grams], first, axis=0)
+                ll = word_likelihoods(sent.value, grams, first)
                 share, sets = infer(ll, owner, len(group), rounds)
                 words = np.bincount(owner, minlength=len(group))
                 fit = mixtures(ll, owner, len(group), share, 0)[1] / np.maximum(letters, 1) + np.log(GRAMS) if gain else [None] * len(group)
@@ -170,4 +182,4 @@ def identify(docs: DataFrame, training: DataFrame, text: str = "text", lang: str
             got = predict(batch.column(len(kept)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.list_(pa.string())), *([pa.array([g[3] for g in got], pa.float64())] if gain else [])], [*kept, "lang_pred", "score", "languages", *(["gain"] if gain else [])])
 
-    return rows.mapInArrow(run, schema)
+    return arrow_map(rows, run, schema)

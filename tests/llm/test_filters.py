@@ -237,3 +237,75 @@ def test_blocks_that_share_a_slice_add_up_apart(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
     found = [sorted((r.doc_id, r.n_known, round(r.base_score, 6)) for r in hmm.score(docs, states=2, frequent=4, endings=8, rounds=1, **small).collect()) for small in ({}, {"slices": 1, "block_words": 5})]
     assert found[0] == found[1]
+
+
+def slow_language(text, tables, names):
+    """Set, proportions and score of one text by plain loops: EM until nothing moves, over nested sets."""
+    low = f" {text.lower()} ".encode()
+    spaced = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in low)
+    words, now = [], None
+    for i in range(1, len(spaced) - 1):
+        if spaced[i] == 32:
+            continue
+        if spaced[i - 1] == 32:
+            now = [0.0] * len(names)
+            words.append(now)
+        gram = ((spaced[i - 1] << 16 | spaced[i] << 8 | spaced[i + 1]) * 2654435761 % (1 << 32)) >> 16
+        for j in range(len(names)):
+            now[j] += tables[j].get(gram, tables[j][None])
+
+    def em(langs):
+        share = {j: 1 / len(langs) for j in langs}
+        for _ in range(3000):
+            new = dict.fromkeys(langs, 0.0)
+            for w in words:
+                top = max(w)
+                mix = sum(share[j] * math.exp(w[j] - top) for j in langs)
+                for j in langs:
+                    new[j] += share[j] * math.exp(w[j] - top) / mix / len(words)
+            moved = max(abs(new[j] - share[j]) for j in langs)
+            share = new
+            if moved < 1e-7:
+                break
+        return share, sum(max(w) + math.log(max(1e-300, sum(share[j] * math.exp(w[j] - max(w)) for j in langs))) for w in words)
+
+    order = sorted(range(len(names)), key=lambda j, s=em(range(len(names)))[0]: (-s[j], j))
+    tried = []
+    for k in range(1, len(names) + 1):
+        share, value = em(order[:k])
+        tried.append((-2 * value + (k - 1) * math.log(max(2, len(words))), share))
+    share = min(tried, key=lambda t: t[0])[1]
+    best = max(share, key=lambda j: (share[j], -j))
+    return names[best], (share[best] * len(words) + 0.5) / (len(words) + 0.5 * len(names)), {names[j] for j in share}
+
+
+def test_languages_against_loops(spark):
+    docs = table(spark, SF, "documents").where("length(text) < 1500").limit(40).collect()
+    rows = [(i, r.text, r.lang) for i, r in enumerate(docs)]
+    rows += [(100 + i, " ".join((a.text[:200], b.text[:120])), None) for i, (a, b) in enumerate(zip(docs, docs[5:]))][:12]
+    counts = {}
+    for _, text, lang in rows:
+        if lang and text:
+            spaced = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in f" {text.lower()} ".encode())
+            for i in range(1, len(spaced) - 1):
+                if spaced[i] != 32:
+                    counts.setdefault(lang, Counter())[((spaced[i - 1] << 16 | spaced[i] << 8 | spaced[i + 1]) * 2654435761 % (1 << 32)) >> 16] += 1
+    names = sorted(counts)
+    totals = [sum(counts[n].values()) + 0.5 * (1 << 16) for n in names]
+    tables = [{g: math.log((c + 0.5) / t) for g, c in counts[n].items()} | {None: math.log(0.5 / t)} for n, t in zip(names, totals)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    several = 0
+    for r in langid.identify(frame, frame, keep=["doc_id", "text"]).collect():
+        if r.lang_pred == "und":
+            continue
+        lang, score, chosen = slow_language(r.text, tables, names)
+        assert r.lang_pred == lang and abs(r.score - score) < 0.01 and set(r.languages) == chosen and r.languages[0] == lang
+        several += len(chosen) > 1
+    assert several
+
+
+def test_many_languages_stop_before_they_are_collected(spark):
+    frame = spark.createDataFrame([(i, "abc", f"l{i}") for i in range(9)], "doc_id bigint, text string, lang string")
+    with pytest.raises(ValueError):
+        langid.train(frame, "text", "lang", max_languages=8)
+    assert len(langid.train(frame, "text", "lang", max_languages=9)[0]) == 9
