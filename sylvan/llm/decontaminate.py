@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import arrow_map, as_bytes
 
 #: Words after A-Z are lower-cased: ASCII letters and digits, and every byte of a non-ASCII character.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -24,8 +24,9 @@ def words_of(text: bytes | None) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton of word sequences.
 
-    States hold the longest length, the suffix link and the transitions. Every state knows the items in which its strings
-    occur, and the items that are, as a whole, a suffix of its strings and shorter than a window.
+    States hold the longest length, the suffix link and the transitions. A state that holds the window-long suffix of others, their
+    head, knows the items in which that window occurs; every state knows the items that are, as a whole, a suffix of its strings
+    and shorter than a window. Built from dictionaries, it is kept as one flat table of transitions, which is what workers hold.
     """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], window: int) -> None:
@@ -43,22 +44,24 @@ class SuffixAutomaton:
                 marks.append((state, number))
             if len(words) < window:
                 ends.append((state, len(words), number))
-        self.items: list[set[int]] = [set() for _ in self.next]
-        for state, number in marks:
-            self.items[state].add(number)
-        order = sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True)
-        for s in order:
-            self.items[self.link[s]] |= self.items[s]
+        order = sorted(range(1, len(self.next)), key=self.length.__getitem__)
+        self.heads: list[int] = [0] * len(self.next)  # the state that holds the window-long suffix, 0 if shorter
         whole: dict[int, list[tuple[int, int]]] = {}
         for state, n, number in ends:
             whole.setdefault(state, []).append((n, number))
-        self.whole: list[list[tuple[int, int]]] = [[] for _ in self.next]
-        for s in reversed(order):
-            self.whole[s] = whole.get(s, []) + self.whole[self.link[s]]
-        self.heads: list[int] = [0] * len(self.next)  # the state that holds the window-long suffix, 0 if shorter
-        for s in reversed(order):
+        self.whole: dict[int, list[tuple[int, int]]] = {}
+        for s in order:
             above = self.link[s]
             self.heads[s] = self.heads[above] or (s if self.length[s] >= window else 0)
+            if short := whole.get(s, []) + self.whole.get(above, []):
+                self.whole[s] = short
+        found: dict[int, set[int]] = {}
+        for state, number in marks:
+            if head := self.heads[state]:
+                found.setdefault(head, set()).add(number)
+        self.items = {head: tuple(numbers) for head, numbers in found.items()}
+        self.step = {s << 32 | word: to for s, following in enumerate(self.next) for word, to in following.items()}
+        self.next = []
 
     def _extend(self, last: int, word: int) -> int:
         if (to := self.next[last].get(word)) is not None:
@@ -99,22 +102,23 @@ class SuffixAutomaton:
         edge = np.flatnonzero(np.diff(np.concatenate(([0], known != 0, [0])).astype(np.int8)))
         spans: list[tuple[int, int]] = []
         hit: set[int] = set()
+        step = self.step
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             if b - a < self.shortest:
                 continue
             state = matched = 0
             for i, word in enumerate(known[a:b].tolist(), a):
-                while state and word not in self.next[state]:
+                while (to := step.get(state << 32 | word)) is None and state:
                     state = self.link[state]
                     matched = self.length[state]
-                if (to := self.next[state].get(word)) is not None:
+                if to is not None:
                     state, matched = to, matched + 1
                 longest = 0
                 if matched >= self.window:
                     # the window-long suffix of the match lies in the state that heads this chain
                     longest = self.window
-                    hit |= self.items[self.heads[state]]
-                for n, number in self.whole[state]:
+                    hit.update(self.items[self.heads[state]])
+                for n, number in self.whole.get(state, ()):
                     if n <= matched:
                         longest = max(longest, n)
                         hit.add(number)
@@ -140,10 +144,10 @@ def _items_in_blocks(items: DataFrame, item_id: str, text: str, max_bytes: int)
         yield [(r.id, words_of(r.text.encode())) for r in part.orderBy("id", "text").collect()]
 
 
-def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, keep: list[str] | None = None, clean: bool = False, max_item_bytes: int = 16 << 20) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 13, share: int = 20, keep: list[str] | None = None, clean: bool = False, max_item_bytes: int = 2 << 20) -> DataFrame:
     """Columns ``keep``, then n_words, n_hit, n_items, items_sha256, contaminated, and with ``clean`` the text without hit spans.
 
-    The automaton of the items is broadcast. Its size is bounded: items beyond ``max_item_bytes`` are taken in blocks, each with
+    The automaton of the items is broadcast. Its size is bounded (some 60 bytes in a worker for each byte of ``max_item_bytes``): items beyond that are taken in blocks, each with
     its own automaton, and the spans of earlier blocks travel with the rows. A document is contaminated if it has a hit word and
     its hit words are 1 / ``share`` of its words at least. ``clean`` gives the text with the bytes from the first to the last
     word of every hit span removed. Null and wordless texts have no words and are never contaminated; items without words match
@@ -158,9 +162,9 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", item_id
     middle = ", ".join([*fields, "__spans binary", "__names array<string>"])
     for block in _items_in_blocks(items, item_id, item_text, max_item_bytes):
         sent = spark.sparkContext.broadcast(SuffixAutomaton([(i or "", w) for i, w in block], window))
-        rows = rows.mapInArrow(_scanner(sent), middle)
+        rows = arrow_map(rows, _scanner(sent), middle)
     end = ", ".join([*fields[:-1], "n_words bigint", "n_hit bigint", "n_items bigint", "items_sha256 string", "contaminated boolean", *(["clean_text string"] if clean else [])])
-    return rows.mapInArrow(_finisher(share, clean), end)
+    return arrow_map(rows, _finisher(share, clean), end)
 
 
 def _scanner(sent):
