@@ -13,12 +13,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import as_bytes, durable
-from .packets import PACKET, by_slice, pack, packets, sift, unpack
+from .common import arrow_map, as_bytes, durable
+from .packets import PACKET, block_uid, by_slice, gathered, head_packet, mark_packets, pack, packets, past, sift, unpack
 
 GRAM = 26
 #: Windows of a stretch that one mark holds.
@@ -136,11 +137,11 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield from partial.add(stretches(data, limits, width)[3])
         yield from partial.flush()
 
-    sent = spark.sparkContext.broadcast(sketch.merged(texts.select("__text").mapInArrow(first_pass, PACKET), bits))
-    slices = max(12, anchors // 2_500_000)
+    sent = spark.sparkContext.broadcast(sketch.merged(arrow_map(texts.select("__text"), first_pass, PACKET), bits))
+    slices = max(12, anchors // 500_000)
 
     def second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _Block(slices, width)
+        block = _Block(TaskContext.get().partitionId(), slices, width)
         for batch in batches:
             values, keys, ids = as_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             order = sorted(range(len(ids)), key=ids.__getitem__)
@@ -153,15 +154,16 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     yield from block.flush()
         yield from block.flush()
 
-    judge = lambda number, payloads: _judge(payloads, width)
-    flags = by_slice(texts.mapInArrow(second_pass, PACKET), judge, "key binary, marks binary")
-    flags = durable(flags.groupBy("key").agg(F.collect_list("marks").alias("__marks")))
+    judge = lambda number, payloads: past(payloads) if number < 0 else _judge(payloads, width)
+    judged = by_slice(arrow_map(texts, second_pass, PACKET), judge, PACKET)
+    # rows of equal text and id have equal marks in each block, so one row of them tells all
+    flags = durable(by_slice(judged, gathered, "key binary, marks binary").groupBy("key").agg(F.max("marks").alias("__marks")))
     sent.destroy()  # the checkpoint needs it no more, and workers would keep it
     # Only texts that may lose something travel to their marks; a filter of the marks' keys, bounded in size, tells them.
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], whole.alias("__text"), row_key.alias("__key"))
     some, others = sift(rows, "__key", flags.select("key"), n_rows)
     joined = some.join(flags, F.col("__key") == F.col("key"), "left").select(*[F.col(f"`{c}`") for c in keep], "__text", "__marks")
-    others = others.select(*[F.col(f"`{c}`") for c in keep], "__text", F.lit(None).cast("array<binary>").alias("__marks"))
+    others = others.select(*[F.col(f"`{c}`") for c in keep], "__text", F.lit(None).cast("binary").alias("__marks"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]]
     schema = ", ".join([*fields, "n_bytes bigint", "n_removed bigint", "n_spans bigint", "kept_sha256 string", *(["kept binary"] if cleaned else [])])
 
@@ -170,7 +172,7 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             n, gone, spans, digest, kept = [], [], [], [], []
             for value, marks in zip(as_bytes(batch.column(len(keep))), batch.column(len(keep) + 1).to_pylist(), strict=True):
                 n.append(len(value))
-                cuts = removed_spans(np.frombuffer(b"".join(marks), np.int64), len(value), width) if marks else []
+                cuts = removed_spans(np.frombuffer(marks, np.int64), len(value), width) if marks else []
                 at, left = 0, []
                 for a, b in cuts:
                     left.append(value[at:a])
@@ -183,7 +185,7 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             out = [*batch.columns[: len(keep)], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), *([pa.array(kept, pa.binary())] if cleaned else [])]
             yield pa.RecordBatch.from_arrays(out, [*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if cleaned else [])])
 
-    return joined.mapInArrow(last_pass, schema).unionByName(others.mapInArrow(last_pass, schema))
+    return arrow_map(joined, last_pass, schema).unionByName(arrow_map(others, last_pass, schema))
 
 
 def removed_spans(marks: np.ndarray, n: int, width: int) -> list[tuple[int, int]]:
@@ -201,8 +203,8 @@ def removed_spans(marks: np.ndarray, n: int, width: int) -> list[tuple[int, int]
 class _Block:
     """Stretches of some documents of a task, in groups of equal bytes: those with a larger id than the group's least are settled."""
 
-    def __init__(self, slices: int, width: int) -> None:
-        self.slices, self.width = slices, width
+    def __init__(self, partition: int, slices: int, width: int) -> None:
+        self.partition, self.number, self.slices, self.width = partition, 0, slices, width
         self._clear()
 
     def _clear(self) -> None:
@@ -212,44 +214,45 @@ class _Block:
         self.n = 0
 
     def add(self, data, start, end, anchor, hashed, number, place, keys: list[bytes], ids: list[int]) -> None:
-        raw, groups, tail = data.tobytes(), self.groups, self.width - 1
-        whose, where = number[start].tolist(), place[start].tolist()
-        for a, e, c, h, i, p in zip(start.tolist(), end.tolist(), anchor.tolist(), hashed.tolist(), whose, where, strict=True):
-            piece, ident = raw[a : e + tail], ids[i]
-            name = self.names.setdefault(keys[i], len(self.names))
+        raw, groups, settled, tail = data.tobytes(), self.groups, self.settled, self.width - 1
+        texts = number[start]
+        mine = {i: (self.names.setdefault(keys[i], len(self.names)), ids[i]) for i in np.unique(texts).tolist()}
+        for a, e, c, h, i, p in zip(start.tolist(), end.tolist(), anchor.tolist(), hashed.tolist(), texts.tolist(), place[start].tolist(), strict=True):
+            piece = raw[a : e + tail]
+            name, ident = mine[i]
             group = groups.get(piece)
             if group is None:
                 groups[piece] = [ident, h, c - a, [(name, p)]]
-                self.n += 1
             elif ident == group[0]:
                 group[3].append((name, p))
             elif ident > group[0]:
-                self.settled.append((name, p << 32 | (1 << (e - a)) - 1))
+                settled.append((name, p << 32 | (1 << (e - a)) - 1))
             else:
                 full = (1 << (e - a)) - 1
-                self.settled += [(n, q << 32 | full) for n, q in group[3]]
+                settled += [(n, q << 32 | full) for n, q in group[3]]
                 group[0], group[3] = ident, [(name, p)]
+        self.n = len(groups)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
-        names = np.frombuffer(b"".join(self.names), np.uint8).reshape(-1, 16)
-        parts: dict[int, tuple[list, ...]] = {}
-        for piece, (ident, h, offset, places) in self.groups.items():
-            part = parts.setdefault(h % self.slices, ([], [], [], [], []))
-            for n, p in places:
-                for column, x in zip(part, (piece, offset, ident, n, p), strict=True):
-                    column.append(x)
+        if not self.names:
+            return
+        uid = block_uid(self.partition, self.number)
+        rows = [(piece, h, offset, ident, n, p) for piece, (ident, h, offset, places) in self.groups.items() for n, p in places]
+        pieces, hashed, *rest = zip(*rows, strict=True) if rows else [()] * 6
+        to = (np.array(hashed, np.uint64) % np.uint64(self.slices)).astype(np.int64)
+        offset, ident, owner, place = (np.array(x, k) for x, k in zip(rest, (np.uint8, np.int64, np.int32, np.int32), strict=True))
         settled = np.array(self.settled, np.int64).reshape(-1, 2)
+        out = [head_packet(uid, np.frombuffer(b"".join(self.names), np.uint8), settled[:, 0], settled[:, 1])]
+        self.number += 1
         self._clear()
-        out = []
-        for s in sorted({*parts, *np.unique(settled[:, 0] % self.slices).tolist()}):
-            pieces, offset, ident, owner, place = parts.get(s, ([], [], [], [], []))
-            mine = settled[settled[:, 0] % self.slices == s]
-            who, local = np.unique(np.concatenate((np.array(owner, np.int64), mine[:, 0])), return_inverse=True)
-            local = local.astype(np.int32)
-            k = len(owner)
-            out.append((s, pack(names[who], b"".join(pieces), np.array([len(p) for p in pieces], np.uint16), np.array(offset, np.uint8), np.array(ident, np.int64), local[:k], np.array(place, np.int32), local[k:], mine[:, 1])))
-        if out:
-            yield packets(out)
+        order = np.argsort(to, kind="stable")
+        cuts = np.searchsorted(to[order], np.arange(self.slices + 1)).tolist()
+        for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if a < b:
+                at = order[a:b]
+                mine = [pieces[i] for i in at.tolist()]
+                out.append((s, pack(np.array([uid], np.int64), b"".join(mine), np.array([len(p) for p in mine], np.uint16), offset[at], ident[at], owner[at], place[at])))
+        yield packets(out)
 
 
 def merge_sort(bucket: np.ndarray, text: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -257,8 +260,8 @@ def merge_sort(bucket: np.ndarray, text: np.ndarray, length: np.ndarray) -> tupl
 
     ``bucket`` is sorted; row i of ``text`` is suffix i, ``length[i]`` bytes of it. Two suffixes are compared by a binary search,
     over hashes of their prefixes, for the longest common one, and by the byte after it. Runs double in each round; every
-    element finds its place in the run beside its own by binary search, so a round compares each element log(run) times.
-    Afterwards all extensions are verified byte by byte; buckets in which hashes collided are sorted by their bytes.
+    element finds its place in the run beside its own by binary search, so a round compares each element log(run) times. Suffixes
+    of one bucket with equal hashes of all their bytes are sorted as one. Afterwards all extensions are verified byte by byte; buckets in which hashes collided are sorted by their bytes.
     """
     n, longest = text.shape
     hashes = np.zeros((n, longest + 1), np.uint64)
@@ -281,9 +284,15 @@ def merge_sort(bucket: np.ndarray, text: np.ndarray, length: np.ndarray) -> tupl
         done_x, done_y = at == size[x], at == size[y]
         return np.where(done_x | done_y, done_x & ~done_y, padded[x * stride + at] < padded[y * stride + at])
 
-    order = np.arange(n)
-    head = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-    counts = np.diff(np.concatenate((head, [n])))
+    whole = flat[np.arange(n) * stride + size]
+    alike = np.lexsort((whole, size, bucket))
+    fresh = np.concatenate(([True], (bucket[alike][1:] != bucket[alike][:-1]) | (size[alike][1:] != size[alike][:-1]) | (whole[alike][1:] != whole[alike][:-1])))
+    order = alike[fresh]  # one suffix of each kind, still by bucket
+    kind = np.empty(n, np.int64)
+    kind[alike] = np.cumsum(fresh) - 1
+    m = len(order)
+    head = np.flatnonzero(np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])))
+    counts = np.diff(np.concatenate((head, [m])))
     first, many = np.repeat(head, counts), np.repeat(counts, counts)
     run = 1
     while run < counts.max(initial=0):
@@ -311,6 +320,9 @@ def merge_sort(bucket: np.ndarray, text: np.ndarray, length: np.ndarray) -> tupl
         new = order.copy()
         new[place] = me
         order, run = new, 2 * run
+    rank = np.empty(m, np.int64)
+    rank[kind[order]] = np.arange(m)
+    order = np.argsort(rank[kind], kind="stable")
     common = np.full(n, -1, np.int64)
     inner = np.flatnonzero(bucket[1:] == bucket[:-1]) + 1
     common[inner] = extension(order[inner], order[inner - 1])
@@ -343,15 +355,13 @@ TOGETHER = 100_000
 
 
 def _judge(payloads: Iterator[bytes], width: int) -> Iterator[pa.RecordBatch]:
-    """Stretches of a slice: for each, which of its windows a smaller id has too. Yields marks by row key."""
-    parts, names, n, marks = [], [], 0, []
+    """Stretches of a slice: for each, which of its windows a smaller id has too. Yields packets of marks by block."""
+    parts, uids, marks = [], [], []
     for p in payloads:
-        k, raw, size, offset, ident, owner, place, settled, mark = unpack(p, "u1", "u1", "u2", "u1", "i8", "i4", "i4", "i4", "i8")
-        names.append(k.reshape(-1, 16))
-        marks.append((settled.astype(np.int64) + n, mark))
-        parts.append((raw, size, offset, ident, owner + np.int32(n), place))
-        n += len(names[-1])
-    raw, size, offset, ident, owner, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        uid, raw, size, offset, ident, owner, place = unpack(p, "i8", "u1", "u2", "u1", "i8", "i4", "i4")
+        parts.append((raw, size, offset, ident, owner, place, np.full(len(owner), len(uids), np.int32)))
+        uids.append(int(uid[0]))
+    raw, size, offset, ident, owner, place, block = (np.concatenate(x) for x in zip(*parts, strict=True))
     del parts
     raw = np.concatenate((raw, np.zeros(width + 8, np.uint8)))
     begin = np.cumsum(size, dtype=np.int64) - size
@@ -370,16 +380,11 @@ def _judge(payloads: Iterator[bytes], width: int) -> Iterator[pa.RecordBatch]:
         end = len(order) if len(order) - at <= TOGETHER else max(int(np.searchsorted(h, h[at + TOGETHER])), int(np.searchsorted(h, h[at], side="right")))
         part = order[at:end]
         hit, mask = _compare(raw, begin[part] + offset[part], size[part].astype(np.int64), offset[part].astype(np.int64), ident[part], h[at:end], width)
-        marks.append((owner[part][hit].astype(np.int64), place[part][hit].astype(np.int64) << 32 | mask[hit]))
+        marks.append((block[part][hit], owner[part][hit], place[part][hit].astype(np.int64) << 32 | mask[hit]))
         at = end
-    owners, values = np.concatenate([m[0] for m in marks]), np.concatenate([m[1] for m in marks])
-    order = np.argsort(owners, kind="stable")
-    owners, values, names = owners[order], values[order], np.concatenate(names)
-    first = np.flatnonzero(np.concatenate(([True], owners[1:] != owners[:-1]))) if len(owners) else np.empty(0, np.int64)
-    ends = np.concatenate((first[1:], [len(owners)]))
-    for i in range(0, len(first), 20_000):
-        cut = list(zip(first[i : i + 20_000].tolist(), ends[i : i + 20_000].tolist(), strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array([names[owners[a]].tobytes() for a, _ in cut], pa.binary()), pa.array([values[a:b].tobytes() for a, b in cut], pa.binary())], ["key", "marks"])
+    if marks:
+        blocks, owners, values = (np.concatenate(x) for x in zip(*marks, strict=True))
+        yield from mark_packets(np.array(uids, np.int64)[blocks], owners, values)
 
 
 def _hash_at(raw: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -410,9 +415,17 @@ def _compare(raw: np.ndarray, anchor: np.ndarray, size: np.ndarray, left: np.nda
     sort_l, common_l = merge_sort(number, before, left)
     del before
     mask = np.zeros(n, np.int64)
+
+    def reach(order: np.ndarray, common: np.ndarray) -> np.ndarray:
+        """How far each stretch extends equally with any other."""
+        out = np.empty(n, np.int64)
+        out[order] = np.maximum(common, np.append(common[1:], -1))
+        return out
+
+    far_r, far_l = reach(sort_r, common_r), reach(sort_l, common_l)
     for rel in range(tail + 1):  # windows that begin ``rel`` bytes before the anchor
         need = tail - rel
-        valid = np.flatnonzero((left >= rel) & (right >= need))
+        valid = np.flatnonzero((far_l >= rel) & (far_r >= need))
         if not len(valid):
             continue
         class_r, class_l = np.empty(n, np.int64), np.empty(n, np.int64)
