@@ -48,8 +48,10 @@ class Hmm:
     def batch(self, texts: list[np.ndarray], learn: bool) -> tuple[np.ndarray, tuple[np.ndarray, ...] | None]:
         """Log-likelihoods (natural) of class sequences by the scaled forward recursion; with ``learn`` also the expected counts.
 
-        Texts are laid out step by step, longest first, so that one step treats all texts that are that long at once.
+        Texts are laid out step by step, longest first, so that one step treats all texts that are that long at once. Expected
+        counts are made of single-precision terms, added up in double precision; likelihoods alone are computed in double precision.
         """
+        kind = np.float32 if learn else np.float64
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
         steps = int(lengths.max(initial=0))
@@ -58,13 +60,13 @@ class Hmm:
         tokens = np.empty(begin[-1], np.int64)
         for i, j in enumerate(order.tolist()):
             tokens[begin[: lengths[j]] + i] = texts[j]
-        emit = self.emit[tokens]
-        alpha, scale = np.empty_like(emit), np.empty((len(tokens), 1))
-        value, moves = np.zeros(len(texts)), self.moves
+        emit = self.emit.astype(kind)[tokens]
+        alpha, scale = np.empty_like(emit), np.empty((len(tokens), 1), kind)
+        value, moves, begins = np.zeros(len(texts)), self.moves.astype(kind), self.start.astype(kind)
         cuts = begin.tolist()
         for t in range(steps):
             a, b = cuts[t], cuts[t + 1]
-            now = self.start * emit[a:b] if t == 0 else (alpha[cuts[t - 1] : cuts[t - 1] + b - a] @ moves) * emit[a:b]
+            now = begins * emit[a:b] if t == 0 else (alpha[cuts[t - 1] : cuts[t - 1] + b - a] @ moves) * emit[a:b]
             total = now.sum(axis=1, keepdims=True)
             scale[a:b] = total
             np.divide(now, total, out=alpha[a:b])
@@ -83,9 +85,9 @@ class Hmm:
         gamma = alpha * beta
         later = np.arange(cuts[1] if steps else 0, len(tokens))
         previous = later - np.repeat(active[:-1], active[1:]) if steps > 1 else later
-        crossing = moves * (alpha[previous].T @ ahead[later]) if steps > 1 else np.zeros_like(moves)
+        crossing = self.moves * (alpha[previous].T @ ahead[later]) if steps > 1 else np.zeros_like(self.moves)
         counts = np.stack([np.bincount(tokens, gamma[:, k], len(self.emit)) for k in range(len(self.start))], axis=1)
-        return result, (gamma[: cuts[1]].sum(axis=0) if steps else np.zeros(len(self.start)), crossing, counts)
+        return result, (gamma[: cuts[1]].sum(axis=0, dtype=np.float64) if steps else np.zeros(len(self.start)), crossing, counts)
 
 
 class Classes(dict):
@@ -279,26 +281,52 @@ def _hot_words(rows: DataFrame, n_rows: int, sample: int = 5_000, most: int = 40
     return [END, *(bytes(r.word) for r in found)]
 
 
-def _pairs(sent, parts: int):
-    """Packets of (pair codes as differences, counts): neighbouring classes, and the first class of each text after a class of its own."""
+#: Tokens between the classes whose counts shape the states first: what holds over so many words, such as the language, is what states keep.
+LAG = 32
+
+
+def _packed(sent):
+    """Packets of (lengths, classes) of texts of like length: the training texts as every round reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = sent.value
+        for _, texts in batches_of((None, classes.of(t)) for b in batches for t in as_bytes(b.column(0))):
+            yield packets([(0, pack(np.array([len(t) for t in texts], np.int32), np.concatenate(texts).astype(np.uint16)))])
+
+    return run
+
+
+def _sequences(payload: bytes) -> list[np.ndarray]:
+    lengths, joined = unpack(payload, "i4", "u2")
+    return np.split(joined.astype(np.int64), np.cumsum(lengths)[:-1])
+
+
+def _pairs(classes: int, parts: int):
+    """Packets of (pair codes as differences, counts): neighbouring classes, and the first class of each text after a class of its own,
+    as slices from 0; classes LAG tokens apart as slices from ``parts``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, n = sent.value
+        n = classes
         held: list[np.ndarray] = []
         size = 0
 
+        def counted(codes: np.ndarray, offset: int) -> list[tuple[int, bytes]]:
+            code, count = np.unique(codes, return_counts=True)
+            part = code // n * parts // (n + 1)
+            cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
+            return [(i + offset, pack(np.diff(code[a:b], prepend=0), count[a:b].astype(np.int32))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
+
         def flush() -> pa.RecordBatch:
             joined = np.concatenate(held)
             inner = joined[:-1] * n + joined[1:]  # the edge class n stands before each text
-            code, count = np.unique(inner[joined[1:] != n], return_counts=True)
-            part = code // n * parts // (n + 1)
-            cuts = np.searchsorted(part, np.arange(parts + 1)).tolist()
-            return packets([(i, pack(np.diff(code[a:b], prepend=0), count[a:b].astype(np.int32))) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b])
+            far = [t[1:-LAG] * n + t[LAG + 1 :] for t in held if len(t) > LAG + 1]
+            return packets(counted(inner[joined[1:] != n], 0) + (counted(np.concatenate(far), parts) if far else []))
 
         for b in batches:
-            for text in as_bytes(b.column(0)):
-                held += [np.array([n], np.int64), classes.of(text)]
-                size += len(held[-1])
+            for payload in b.column(0).to_pylist():
+                for text in _sequences(payload):
+                    held.append(np.concatenate((np.array([n], np.int64), text)))
+                    size += len(held[-1])
                 if size >= 2_000_000:
                     yield flush()
                     held, size = [], 0
@@ -360,13 +388,14 @@ def from_pairs(model: Hmm, pairs: np.ndarray, first: np.ndarray, prior: np.ndarr
 
 def _learn(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, model, parts = sent.value
+        model, parts = sent.value
         start, moves, emit = np.zeros_like(model.start), np.zeros_like(model.moves), np.zeros_like(model.emit)
         value = 0.0
-        for _, texts in batches_of((None, classes.of(t)) for b in batches for t in as_bytes(b.column(0))):
-            got, counts = model.batch(texts, True)
-            value += got.sum()
-            start, moves, emit = start + counts[0], moves + counts[1], emit + counts[2]
+        for b in batches:
+            for payload in b.column(0).to_pylist():
+                got, counts = model.batch(_sequences(payload), True)
+                value += got.sum()
+                start, moves, emit = start + counts[0], moves + counts[1], emit + counts[2]
         cuts = np.linspace(0, len(emit), parts + 1).astype(int)
         yield packets([(-1, pack(start, moves, np.array([value])))] + [(i, pack(emit[a:b])) for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))])
 
@@ -410,12 +439,14 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``, one row for each row of docs.
 
     Rows with crc32(doc_id as text) mod ``held_mod`` of 0 are held out; all others train. Word counts, the start of the hidden
-    states (fitted to the counts of neighbouring classes) and all Baum-Welch rounds cover all training texts. Rounds end when
+    states (fitted to the counts of classes LAG tokens apart, then of neighbours) and all Baum-Welch rounds cover all training texts. Rounds end when
     one gains less than ``settled`` (natural log) a token, or after ``rounds`` if given. ``sample`` has no effect: nothing is sampled.
 
     A null text is empty: just the end token. An unseen word counts as the one unseen type of its class. Null ids hash as the empty
     text. Repeated rows train as often as they occur. Other columns are ignored; an empty table gives an empty one.
     """
+    if frequent + endings > 1 << 16:
+        raise ValueError("a class is held in 16 bits")
     spark = docs.sparkSession
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     rows = docs.select(whole.alias("__text"), F.unhex(F.md5(whole.cast("binary"))).alias("__key"), F.col(f"`{doc_id}`").alias("doc_id"), (doc_crc(F.col(f"`{doc_id}`")) % held_mod == 0).alias("held_out"))
@@ -454,19 +485,32 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod:
 
     training = rows.where("not held_out").select("__text")
     model, n, n_tokens = Hmm.seeded(states, len(prior), prior, seed), len(prior), max(1.0, n_train)
-    near = np.zeros((n + 1, n), np.float32)
-    sent = spark.sparkContext.broadcast((classes, n))
-    for r in by_slice(arrow_map(training, _pairs(sent, 16), PACKET), _add_pairs(n), PACKET).toLocalIterator():
-        gaps, count = unpack(bytes(r[1]), "i8", "i8")
-        near.ravel()[np.cumsum(gaps)] = count
-    model = from_pairs(model, near[:-1], near[-1], prior)
+    training = durable(arrow_map(training, _packed(spark.sparkContext.broadcast(classes)), PACKET).select("payload"))
+    pairs = durable(by_slice(arrow_map(training, _pairs(n, 16), PACKET), _add_pairs(n), PACKET))
+
+    def counts(of: str) -> np.ndarray:
+        out = np.zeros((n + 1, n), np.float32)
+        for r in pairs.where(of).toLocalIterator():
+            gaps, count = unpack(bytes(r[1]), "i8", "i8")
+            out.ravel()[np.cumsum(gaps)] = count
+        return out
+
+    far = counts("slice >= 16")
+    apart = bool(far.any())
+    if apart:
+        model = from_pairs(model, far[:-1], np.zeros(n), prior, 300)
+        model = Hmm(model.start, 0.95 * model.moves + 0.05 / states, model.emit)  # neighbours may move where distant words stay
+    del far
+    near = counts("slice < 16")
+    model = from_pairs(model, near[:-1], near[-1], prior, 5 if apart else 60)
     del near
     last, done = -np.inf, 0
     while done != rounds:
-        sent = spark.sparkContext.broadcast((classes, model, 16))
+        sent = spark.sparkContext.broadcast((model, 16))
         parts = {r[0]: bytes(r[1]) for r in by_slice(arrow_map(training, _learn(sent), PACKET), _add, PACKET).collect()}
         if not parts:
             break
+        sent.destroy()
         start, moves, value = unpack(parts[-1], "f8", "f8", "f8")
         emit = np.concatenate([unpack(parts[i], "f8")[0].reshape(-1, states) for i in range(16)])
         model = Hmm.from_counts(start, moves.reshape(states, states), emit, prior)
