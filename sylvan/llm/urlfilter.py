@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fold(text: Column) -> Column:
+    """A-Z lower-cased, and no other letter."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty for null or without ``://``."""
     rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(fold(rest), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -27,7 +32,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     Null urls and urls without ``://`` have empty host and path and get the default; repeated pages stay; a null rule field
     makes the rule void; an empty rule table gives the default everywhere.
     """
-    rules = rules.where("host is not null and path is not null and verdict is not null").select(F.lower("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).distinct()
+    rules = rules.where("host is not null and path is not null and verdict is not null").select(fold(F.col("host")).alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict")).distinct()
     named = pages.select(F.col(f"`{page_id}`").alias("page_id"), host_of(F.col(f"`{url}`").cast("string")).alias("host"), path_of(F.col(f"`{url}`").cast("string")).alias("path"))
     lengths = sorted(r[0] for r in rules.select(F.length("rule_path")).distinct().collect())
     if not lengths:
@@ -37,7 +42,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
     rules = rules.withColumn("rule_digest", digest(F.col("rule_host"), F.col("rule_path"))).withColumn("short", short(F.col("rule_digest")))
     labels = F.split("host", r"\.", -1)
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths]), lambda p: p.isNotNull())
+    known = F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>")
+    prefixes = F.transform(F.filter(known, lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
     distinct = named.select("host", "path").distinct()
     spread = distinct.withColumn("suffix", F.explode(suffixes)).withColumn("prefix", F.explode(prefixes))
     spread = spread.withColumn("digest", digest(F.col("suffix"), F.col("prefix"))).withColumn("short", short(F.col("digest"))).select("host", "path", "digest", "short")
