@@ -46,8 +46,9 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def _lean() -> None:
-    """From now on arrays of 1 MB or more have pages of their own, which go back as soon as they are freed."""
-    _LIBC.mallopt(_MMAP_THRESHOLD, 1 << 20)
+    """From now on arrays of 16 MB or more have pages of their own, which go back as soon as they are freed; the heap shrinks in steps of 64 MB."""
+    _LIBC.mallopt(_MMAP_THRESHOLD, 16 << 20)
+    _LIBC.mallopt(_TRIM_THRESHOLD, 64 << 20)
 
 
 def _tidy() -> None:
@@ -56,8 +57,8 @@ def _tidy() -> None:
     _LIBC.malloc_trim(0)
 
 
-#: glibc's name for the size from which an array has pages of its own.
-_MMAP_THRESHOLD = -3
+#: glibc's names for the size from which an array has pages of its own, and for the free top of the heap that goes back at once.
+_MMAP_THRESHOLD, _TRIM_THRESHOLD = -3, -1
 
 
 class _NoLibc:
@@ -128,18 +129,27 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its columns named c0, c1 and so on, which clash with no name that an operator makes; and the new name of each old one."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def row_hash(df: DataFrame) -> F.Column:
-    """64-bit hash of all columns of a row; with the row's id it names the row, and equal rows share a name."""
-    return F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    """64-bit hash of all columns of a row, whatever their names; with the row's id it names the row, and equal rows share a name."""
+    comparable = lambda c, kind: F.to_json(F.struct(F.array_sort(F.map_entries(c)))) if kind == "map" else c
+    return F.xxhash64(*[comparable(F.col(f"`{f.name}`"), f.dataType.typeName()) for f in df.schema.fields])
 
 
-def attach(docs: DataFrame, decided: DataFrame, doc_id: str, value: str) -> DataFrame:
-    """Rows of docs that ``decided`` names, with its value; one row for each name, so equal rows become one.
+def attach(docs: DataFrame, decided: DataFrame, doc_id: str, value: str | None = None) -> DataFrame:
+    """Rows of docs that ``decided`` names, with its value, if asked for, as last column; one row for each name, so equal rows become one.
 
     decided: ``__id``, ``__hash``, ``__rows`` (how many rows of docs have the name) and the value. Only names with several rows
     are made distinct; the others pass a plain join.
     """
-    named = docs.withColumn("__hash", row_hash(docs))
-    hit = named.join(decided, named[doc_id].eqNullSafe(decided["__id"]) & (named["__hash"] == decided["__hash"])).select(*[named[c] for c in docs.columns], "__rows", decided[value].alias(value))
-    several = hit.where("__rows > 1").dropDuplicates([doc_id, *(c for c in docs.columns if c != doc_id)])
-    return hit.where("__rows = 1").unionByName(several).drop("__rows")
+    plain, names = plain_names(docs)
+    decided = decided.select("__id", F.col("__hash").alias("__name"), "__rows", (F.col(value) if value else F.lit(None)).alias("__value"))
+    hit = plain.withColumn("__hash", row_hash(plain)).join(decided, F.col(names[doc_id]).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__name")))
+    several = hit.where("__rows > 1").dropDuplicates(["__id", "__hash"])
+    found = hit.where("__rows = 1").unionByName(several)
+    return found.select(*names.values(), "__value").toDF(*names, value) if value else found.select(*names.values()).toDF(*names)

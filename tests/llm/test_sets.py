@@ -130,14 +130,19 @@ def test_the_language_stage_uses_what_it_infers(spark):
 
 
 def test_pipeline_with_odd_rows(spark, odd_docs, no_docs):
-    docs = odd_docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        docs = corpus_pipeline.written(stage(spark, docs, SF))
-    assert docs.count() > 0
-    empty = no_docs.select("doc_id", "text", "lang", "source", "n_chars")
-    for _, stage in corpus_pipeline.STAGES:
-        empty = stage(spark, empty, SF)
-    assert empty.collect() == []
+    """All columns of odd_docs, and others with the names that stages make, pass through every stage."""
+    clash = ["score", "n_hit", "languages", "lang_pred", "gain", "__text", "__hash", "__id", "__rows", "slot", "size_", "c0", "copies", "__copies", "text_crc32"]
+    odd = odd_docs.selectExpr("*", *[f"concat('{c}', doc_id) `{c}`" for c in clash], "map('k', doc_id) m", "struct(doc_id) st")
+    for docs in (odd, odd.limit(0), odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), no_docs.select("doc_id", "text", "lang", "source", "n_chars")):
+        columns, some = docs.columns, docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.written(stage(spark, docs, SF))
+            made = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"] if name == "shards" else []
+            assert len(docs.columns) == len(columns) + len(made) == len({c.lower() for c in docs.columns})
+            if name != "shards":
+                assert docs.columns == columns
+                assert all(r[c] is None or r[c] == f"{c}{r.doc_id}" for r in docs.collect() for c in clash if c in columns)
+        assert (docs.count() > 0) == (some > 0)
 
 
 @pytest.mark.parametrize("name", ["op5_url_filter", "op7_topk", "op10_mixing", "op4_sharding", "op6_decontamination"])
