@@ -15,8 +15,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, as_bytes, attach, durable, row_hash, word_starts
+from .common import arrow_map, as_bytes, durable, plain_names, row_hash, word_starts
 from .components import connected_components, pairs_across
+from .packets import sift
 
 BITS = 64
 
@@ -149,8 +150,20 @@ def one_of_each(
 
         rows, group = durable(named_sets(docs, doc_id, text, shingle)), "sid"
         roots = similar_groups(docs, rows, text, similarity, shingle, distance, blocks)
-    order = F.struct(F.col("__id").isNull().alias("a"), F.col("__id").alias("b"), F.col("__hash").alias("c"))
-    each = rows.join(roots, group, "left").select(F.coalesce("root", group).alias("root"), order.alias("o"))
-    first = each.groupBy("root", "o").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.min(F.struct("o", "n")).alias("m"))
-    decided = first.select(F.col("m.o.b").alias("__id"), F.col("m.o.c").alias("__hash"), F.col("m.n").alias("__rows"))
-    return attach(docs, decided, doc_id)
+    each = rows.join(roots, group, "left").select(F.coalesce("root", group).alias("root"), F.struct(F.col("__id").isNull().alias("a"), F.col("__id").alias("b"), F.col("__hash").alias("c")).alias("o"))
+    names = each.groupBy("root", "o").agg(F.count(F.lit(1)).alias("n"))
+    first = names.groupBy("root").agg(F.min("o").alias("first"))
+    # Names that go, and those that stay once of several rows. The rows of all others stay where they are.
+    odd = names.join(first, "root").where("o <> first or n > 1").select(F.col("o.b").alias("__id"), F.col("o.c").alias("__name"), (F.col("o") == F.col("first")).alias("__stays"))
+    odd = durable(odd.withColumn("__key", _name_key("__id", "__name")))
+    plain, columns = plain_names(docs)
+    named = plain.withColumn("__hash", row_hash(plain)).withColumn("__key", _name_key(columns[doc_id], "__hash"))
+    some, others = sift(named, "__key", odd.select("__key"), rows.count())
+    found = some.join(odd.drop("__key"), F.col(columns[doc_id]).eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__name")), "left")
+    once = found.where("__stays").dropDuplicates(["__id", "__hash"])
+    kept = found.where("__stays is null").unionByName(once).select(*columns.values()).unionByName(others.select(*columns.values()))
+    return kept.toDF(*columns)
+
+
+def _name_key(doc_id: str, name: str) -> F.Column:
+    return F.unhex(F.lpad(F.hex(F.xxhash64(F.col(doc_id), F.col(name))), 16, "0"))

@@ -171,10 +171,12 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
 
     about = rows.groupBy("sid").agg(F.min("n").alias("n"), *[F.min(q).alias(q) for q in SIGNATURE])
 
-    def differ(a: str, b: str) -> F.Column:
+    def bits(a: str, b: str) -> F.Column:
+        return sum((F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}"))) for q in SIGNATURE), F.lit(0))
+
+    def near(a: str, b: str) -> F.Column:
         """Whether the signatures, and sizes, of two sets leave room for the similarity: sets that share s of all differ in (1 - s) / (1 + s) of their sizes."""
-        bits = sum((F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}"))) for q in SIGNATURE), F.lit(0))
-        return bits <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
+        return bits(a, b) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
 
     hashed = F.unhex(F.lpad(F.hex("__hash"), 16, "0"))
     # SimHash: members of a block's bucket and its pivot, within the distance
@@ -203,7 +205,7 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
     def links(pairs: DataFrame) -> DataFrame:
         """Verified ones of pairs a, b: by their signatures, then by their sets."""
         side = lambda x: about.select(F.col("sid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *SIGNATURE)])
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(differ("a_", "b_")).select("a", "b")
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_")).select("a", "b")
         first = pairs.join(whole.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a")
         both = first.join(whole.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "set_a", "set_b")
         return arrow_map(both, verify, "u bigint, v bigint")
@@ -223,9 +225,15 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
     grouped = crowded.select("key", "sid", "n", "place").join(roots, F.col("sid") == F.col("node"), "left")
     grouped = durable(grouped.select("key", F.col("sid").alias("node"), "n", "place", F.coalesce("root", "sid").alias("root")))
     signed = about.select(F.col("sid").alias("node"), *SIGNATURE)
-    across = pairs_across(grouped, ["n", "place"], about=signed).where(possible("a_n", "a_place", "b_n", "b_place") & differ("a_", "b_"))
-    across = across.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
-    joined = connected_components(links(across).unionByName(edges(roots)))
+    across = pairs_across(grouped, ["n", "place"], about=signed).where(possible("a_n", "a_place", "b_n", "b_place") & near("a_", "b_"))
+    across = durable(across.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.min(bits("a_", "b_")).alias("bits")))
+    # the nearest other text by signature first: most groups are joined by then, and need no more of their pairs
+    nearest = across.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b")).select("a", "b")
+    joined = connected_components(links(nearest).unionByName(edges(roots)))
+    of = lambda name: joined.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+    apart = across.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b"))
+    apart = apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    joined = connected_components(links(apart).unionByName(edges(joined)))
     return joined.select(F.col("node").alias("sid"), "root")
 
 

@@ -10,7 +10,7 @@ import xxhash
 
 import corpus_pipeline
 from sylvan.llm import simhash, similar, sketch, substring, suffix
-from sylvan.llm.components import connected_components
+from sylvan.llm.components import connected_components, pairs_across
 
 
 def sha(data):
@@ -87,14 +87,50 @@ def test_chain_and_dense_cluster(spark):
 
 
 def test_one_of_each(odd_docs, no_docs):
+    """Of each component of the graph of all pairs, the row with the smallest id stays, nulls last, and of equal rows one."""
+    source = odd_docs.collect()
+    prints = [slow_fingerprint(r.text, 5) for r in source]
+    root = list(range(len(source)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(source)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    groups = {}
+    for i, r in enumerate(source):
+        groups.setdefault(find(i), []).append(r)
     kept = simhash.one_of_each(odd_docs).collect()
-    assert kept[0].__fields__ == odd_docs.columns
-    prints = [slow_fingerprint(r.text, 5) for r in kept]
-    assert len(prints) == len(set(prints))
-    assert {slow_fingerprint(r.text, 5) for r in odd_docs.collect()} - set(prints) <= {p ^ q for p in prints for q in [0]} | {slow_fingerprint(r.text, 5) for r in odd_docs.collect()}
+    assert kept[0].__fields__ == odd_docs.columns and len(kept) == len(groups) < len(set(source))
+    order = lambda r: (r.doc_id is None, r.doc_id or 0)
+    for rows in groups.values():
+        mine = [r for r in kept if r in rows]
+        assert len(mine) == 1 and order(mine[0]) == min(map(order, rows))
     assert simhash.one_of_each(no_docs).collect() == []
 
 
+def test_dense_buckets_with_outsiders_make_few_pairs(spark):
+    """One bucket of 10,000 members of a group and 20 outsiders: as many pairs as members times outsiders at most, and each pair across groups is there."""
+    rows = [(1, i, 0) for i in range(10_000)] + [(1, 10_000 + i, 10_000 + i) for i in range(20)] + [(2, i, 5) for i in range(50)]
+    named = spark.createDataFrame(rows, "key bigint, node bigint, root bigint").repartition(5)
+    pairs = pairs_across(named, [])
+    assert pairs.count() == 10_000 * 20 + 20 * 19 // 2
+    assert pairs.where("a_root = b_root").count() == 0 and pairs.where("a_node >= 10000").count() == pairs.count()
+
+
+def test_near_groups_of_a_dense_bucket(spark):
+    """10,000 fingerprints around one, and outsiders that share most of their blocks: the groups are those of all pairs."""
+    rng = np.random.default_rng(12)
+    center = 0x00FF00FF00FF00FF
+    members = {center}
+    while len(members) < 10_000:
+        members.add(center ^ (1 << int(rng.integers(62))) ^ (1 << int(rng.integers(62))) ^ (1 << int(rng.integers(62))))
+    outside = {center ^ sum(1 << b for b in (0, 8, 16, 24, 32, 40, 48, 56, 4 + i, 20 + i, 36 + i, 52 + i)) for i in range(4)}
+    got = {r.fp: r.root for r in simhash.near_groups(spark.createDataFrame([(v,) for v in members | outside], "fp bigint")).collect()}
+    assert len({got[m] for m in members}) == 1
+    for o in outside:
+        assert o not in got or got[o] != got[center] or min((o ^ m).bit_count() for m in members) <= 4
+
+
 def slow_stay(rows, t=0.8, k=5):
     """Ids that stay, over all pairs of texts."""
     sets = []
