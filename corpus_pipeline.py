@@ -34,7 +34,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     blank texts are one group; null ids come last; of rows with one id the one with the least hash stays, and of wholly equal rows
     one. An empty table stays empty, and other columns, whatever their names, pass as they are.
     """
-    return one_of_each(docs, distance=4, shingle=5, similarity=0.8)
+    return one_of_each(docs, distance=3, shingle=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
