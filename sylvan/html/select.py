@@ -24,6 +24,8 @@ class SelectorLimits:
     compound_parts: int = 512
     complex_parts: int = 512
     depth: int = 100
+    match_steps: int = 100_000_000
+    match_bytes: int = 100_000_000
 
 
 @dataclass(frozen=True)
@@ -220,11 +222,16 @@ def solid(node: Node) -> bool:
 
 
 class Matcher:
-    """Matches nodes of one tree, whose structure may be asked for again after changes by a new matcher."""
+    """Matches nodes of one tree, whose structure may be asked for again after changes by a new matcher.
 
-    def __init__(self) -> None:
+    A matcher has a budget of steps (simple selectors tried on nodes) and of characters of text that :contains() builds, over all
+    its matches; beyond it, it fails.
+    """
+
+    def __init__(self, limits: SelectorLimits = SelectorLimits()) -> None:
         self.places: dict[int, tuple] = {}
         self.texts: dict[int, str] = {}
+        self.steps, self.bytes = limits.match_steps, limits.match_bytes
 
     def place(self, node: Node) -> tuple[int, int, int, int, Node | None]:
         """(index, count, index by type, count by type, previous sibling) among solid siblings."""
@@ -286,6 +293,9 @@ class Matcher:
         return None
 
     def compound(self, node: Node, parts: Compound) -> bool:
+        self.steps -= len(parts)
+        if self.steps < 0:
+            raise SelectorError("Selector match budget exceeded")
         return all(self.simple(node, p) for p in parts)
 
     def simple(self, node: Node, s: Simple) -> bool:
@@ -321,7 +331,10 @@ class Matcher:
             if not s.value:
                 return True
             if id(node) not in self.texts:
-                self.texts[id(node)] = node.to_text()
+                self.texts[id(node)] = text = node.to_text()
+                self.bytes -= len(text)
+                if self.bytes < 0:
+                    raise SelectorError("Selector byte budget exceeded")
             return s.value in self.texts[id(node)]
         if node.parent is None:
             return False
@@ -361,9 +374,9 @@ def attr_ok(value: str, op: str | None, wanted: str | None) -> bool:
     return wanted in value
 
 
-def query(root: Node, selector: str) -> list[Node]:
+def query(root: Node, selector: str, limits: SelectorLimits = SelectorLimits()) -> list[Node]:
     """Descendants that match, in document order."""
-    parsed, matcher = parse_selector(selector), Matcher()
+    parsed, matcher = parse_selector(selector, limits), Matcher(limits)
     return [n for n in root.descendants() if (n.ns is not None or n.name in ("!doctype", "#comment")) and matcher.matches(n, parsed)]
 
 

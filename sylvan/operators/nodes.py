@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from ..functions.text import strip as strip_column
 from ..html.dom import from_rows
 from ..html.rows import NodeColumns
-from ..html.transforms import apply_transforms
+from ..html.policy import SanitizationPolicy
+from ..html.transforms import HardenRawtext, apply_transforms
 from ..html.select import parse_selector
 from ..plans.selector import SelectorPlan, attr, plan_selector
 from ..plans.transforms import relational, split
 from ..schema import NODES
+from .pages import parse_html
 
-__all__ = ["attr", "nodes_to_pages", "select", "select_one", "to_text", "transform_nodes"]
+__all__ = ["attr", "nodes_to_pages", "parse_nodes", "select", "select_one", "to_text", "transform_nodes"]
 
 
 def select(nodes: DataFrame, selector: str, page_id: str = "page_id") -> DataFrame:
@@ -84,3 +86,16 @@ def nodes_to_pages(nodes: DataFrame, format: str = "html", page_id: str = "page_
         return pa.table({page_id: table.column(page_id)[:1].combine_chunks(), "output": pa.array([write(root)], pa.string())})
 
     return _by_page(nodes, page_id, one, "output string")
+
+
+def parse_nodes(nodes: DataFrame, page_id: str = "page_id", *, sanitize: bool = True, policy: SanitizationPolicy | None = None, **options) -> DataFrame:
+    """The node table of pages that come as nodes, not as text: raw text is hardened, each tree written, parsed again and, by default, sanitized.
+
+    A tree built by hand may hold what no parser makes; only what survives being written and parsed is judged by the sanitizer.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        root = apply_transforms(from_rows(table.to_pylist()), [HardenRawtext(policy=policy)])
+        return pa.table({page_id: table.column(page_id)[:1].combine_chunks(), "html": pa.array([root.to_html()], pa.string())})
+
+    return parse_html(_by_page(nodes, page_id, one, "html string"), page_id, "html", sanitize=sanitize, policy=policy, **options)

@@ -12,7 +12,7 @@ from .functions import text as T
 from .html import transforms as X
 from .html.policy import DEFAULT_POLICY
 from .html.urls import UrlPolicy, UrlRule
-from .operators import attr, find_nodes, html_errors, html_events, nodes_to_pages, parse_html, run, select, transform_nodes
+from .operators import attr, find_nodes, html_errors, html_events, nodes_to_pages, parse_html, parse_nodes, run, select, transform_nodes
 from .sources import materialize
 
 
@@ -171,6 +171,11 @@ def tree_dump(spark, sf):
     return nodes_to_pages(_nodes(spark, sf), "test")
 
 
+def reparsed_html(spark, sf):
+    """Node trees as the source: hardened, written, parsed again and sanitized; then written."""
+    return nodes_to_pages(parse_nodes(_nodes(spark, sf)))
+
+
 def srcset_clean(spark, sf):
     rule = UrlPolicy(default_handling="allow", allow_rules={("img", "srcset"): UrlRule(allowed_schemes=("https", "http"))})
     pages = _table(spark, sf, "pages")
@@ -182,7 +187,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         page_title, page_lang_counts, nav_links, nav_link_places, comments, sibling_counts, tag_counts, bold_counts, event_counts, sanitized_links,
         url_clean, escapes, emails, ipv4, encoding_labels, relational_transforms, decoded_pages, sanitized_html, page_text, page_markdown,
-        pretty_html, cleaned_html, walked_transforms, page_errors, contains_text, tree_dump, srcset_clean,
+        pretty_html, cleaned_html, walked_transforms, page_errors, contains_text, tree_dump, reparsed_html, srcset_clean,
     )
 }
 
@@ -327,3 +332,4 @@ ORACLES: dict[str, str] = {
 
 QUERIES.update(golden.QUERIES)
 ORACLES.update(golden.ORACLES)
+ORACLES["reparsed_html"] = ORACLES["sanitized_html"]

@@ -71,3 +71,13 @@ def test_text_and_pages(spark):
     assert {tuple(r) for r in to_text(nodes, select(nodes, "p, b")).drop("pre").collect()} == {(1, "a b"), (1, "b"), (1, "c")}
     assert [r.name for r in select_one(nodes, "p, title").collect()] == ["title"]
     assert {r.page_id: r.output for r in nodes_to_pages(nodes).collect()} == {1: parse(pages.first().html).to_html(), 2: parse(None).to_html()}
+
+
+def test_matching_has_a_budget():
+    from sylvan.html.select import SelectorError, SelectorLimits, query
+
+    root = parse("<div>" * 30 + "<p>a</p>" * 50)
+    assert len(query(root, "div div p")) == 50
+    for limits in (SelectorLimits(match_steps=100), SelectorLimits(match_bytes=10)):
+        with pytest.raises(SelectorError):
+            query(root, "div div p:contains('b'), div:contains('b')", limits)
