@@ -134,6 +134,17 @@ def decoded_pages(spark, sf):
     return pages.select("page_id", got.alias("d")).select("page_id", F.col("d.encoding").alias("encoding"), F.md5("d.html").alias("digest"))
 
 
+def decoded_bytes(spark, sf):
+    """Pages as bytes in UTF-16 with a mark, in Latin-1 as declared by a server, and in Latin-1 as their own meta element says."""
+    pages = _table(spark, sf, "pages").where(~F.col("html").rlike("[^\\x00-\\xFF]"))
+    named = F.replace(F.col("html"), F.lit('charset="utf-8"'), F.lit('charset="iso-8859-1"'))
+    out = None
+    for how, raw, label in (("mark", F.encode("html", "UTF-16"), None), ("declared", F.encode("html", "ISO-8859-1"), "latin1"), ("meta", F.encode(named, "ISO-8859-1"), None)):
+        one = pages.select("page_id", F.lit(how).alias("how"), T.decode_html(raw, F.lit(label).cast("string")).alias("d")).select("page_id", "how", F.col("d.encoding").alias("encoding"), F.md5("d.html").alias("digest"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def sanitized_html(spark, sf):
     return run(_pages(spark, sf)).select("page_id", "output")
 
@@ -186,7 +197,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         page_title, page_lang_counts, nav_links, nav_link_places, comments, sibling_counts, tag_counts, bold_counts, event_counts, sanitized_links,
-        url_clean, escapes, emails, ipv4, encoding_labels, relational_transforms, decoded_pages, sanitized_html, page_text, page_markdown,
+        url_clean, escapes, emails, ipv4, encoding_labels, relational_transforms, decoded_pages, decoded_bytes, sanitized_html, page_text, page_markdown,
         pretty_html, cleaned_html, walked_transforms, page_errors, contains_text, tree_dump, reparsed_html, srcset_clean,
     )
 }
@@ -327,6 +338,11 @@ ORACLES: dict[str, str] = {
             || ['|     <article>', '|       <h1>', '|         "' || {_P.format("h1")} || '"', tree_p, '|     <footer>']
             || list_transform(range(0, o), lambda k: '| ' || repeat('  ', CAST(k AS INTEGER) + 3) || '<b>') || ['| ' || repeat('  ', o + 3) || '"' || {_P.format("footer")} || '"'], chr(10)) AS output FROM whole""",
     "srcset_clean": "SELECT page_id, CASE WHEN regexp_matches(url, '^https?://') OR url NOT LIKE '%:%' THEN url || ' 1x, /x.png 2x' END AS srcset FROM pages",
+    "decoded_bytes": r"""
+        WITH p AS (SELECT page_id, html FROM pages WHERE NOT regexp_matches(html, '[^\x00-\x{FF}]'))
+        SELECT page_id, 'mark' AS how, 'utf-16be' AS encoding, md5(html) AS digest FROM p
+        UNION ALL SELECT page_id, 'declared', 'windows-1252', md5(html) FROM p
+        UNION ALL SELECT page_id, 'meta', 'windows-1252', md5(replace(html, 'charset="utf-8"', 'charset="iso-8859-1"')) FROM p""",
     "decoded_pages": "SELECT page_id, 'utf-8' AS encoding, md5(html) AS digest FROM pages",
 }
 
