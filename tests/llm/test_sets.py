@@ -145,6 +145,14 @@ def test_pipeline_with_odd_rows(spark, odd_docs, no_docs):
         assert (docs.count() > 0) == (some > 0)
 
 
+@pytest.mark.parametrize("name", ["op1_simhash", "op2_substring", "op3_suffix", "op4_sharding", "op6_decontamination", "op8_hmm", "op9_language", "op10_mixing"])
+def test_registered_queries_give_a_row_for_each_document(spark, name):
+    from sylvan.llm.queries import QUERIES
+
+    got = [r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()]
+    assert sorted(got) == sorted(r.doc_id for r in table(spark, SF, "documents").select("doc_id").collect())
+
+
 @pytest.mark.parametrize("name", ["op5_url_filter", "op7_topk", "op10_mixing", "op4_sharding", "op6_decontamination"])
 def test_registered_queries(spark, name):
     from sylvan.llm.queries import QUERIES
