@@ -21,17 +21,18 @@ ORACLES: dict[str, str] = {
             CASE WHEN n IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]) END AS kept FROM d LEFT JOIN lists USING (r))
         SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k""",
     "op3_suffix": """
-        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-        s AS (SELECT doc_id, unnest(range(0, length(h) // 2 - 49)) AS i, h FROM d WHERE length(h) >= 100),
-        hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY md5(substr(h, 2 * i + 1, 100))) AS least FROM s) WHERE least < doc_id),
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+        s AS (SELECT doc_id, unnest(range(0, octet_length(t) - 49)) AS i, t FROM d WHERE octet_length(t) >= 50),
+        w AS (SELECT doc_id, i, md5(t[i + 1:i + 50]) AS k FROM s),
+        hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY k) AS least FROM w) WHERE least < doc_id),
         runs AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM hit),
         marks AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM runs),
         spans AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM marks GROUP BY doc_id, run),
         pieces AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS x, a AS y, b - a AS n FROM spans),
-        cut AS (SELECT p.doc_id, count(*) AS n_spans, sum(n) AS n_removed, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' ORDER BY x) AS kept, max(y + n) AS last
+        cut AS (SELECT p.doc_id, count(*) AS n_spans, sum(n) AS n_removed, string_agg(hex(t[x + 1:y]), '' ORDER BY x) AS kept, max(y + n) AS last
             FROM pieces p JOIN d ON p.doc_id = d.doc_id GROUP BY p.doc_id)
-        SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
-            sha256(unhex(CASE WHEN kept IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
+        SELECT d.doc_id, CAST(octet_length(t) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+            sha256(CASE WHEN kept IS NULL THEN t ELSE unhex(kept || hex(t[last + 1:octet_length(t)])) END) AS kept_sha256
         FROM d LEFT JOIN cut ON d.doc_id = cut.doc_id""",
     "op5_url_filter": rf"""
         WITH {_RULES},
