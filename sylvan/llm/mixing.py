@@ -140,9 +140,18 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rest = F.col("rest") - F.col("__before")
     out = [*[F.col(f"`{c}`") for c in keep], F.col("size"), F.col("source_size"), F.col("target")]
     easy = located.where("__whole or __none").select(*out, (F.col("size") * (F.col("passes") + F.when(F.col("__whole"), 1).otherwise(0))).alias("taken"))
+    # In the cell with the cut, rows of one order and size are counted together; only the group that the cut falls in is numbered,
+    # and as its rows have one size, it doesn't matter which of those with one id come first.
+    hard = located.where("not (__whole or __none)")
+    upto = Window.partitionBy("__name", "__cell").orderBy("__order", "size").rowsBetween(Window.unboundedPreceding, -1)
+    groups = hard.groupBy("__name", "__cell", "__order", "size").agg(F.count(F.lit(1)).alias("__rows"))
+    groups = groups.withColumn("__sofar", F.coalesce(F.sum(F.col("size") * F.col("__rows")).over(upto), F.lit(0)))
+    hard = hard.join(groups, ["__name", "__cell", "__order", "size"]).withColumn("__left", rest - F.col("__sofar"))
+    cut = (F.col("__left") > 0) & (F.col("__left") < F.col("size") * F.col("__rows"))
+    clear = hard.where(~cut).select(*out, (F.col("size") * (F.col("passes") + F.when(F.col("__left") > 0, 1).otherwise(0))).cast("bigint").alias("taken"))
     ids = [F.col(f"`{c}`") for c in keep if docs.schema[c].dataType.typeName() not in ("map", "variant")]
-    sofar = Window.partitionBy("__name", "__cell").orderBy("__order", "size", *ids).rowsBetween(Window.unboundedPreceding, -1)
-    hard = located.where("not (__whole or __none)").withColumn("__sofar", F.coalesce(F.sum("size").over(sofar), F.lit(0)))
-    part = F.greatest(F.lit(0), F.least("size", rest - F.col("__sofar")))
-    hard = hard.select(*out, (F.col("size") * F.col("passes") + part).cast("bigint").alias("taken"))
+    among = Window.partitionBy("__name", "__cell", "__order", "size").orderBy(*(ids or [F.lit(1)]))
+    part = F.greatest(F.lit(0), F.least("size", F.col("__left") - (F.row_number().over(among) - 1) * F.col("size")))
+    split = hard.where(cut).select(*out, (F.col("size") * F.col("passes") + part).cast("bigint").alias("taken"))
+    hard = clear.unionByName(split)
     return easy.unionByName(hard)
