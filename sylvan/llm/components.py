@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import arrow_map, durable
+
+
+#: Edges that one task joins by itself; more are joined by rounds over all machines.
+TOGETHER = 1 << 18
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a small graph to (node, smallest reachable node)."""
+    ends = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    if not ends:
+        return
+    nodes, at = np.unique(np.concatenate(ends, axis=1), return_inverse=True)
+    root = list(range(len(nodes)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for a, b in at.reshape(2, -1).T.tolist():
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)  # nodes are in order, so the smallest becomes the root
+    found = nodes[[find(i) for i in range(len(nodes))]]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.int64())], ["node", "root"])
 
 
-def connected_components(edges: DataFrame, source: str = "u", target: str = "v") -> DataFrame:
+def connected_components(edges: DataFrame, source: str = "u", target: str = "v", together: int = TOGETHER) -> DataFrame:
     """Smallest reachable node of every node that has an edge: columns ``node``, ``root`` (both bigint).
 
-    Alternates large-star and small-star steps. A node's neighbours are never gathered into one row: minima are partial
+    A graph of ``together`` edges at most, a bound of few MB, is joined in one task. A larger one alternates large-star and small-star steps. A node's neighbours are never gathered into one row: minima are partial
     aggregates and return by a join, which adaptive execution splits for hub nodes. Only a count and a checksum of the edge
     set reach the driver. Self loops, repeated edges and rows with a null end have no effect; an empty table gives an empty one.
     """
     now = edges.select(F.greatest(source, target).alias("u"), F.least(source, target).alias("v"))
     now = durable(now.where("u <> v").distinct())
+    if now.count() <= together:
+        return durable(arrow_map(now.coalesce(1), _joined, "node bigint, root bigint"))
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

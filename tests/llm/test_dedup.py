@@ -29,7 +29,10 @@ def slow_fingerprint(text, k=4):
 def test_components(spark):
     rng = np.random.default_rng(1)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(500 + i, 501 + i) for i in range(40)] + [(900, 900 + i) for i in range(50)] + [(7, 7), (None, 3)]
-    got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    frame = spark.createDataFrame(edges, "u bigint, v bigint")
+    got = {r.node: r.root for r in connected_components(frame, together=0).collect()}
+    assert got == {r.node: r.root for r in connected_components(frame).collect()}
+    assert connected_components(frame.limit(0)).collect() == []
     root = {}
     find = lambda x: x if root.setdefault(x, x) == x else find(root[x])
     for a, b in edges:
