@@ -1,6 +1,6 @@
 """Histogram-sort sharding: near-equal bytes for every shard, with DataFrame operations only.
 
-Rows are ordered by (key, doc_id), where the key is a digest of the text, so equal texts are neighbours. Splitters are found
+Shards are ranges of (key, doc_id), where the key is a digest of the text, so equal texts meet in a shard. Splitters are found
 by counting exact bytes in ranges of candidate boundaries, then refining only the ranges that a target falls in; the rows
 are exchanged once, after the splitters are known.
 """
@@ -85,8 +85,8 @@ def splitters(keyed: DataFrame, shards: int, tolerance: float = 0.0) -> list[tup
 def histogram_shards(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = 8, tolerance: float = 0.0, keep: list[str] | None = None) -> DataFrame:
     """Shard, and a gapless slot within it, of every row; columns ``keep`` (default: the id), then size, text_crc32, law, shard, slot, grown_shard.
 
-    Law ``bytes``: shards differ by at most the tolerance and one row's size on each boundary. Equal texts are neighbours and
-    share a shard unless a boundary falls among them. A null text counts as empty (size 1); a null id sorts first; rows equal
+    Law ``bytes``: shards differ by at most the tolerance and one row's size on each boundary. Equal texts
+    share a shard unless a boundary falls among them. Slots follow the key's first bits, then the id's remainder by 16, the key and the id. A null text counts as empty (size 1); a null id sorts first; rows equal
     in id and text stay together; an empty table gives none.
     """
     keep = [doc_id] if keep is None else keep
