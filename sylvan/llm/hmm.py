@@ -411,10 +411,13 @@ def _add(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(sent, names: list[str]):
-    """Model log10 probability, and the hot words' share of the sums of log10(count + ADD) and of the known tokens."""
+    """Model log10 probability, and the hot words' share of the sums of log10(count + ADD) and of the known tokens.
+
+    Hot words that are classes of their own are told by their class; the few others are looked up.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, model, offset, hot, hot_logs, hot_known = sent.value
+        classes, model, offset, class_logs, class_known, others = sent.value
 
         def rows() -> Iterator[tuple[tuple, np.ndarray]]:
             for b in batches:
@@ -422,8 +425,12 @@ def _score(sent, names: list[str]):
                 for row, text in zip(kept, as_bytes(b.column(0)), strict=True):
                     words = text.lower().split()
                     words.append(END)
-                    at = np.fromiter(map(hot.get, words, repeat(-1)), np.int64, len(words))
-                    yield (*row, float(hot_logs[at].sum()), int(hot_known[at].sum())), np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
+                    of = np.fromiter(map(classes.__getitem__, words), np.int64, len(words))
+                    logs, known = float(class_logs[of].sum()), int(class_known[of].sum())
+                    if others:
+                        found = [others[w] for w in words if w in others]
+                        logs, known = logs + sum(x for x, _ in found), known + sum(y for _, y in found)
+                    yield (*row, logs, known), of
 
         for kept, texts in batches_of(rows()):
             value, _ = model.batch(texts, False)
@@ -518,8 +525,12 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", held_mod:
         if value[0] - last < settled * n_tokens:
             break
         last = value[0]
-    hot_logs, hot_known = np.append(np.log10(hot_counts + ADD), 0.0), np.append(hot_counts > 0, False)
-    sent = spark.sparkContext.broadcast((classes, model, offset, {w: i for i, w in enumerate(hot)}, hot_logs, hot_known))
+    values = {w: (float(np.log10(c + ADD)), int(c > 0)) for w, c in zip(hot, hot_counts.tolist(), strict=True)}
+    class_logs, class_known = np.zeros(n), np.zeros(n, np.int64)
+    for i, (w, _) in enumerate(top):
+        if w in values:
+            class_logs[i], class_known[i] = values.pop(w)
+    sent = spark.sparkContext.broadcast((classes, model, offset, class_logs, class_known, values))
     names = ["doc_id", "held_out", "__key", "__hot_logs", "__hot_known", "n_tokens", "__value"]
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, __key binary, __hot_logs double, __hot_known bigint, n_tokens bigint, __value double"
     scored = arrow_map(rows.select("__text", "doc_id", "held_out", "__key"), _score(sent, names), kinds)
