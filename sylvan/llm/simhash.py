@@ -72,7 +72,8 @@ def exploded_keys(prints: DataFrame, distance: int, blocks: int | None = None) -
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
     keys = [F.struct(F.lit(i).alias("number"), F.xxhash64(F.lit(i), *[value(*s) for s in spans]).alias("key")) for i, spans in enumerate(block_keys(distance, blocks))]
-    return prints.repartition(parts, "fp").withColumn("k", F.explode(F.array(*keys))).select(*prints.columns, "k.number", "k.key")
+    dealt = prints.repartition(parts, F.xxhash64("fp"))  # by another key than that of a distinct before it, else both are one exchange of few tasks
+    return dealt.withColumn("k", F.explode(F.array(*keys))).select(*prints.columns, "k.number", "k.key")
 
 
 def narrower_keys(distance: int, blocks: int | None = None) -> F.Column:
