@@ -63,22 +63,24 @@ def connected_components(edges: DataFrame, source: str = "u", target: str = "v",
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def pairs_across(named: DataFrame, columns: list[str], within: Column | None = None, about: DataFrame | None = None) -> DataFrame:
+def pairs_across(named: DataFrame, columns: list[str], within: Column | None = None, about: DataFrame | None = None, few: int = 0) -> DataFrame:
     """Pairs of members of one bucket that belong to different groups: columns ``a_*`` and ``b_*`` of ``node``, ``root`` and ``columns``.
 
     ``named`` has key, node, root and ``columns``. Members of a bucket's largest group meet only those outside it, so that a dense
     bucket with an outsider gives as many rows as it has members, and not their square. ``within`` may give an array of narrower
-    keys of a row, of which two members share one at least if they are to be paired. ``about`` has more columns of a ``node``, which
+    keys of a row, of which two members share one at least if they are to be paired; buckets with ``few`` members outside the largest
+    group at most do without them, as whole pairs are fewer there than narrower keys. ``about`` has more columns of a ``node``, which
     only members of buckets with several groups are given.
     """
     sizes = named.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("key", "main")
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("groups"), (F.sum("n") - F.max("n")).alias("outside")).where("groups > 1").select("key", "main", "outside")
     open_ = named.join(largest, "key")
     on = ["key"]
     if about is not None:
         open_, columns = open_.join(about, "node"), [*columns, *(c for c in about.columns if c != "node")]
     if within is not None:
-        open_, on = open_.withColumn("narrow", F.explode(within)), ["key", "narrow"]
+        narrow = F.when(F.col("outside") <= few, F.array(F.lit(0).cast("bigint"))).otherwise(within)
+        open_, on = open_.withColumn("narrow", F.explode(narrow)), ["key", "narrow"]
     names = ["node", "root", *columns]
     rest = open_.where("root <> main").select(*on, *[F.col(c).alias(f"a_{c}") for c in names])
     other = open_.select(*on, "main", *[F.col(c).alias(f"b_{c}") for c in names])

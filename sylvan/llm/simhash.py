@@ -95,7 +95,7 @@ def near_groups(fingerprints: DataFrame, distance: int = 4, blocks: int | None =
     1. Every key's bucket gets a pivot, chosen by hash so that buckets of one dense cluster have different pivots; members
        within the distance are linked to it. That joins dense clusters with as many links as members.
     2. In buckets that still hold several groups, members outside the largest one meet those of other groups by narrower
-       keys, and are verified.
+       keys, and are verified; where those outside are few, all pairs with them are.
     No pair is lost: a pair in one group already needs no link of its own, a pair across groups is compared in step 2.
     """
     fps = fingerprints.select("fp").where("fp is not null").distinct()
@@ -107,7 +107,7 @@ def near_groups(fingerprints: DataFrame, distance: int = 4, blocks: int | None =
     star = crowded.where((F.col("fp") != F.col("pivot")) & near("fp", "pivot")).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
     roots = connected_components(star)
     named = crowded.select("key", "number", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("key", "number", "fp", F.col("fp").alias("node"), F.coalesce("root", "fp").alias("root"))
-    across = pairs_across(durable(named), [], narrower_keys(distance, blocks)).where(near("a_node", "b_node"))
+    across = pairs_across(durable(named), [], narrower_keys(distance, blocks), few=distance + 1).where(near("a_node", "b_node"))
     joined = connected_components(across.select(F.col("a_root").alias("u"), F.col("b_root").alias("v")))
     final = roots.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     known = final.select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root"))

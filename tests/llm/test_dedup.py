@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sylvan.llm import simhash, similar, sketch, substring, suffix
@@ -120,6 +121,17 @@ def test_dense_buckets_with_outsiders_make_few_pairs(spark):
     assert pairs.where("a_root = b_root").count() == 0 and pairs.where("a_node >= 10000").count() == pairs.count()
 
 
+def test_buckets_with_few_outsiders_make_no_narrower_keys(spark):
+    """Where few members are outside the largest group all pairs with them are made, without narrower keys; elsewhere those decide."""
+    rows = [(1, i, 0) for i in range(1_000)] + [(1, 1_000 + i, 1_000 + i) for i in range(3)] + [(2, i, 0) for i in range(50)] + [(2, 2_000 + i, 2_000 + i) for i in range(6)]
+    named = spark.createDataFrame(rows, "key bigint, node bigint, root bigint").repartition(3)
+    within = F.array(F.when(F.col("key") == 2, F.pmod("node", F.lit(2))).otherwise(F.raise_error("a narrower key was made").cast("bigint")))
+    pairs = {(r.a_node, r.b_node) for r in pairs_across(named, [], within, few=5).collect()}
+    outside = [r for r in rows if r[2]]
+    want = {(a, b) for k, a, x in outside for j, b, y in rows if k == j and x != y and (y == 0 or a < b) and (k == 1 or (a - b) % 2 == 0)}
+    assert pairs == want and len(want) == 3 * 1_000 + 3 + 6 * 25 + 2 * 3
+
+
 def test_near_groups_of_a_dense_bucket(spark):
     """10,000 fingerprints around one, and outsiders that share most of their blocks: the groups are those of all pairs."""
     rng = np.random.default_rng(12)
