@@ -5,7 +5,8 @@ Fingerprints of pairs just similar enough differ in many bits (about 10 of 64 at
 prefix-filtered join completes the links between the groups that SimHash made: all shingles have one global order. Two sets of similarity (shared / all shingles) t or more share one of the first n - ceil(t * n) + 1
 shingles of each, so these are the join keys. Shingles that a sketch says occur once come first and, as nothing can meet by
 them, are never sent; those that are common in a sample come last. The order decides only the cost: every candidate is
-verified on the whole sets, and no pair is left out.
+verified on the whole sets, and no pair is left out. Join keys travel packed and meet slice by slice, where those that only one
+set has are dropped: a sketch that is full, as on very large tables, lets more of them travel, but none becomes a row.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import sketch
 from .common import arrow_map, as_bytes, durable, row_hash
 from .components import connected_components, pairs_across
-from .packets import PACKET, sift
+from .packets import PACKET, by_slice, pack, packets, sift, unpack
 from .simhash import exploded_keys, one_of_each
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -107,13 +108,55 @@ def named_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFra
 
 SIGNATURE = [f"q{i}" for i in range(PARITY)]
 
+#: Join keys of a slice, if all shingles of all prefixes are sent, and join keys that a task packs together.
+SLICE_KEYS, BLOCK_KEYS = 400_000, 300_000
+CROWDED = "key bigint, sid bigint, n int, place int, p_sid bigint, p_n int, p_place int"
+
+
+def key_packets(parts: list[tuple[np.ndarray, ...]], slices: int) -> pa.RecordBatch:
+    """Join keys with the name, size and place of their sets, as packets of one slice each. Equal sets of the block are sent once."""
+    key, sid, n, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key = key * ODD  # prefixes prefer small hashes, slices are even
+    order = np.lexsort((sid, key))
+    key, sid, n, place = key[order], sid[order], n[order], place[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))
+    key, sid, n, place = key[fresh], sid[fresh], n[fresh].astype(np.int32), place[fresh].astype(np.int32)
+    cuts, out = np.searchsorted(((key >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32), np.arange(slices + 1)), []
+    for s, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+        if a < b:
+            out.append((s, pack(np.diff(key[a:b], prepend=np.uint64(0)), sid[a:b], n[a:b], place[a:b])))
+    return packets(out)
+
+
+def crowds(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+    """The members of a slice's keys that several sets have, each once, with the bucket's pivot.
+
+    The pivot depends on one of 4 orders, so that one dense cluster has few pivots, and not one alone.
+    """
+    parts = [unpack(p, "u8", "u8", "i4", "i4") for p in payloads]
+    key, sid, n, place = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in parts]), *(np.concatenate([x[i] for x in parts]) for i in (1, 2, 3))
+    del parts
+    rank = (sid ^ ((key & np.uint64(3)) + np.uint64(1)) * ODD) * sketch.ROWS[1]
+    order = np.lexsort((sid, rank ^ (rank >> np.uint64(31)), key))  # a bucket's first is its pivot
+    key, sid, n, place = key[order], sid[order], n[order], place[order]
+    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))
+    key, sid, n, place = key[fresh], sid[fresh], n[fresh], place[fresh]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    many = np.diff(np.append(first, len(key)))
+    pivot = np.repeat(first, many)
+    at = np.flatnonzero(np.repeat(many > 1, many))
+    for i in range(0, len(at), 50_000):
+        x = at[i : i + 50_000]
+        columns = [_signed(key[x]), _signed(sid[x]), pa.array(n[x]), pa.array(place[x]), _signed(sid[pivot[x]]), pa.array(n[pivot[x]]), pa.array(place[pivot[x]])]
+        yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CROWDED.split(", ")])
+
 
 def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: float, shingle: int, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """``sid``, ``root`` of the shingle sets that have a similar one; others are left out. ``rows``: as ``named_sets`` gives it.
 
     In SimHash's buckets and in those of the prefixes, a pivot meets all members and similar ones are linked; buckets of prefixes
     that then hold several groups are compared across groups. Pairs in one group already, and pairs that can't be similar by
-    their sizes and the places of the shared key, are dropped before their sets are fetched.
+    their sizes, the places of the shared key and their parity signatures, are dropped before their sets are fetched.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("__text"))
@@ -137,15 +180,18 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
     by = np.argsort(keys)
     sent = spark.sparkContext.broadcast((sketch.merged(arrow_map(texts, sketched, PACKET), bits), keys[by], times[by]))
 
+    slices = max(64, int((1 - similarity) * n_items + n_rows) // SLICE_KEYS)
+
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, common, weight = sent.value
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
         for _, sets in _sets(batches, 0, shingle):
             joined = np.concatenate(sets)
             rank = sketch.repeated(seen, joined, bits).astype(np.int64)
             if len(common):
                 at = np.minimum(np.searchsorted(common, joined), len(common) - 1)
                 rank = np.where(common[at] == joined, 1 + weight[at], rank)
-            out: list[list[np.ndarray]] = [[], [], [], []]
             begin = 0
             for values in sets:
                 n = len(values)
@@ -156,18 +202,16 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
                 if place >= first:
                     continue
                 order = np.argsort(mine, kind="stable")[place:first]  # values are sorted already
-                for column, x in zip(out, (values[order], np.full(len(order), _name(values), np.uint64), np.full(len(order), n), np.arange(place, first)), strict=True):
-                    column.append(x)
-            if out[0]:
-                key, sid, n, place = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([_signed(key), _signed(sid), pa.array(n, pa.int32()), pa.array(place, pa.int32())], ["key", "sid", "n", "place"])
-
-    keyed = durable(arrow_map(texts, prefixes, "key bigint, sid bigint, n int, place int").distinct())
+                out.append((values[order], np.full(len(order), _name(values), np.uint64), np.full(len(order), n), np.arange(place, first)))
+                held += len(order)
+            if held >= BLOCK_KEYS:
+                yield key_packets(out, slices)
+                out, held = [], 0
+        if out:
+            yield key_packets(out, slices)
+
+    crowded = durable(by_slice(arrow_map(texts, prefixes, PACKET), crowds, CROWDED))
     sent.destroy()
-    # a bucket's pivot depends on one of 4 orders, so that one dense cluster has few pivots, and not one alone
-    pick = F.struct(F.xxhash64("sid", F.pmod("key", F.lit(4))).alias("r"), "sid", "n", "place")
-    pivots = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(pick).alias("p")).where("many > 1")
-    crowded = durable(keyed.join(pivots.select("key", "p"), "key"))
 
     about = rows.groupBy("sid").agg(F.min("n").alias("n"), *[F.min(q).alias(q) for q in SIGNATURE])
 
@@ -178,24 +222,39 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
         """Whether the signatures, and sizes, of two sets leave room for the similarity: sets that share s of all differ in (1 - s) / (1 + s) of their sizes."""
         return bits(a, b) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
 
-    hashed = F.unhex(F.lpad(F.hex("__hash"), 16, "0"))
+    def signed(pairs: DataFrame) -> DataFrame:
+        """Pairs a, b that their signatures don't rule out."""
+        side = lambda x: about.select(F.col("sid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *SIGNATURE)])
+        return pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_")).select("a", "b")
+
+    def possible(n: str, place: str, m: str, other: str) -> F.Column:
+        """If this is the first shingle in which two sets meet: whether what is left of both can be similar."""
+        most = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other))
+        return most >= F.lit(similarity) * (F.col(n) + F.col(m) - most) - 1e-9
+
     # SimHash: members of a block's bucket and its pivot, within the distance
     hashed_sets = exploded_keys(rows.groupBy("sid").agg(F.min("fp").alias("fp")), distance, blocks)
     block_pivot = hashed_sets.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("sid", F.pmod("key", F.lit(4))).alias("r"), "sid", "fp")).alias("p")).where("many > 1")
     close = hashed_sets.join(block_pivot.select("key", "p"), "key").where((F.col("sid") != F.col("p.sid")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("p.fp"))) <= distance))
-    close = durable(close.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct())
-
-    met = crowded.select("sid").unionByName(close.select(F.col("a").alias("sid"))).unionByName(close.select(F.col("b").alias("sid"))).distinct()
-    wanted = rows.join(met, "sid").groupBy("sid").agg(F.min("__hash").alias("__hash"))
-    wanted = durable(wanted.select("sid", hashed.alias("__key")))
-    named = docs.withColumn("__hash", row_hash(docs)).select(F.col(f"`{text}`").cast("string").alias("__text"), hashed.alias("__key"))
-    held = sift(named, "__key", wanted.select("__key"), n_rows)[0].join(wanted, "__key").select("sid", "__text")
+    close = durable(signed(close.select(F.col("sid").alias("a"), F.col("p.sid").alias("b")).distinct()))
+    star = crowded.select(F.col("sid").alias("a"), "n", "place", F.col("p_sid").alias("b"), F.col("p_n").alias("m"), F.col("p_place").alias("other"))
+    star = durable(signed(star.where((F.col("a") != F.col("b")) & possible("n", "place", "m", "other")).select("a", "b").distinct()))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, 1, shingle):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], ["sid", "set"])
 
-    whole = durable(arrow_map(held, packed, "sid bigint, set binary").groupBy("sid").agg(F.min("set").alias("set")))
+    hashed = F.unhex(F.lpad(F.hex("__hash"), 16, "0"))
+
+    def fetched(sids: DataFrame) -> DataFrame:
+        """``sid, set`` of the named sets, made from their texts again."""
+        wanted = durable(rows.join(sids, "sid").groupBy("sid").agg(F.min("__hash").alias("__hash")).select("sid", hashed.alias("__key")))
+        named = docs.withColumn("__hash", row_hash(docs)).select(F.col(f"`{text}`").cast("string").alias("__text"), hashed.alias("__key"))
+        held = sift(named, "__key", wanted.select("__key"), n_rows)[0].join(wanted, "__key").select("sid", "__text")
+        return durable(arrow_map(held, packed, "sid bigint, set binary").groupBy("sid").agg(F.min("set").alias("set")))
+
+    ends = lambda pairs: pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid")))
+    whole = fetched(ends(close).unionByName(ends(star)).distinct())
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,30 +262,23 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
             yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
 
     def links(pairs: DataFrame) -> DataFrame:
-        """Verified ones of pairs a, b: by their signatures, then by their sets."""
-        side = lambda x: about.select(F.col("sid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *SIGNATURE)])
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_")).select("a", "b")
+        """Verified ones of pairs a, b, by their sets."""
         first = pairs.join(whole.select(F.col("sid").alias("a"), F.col("set").alias("set_a")), "a")
         both = first.join(whole.select(F.col("sid").alias("b"), F.col("set").alias("set_b")), "b").select(F.col("a").alias("u"), F.col("b").alias("v"), "set_a", "set_b")
         return arrow_map(both, verify, "u bigint, v bigint")
 
-    def possible(n: str, place: str, m: str, other: str) -> F.Column:
-        """If this is the first shingle in which two sets meet: whether what is left of both can be similar."""
-        most = F.least(F.col(n) - F.col(place), F.col(m) - F.col(other))
-        return most >= F.lit(similarity) * (F.col(n) + F.col(m) - most) - 1e-9
-
     edges = lambda roots: roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
     by_print = connected_components(links(close))
-    star = crowded.select(F.col("sid").alias("a"), "n", "place", F.col("p.sid").alias("b"), F.col("p.n").alias("m"), F.col("p.place").alias("other"))
-    star = star.where((F.col("a") != F.col("b")) & possible("n", "place", "m", "other")).select("a", "b").distinct()
     of = lambda name: by_print.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
     apart = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     roots = connected_components(links(apart).unionByName(edges(by_print)))
     grouped = crowded.select("key", "sid", "n", "place").join(roots, F.col("sid") == F.col("node"), "left")
     grouped = durable(grouped.select("key", F.col("sid").alias("node"), "n", "place", F.coalesce("root", "sid").alias("root")))
-    signed = about.select(F.col("sid").alias("node"), *SIGNATURE)
-    across = pairs_across(grouped, ["n", "place"], about=signed).where(possible("a_n", "a_place", "b_n", "b_place") & near("a_", "b_"))
+    across = pairs_across(grouped, ["n", "place"], about=about.select(F.col("sid").alias("node"), *SIGNATURE)).where(possible("a_n", "a_place", "b_n", "b_place") & near("a_", "b_"))
     across = durable(across.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.min(bits("a_", "b_")).alias("bits")))
+    more = durable(ends(across).distinct().join(whole, "sid", "left_anti"))
+    if more.take(1):
+        whole = whole.unionByName(fetched(more))
     # the nearest other text by signature first: most groups are joined by then, and need no more of their pairs
     nearest = across.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b")).select("a", "b")
     joined = connected_components(links(nearest).unionByName(edges(roots)))

@@ -188,6 +188,39 @@ def test_pairs_of_similarity_of_four_fifths(spark, odd_docs, no_docs):
     assert similar.one_of_similar(no_docs).collect() == []
 
 
+def test_join_keys_of_one_set_become_no_rows(spark, monkeypatch):
+    """With a sketch so full that it rules nothing out, as on very large tables, keys that one set alone has are dropped before they are rows, and the result is the same."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(200))) for i in range(40)]
+    rows += [(100 + i, f"{rows[0][1]} end{i}") for i in range(3)] + [(200, rows[1][1])]
+    made, keep = [], similar.durable
+
+    def counted(df):
+        out = keep(df)
+        made.append((set(df.columns), out.count()))
+        return out
+
+    monkeypatch.setattr(similar, "durable", counted)
+    monkeypatch.setattr(sketch, "merged", lambda partials, width: b"\xff" * (3 << width - 3))
+    kept = similar.one_of_similar(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == slow_stay(rows) == list(range(40))
+    assert 0 < max(n for columns, n in made if {"key", "place"} <= columns) <= 4 * 41  # the prefixes of 40 texts have 1,640 keys
+
+
+def test_crowds_are_the_keys_of_several_sets():
+    rng = np.random.default_rng(9)
+    key, sid = rng.integers(0, 40, 300).astype(np.uint64), rng.integers(0, 60, 300).astype(np.uint64)
+    parts = [(key[a : a + 50], sid[a : a + 50], sid[a : a + 50].astype(np.int64) + 7, key[a : a + 50].astype(np.int64) + 3) for a in range(0, 300, 50)]
+    sent = [p for a in (0, 2, 4) for p in zip(*similar.key_packets(parts[a : a + 2], 4).to_pydict().values(), strict=True)]
+    got = [r for s in range(4) if (mine := [p for n, p in sent if n == s]) for b in similar.crowds(s, iter(mine)) for r in b.to_pylist()]
+    want = {}
+    for k, s in zip(key.tolist(), sid.tolist(), strict=True):
+        want.setdefault(k, set()).add(s)
+    assert sorted((r["place"] - 3, r["sid"]) for r in got) == sorted((k, s) for k, v in want.items() if len(v) > 1 for s in v)
+    pivots = {(r["key"], r["p_sid"], r["p_n"] - 7, r["p_place"]) for r in got}
+    assert len(pivots) == len({r["key"] for r in got}) and all(s == n and s in want[p - 3] for _, s, n, p in pivots)
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(3)
     items = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
