@@ -67,13 +67,14 @@ def exploded_keys(prints: DataFrame, distance: int, blocks: int | None = None) -
     """Adds ``number`` (the block combination) and ``key`` to rows with ``fp``: one row for each combination.
 
     A key is a hash of the combination's number and block values; two keys with one hash only propose more pairs. Rows are dealt
-    out first: they are few bytes each, and the keys are many.
+    out first: they are few bytes each, and the keys are many. A join of them sorts: adaptive execution takes an exploded table to be
+    as small as the exchange below it, and would send all keys to the driver for a broadcast.
     """
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     value = lambda shift, width: F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1))
     keys = [F.struct(F.lit(i).alias("number"), F.xxhash64(F.lit(i), *[value(*s) for s in spans]).alias("key")) for i, spans in enumerate(block_keys(distance, blocks))]
     dealt = prints.repartition(parts, F.xxhash64("fp"))  # by another key than that of a distinct before it, else both are one exchange of few tasks
-    return dealt.withColumn("k", F.explode(F.array(*keys))).select(*prints.columns, "k.number", "k.key")
+    return dealt.withColumn("k", F.explode(F.array(*keys))).select(*prints.columns, "k.number", "k.key").hint("merge")
 
 
 def narrower_keys(distance: int, blocks: int | None = None) -> F.Column:

@@ -132,6 +132,16 @@ def test_buckets_with_few_outsiders_make_no_narrower_keys(spark):
     assert pairs == want and len(want) == 3 * 1_000 + 3 + 6 * 25 + 2 * 3
 
 
+def test_exploded_keys_are_not_broadcast(spark, monkeypatch):
+    plans, durable = [], simhash.durable
+    monkeypatch.setattr(simhash, "durable", lambda df: plans.append(df) or durable(df))
+    rng = random.Random(5)
+    values = [rng.getrandbits(62) for _ in range(2000)]
+    simhash.near_groups(spark.createDataFrame([(v,) for v in values + [v ^ 1 for v in values[:50]]], "fp bigint"))
+    crowded = plans[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" in crowded and "SortMergeJoin" in crowded and "Broadcast" not in crowded
+
+
 def test_near_groups_of_a_dense_bucket(spark):
     """10,000 fingerprints around one, and outsiders that share most of their blocks: the groups are those of all pairs."""
     rng = np.random.default_rng(12)
