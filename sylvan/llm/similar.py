@@ -30,6 +30,9 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts in the sample that tells common shingles, occurrences there that make one common, and the most that are sent.
 SAMPLE, COMMON, MOST = 5_000, 4, 50_000
 
+#: Bytes of a part of a batch whose shingle sets are held together.
+SET_BYTES = 1 << 20
+
 
 class _Words(dict):
     """Word to hash; a cache of bounded size."""
@@ -62,9 +65,13 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], at: int, shingle: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Parts of the batches with their shingle sets; a part has few bytes, as the sets and what is made of them are many times its size."""
     words = _Words()
     for batch in batches:
-        yield batch, [shingle_set(x, shingle, words) for x in as_bytes(batch.column(at))]
+        step = max(1, batch.num_rows * SET_BYTES // max(SET_BYTES, batch.nbytes))
+        for begin in range(0, batch.num_rows, step):
+            part = batch.slice(begin, step)
+            yield part, [shingle_set(x, shingle, words) for x in as_bytes(part.column(at))]
 
 
 def _name(values: np.ndarray) -> int:

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -198,6 +199,17 @@ def test_pairs_of_similarity_of_four_fifths(spark, odd_docs, no_docs):
     assert similar.one_of_similar(no_docs).collect() == []
 
 
+def test_shingle_sets_are_held_in_parts():
+    """A batch of 4 MB is looked at in parts of 1 MB: each text once, in order, with its whole set."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(1700)) for _ in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts)], ["i", "t"])
+    parts = list(similar._sets(iter([batch, batch.slice(0, 0)]), 1, 5))
+    assert max(part.nbytes for part, _ in parts) <= 1.1 * (1 << 20) and len(parts) >= 4
+    assert [i for part, _ in parts for i in part.column(0).to_pylist()] == list(range(400))
+    assert all(np.array_equal(x, similar.shingle_set(t.encode(), 5)) for x, t in zip((x for _, sets in parts for x in sets), texts, strict=True))
+
+
 def test_join_keys_of_one_set_become_no_rows(spark, monkeypatch):
     """With a sketch so full that it rules nothing out, as on very large tables, keys that one set alone has are dropped before they are rows, and the result is the same."""
     rng = random.Random(8)
