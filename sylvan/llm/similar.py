@@ -12,6 +12,7 @@ set has are dropped: a sketch that is full, as on very large tables, lets more o
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from math import ceil
 
 import numpy as np
@@ -135,8 +136,22 @@ def key_packets(parts: list[tuple[np.ndarray, ...]], slices: int) -> pa.RecordBa
     return packets(out)
 
 
-def crowds(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
-    """The members of a slice's keys that several sets have, each once, with the bucket's pivot.
+def has_room(key: np.ndarray, n: np.ndarray, place: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether what is left of a set behind a key, and of some set with the same key, can be similar; ``key`` is sorted.
+
+    Sets of n and m shingles can only be if m is at most what n reaches and n at most what m reaches. A set that reaches its own
+    size finds itself, so some without room pass, and none with room is left out.
+    """
+    reach = np.minimum((n - place) * ((1 + similarity) / similarity) - n + 1e-3, 2.0**32).astype(np.int64)  # more never harms
+    bucket = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) << 33
+    order = np.lexsort((n, bucket))
+    most = np.maximum.accumulate((bucket + reach)[order])
+    below = np.searchsorted((bucket + n)[order], bucket + reach, side="right")  # members small enough, and all of the buckets before
+    return (below > 0) & (most[below - 1] >= bucket + n)
+
+
+def crowds(number: int, payloads: Iterator[bytes], similarity: float = 0.0) -> Iterator[pa.RecordBatch]:
+    """The members of a slice's keys that several sets have, each once, with the bucket's pivot; with ``similarity`` those that have room for it.
 
     The pivot depends on one of 4 orders, so that one dense cluster has few pivots, and not one alone.
     """
@@ -148,6 +163,9 @@ def crowds(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
     key, sid, n, place = key[order], sid[order], n[order], place[order]
     fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])))
     key, sid, n, place = key[fresh], sid[fresh], n[fresh], place[fresh]
+    if similarity:
+        room = has_room(key, n, place, similarity)
+        key, sid, n, place = key[room], sid[room], n[room], place[room]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     many = np.diff(np.append(first, len(key)))
     pivot = np.repeat(first, many)
@@ -158,12 +176,26 @@ def crowds(number: int, payloads: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in CROWDED.split(", ")])
 
 
+def centre_pairs(grouped: DataFrame, similarity: float) -> DataFrame:
+    """The centre of a bucket's largest group with each member outside the group: ``a, n, place`` of the member, ``b, m, other`` of the centre.
+
+    ``grouped``: ``key, node, n, place, root``. The centre is the member that has most of its prefix in common with others: a copy with few edits
+    of its own is similar to most that are similar to any of the group. There are no more rows than those of grouped.
+    """
+    held = grouped.groupBy("node").agg((F.lit(1 - similarity) * F.min("n") - F.count(F.lit(1))).alias("alone"))
+    groups = grouped.join(held, "node").groupBy("key", "root").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("alone", "node", "n", "place")).alias("c"))
+    largest = groups.groupBy("key").agg(F.max_by(F.struct("root", "c"), F.struct("many", "root")).alias("main"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    outside = grouped.join(largest, "key").where("root <> main.root")
+    return outside.select(F.col("node").alias("a"), "n", "place", F.col("main.c.node").alias("b"), F.col("main.c.n").alias("m"), F.col("main.c.place").alias("other"))
+
+
 def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: float, shingle: int, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """``sid``, ``root`` of the shingle sets that have a similar one; others are left out. ``rows``: as ``named_sets`` gives it.
 
-    In SimHash's buckets and in those of the prefixes, a pivot meets all members and similar ones are linked; buckets of prefixes
-    that then hold several groups are compared across groups. Pairs in one group already, and pairs that can't be similar by
-    their sizes, the places of the shared key and their parity signatures, are dropped before their sets are fetched.
+    In SimHash's buckets and in those of the prefixes, a pivot meets all members and similar ones are linked. In buckets of prefixes
+    that then hold several groups the centre of the largest meets those outside it, as few are left for whom it is too far but another
+    of its group is not; what still holds several groups is compared across groups. Pairs in one group already, and pairs that can't be
+    similar by their sizes, the places of the shared key and their parity signatures, are dropped before their sets are fetched.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{text}`").cast("string").alias("__text"))
@@ -217,7 +249,7 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
         if out:
             yield key_packets(out, slices)
 
-    crowded = durable(by_slice(arrow_map(texts, prefixes, PACKET), crowds, CROWDED))
+    crowded = durable(by_slice(arrow_map(texts, prefixes, PACKET), partial(crowds, similarity=similarity), CROWDED))
     sent.destroy()
 
     about = rows.groupBy("sid").agg(F.min("n").alias("n"), *[F.min(q).alias(q) for q in SIGNATURE])
@@ -279,13 +311,27 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
     of = lambda name: by_print.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
     apart = star.join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
     roots = connected_components(links(apart).unionByName(edges(by_print)))
-    grouped = crowded.select("key", "sid", "n", "place").join(roots, F.col("sid") == F.col("node"), "left")
-    grouped = durable(grouped.select("key", F.col("sid").alias("node"), "n", "place", F.coalesce("root", "sid").alias("root")))
+
+    def grouped_by(roots: DataFrame) -> DataFrame:
+        grouped = crowded.select("key", "sid", "n", "place").join(roots, F.col("sid") == F.col("node"), "left")
+        return durable(grouped.select("key", F.col("sid").alias("node"), "n", "place", F.coalesce("root", "sid").alias("root")))
+
+    def complete(pairs: DataFrame) -> None:
+        """Fetches the sets of pairs a, b that aren't there."""
+        nonlocal whole
+        more = durable(ends(pairs).distinct().join(whole, "sid", "left_anti"))
+        if more.take(1):
+            whole = whole.unionByName(fetched(more))
+
+    grouped = grouped_by(roots)
+    central = durable(signed(centre_pairs(grouped, similarity).where(possible("n", "place", "m", "other")).select("a", "b").distinct()))
+    if central.take(1):
+        complete(central)
+        roots = connected_components(links(central).unionByName(edges(roots)))
+        grouped = grouped_by(roots)
     across = pairs_across(grouped, ["n", "place"], about=about.select(F.col("sid").alias("node"), *SIGNATURE)).where(possible("a_n", "a_place", "b_n", "b_place") & near("a_", "b_"))
     across = durable(across.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.min(bits("a_", "b_")).alias("bits")))
-    more = durable(ends(across).distinct().join(whole, "sid", "left_anti"))
-    if more.take(1):
-        whole = whole.unionByName(fetched(more))
+    complete(across)
     # the nearest other text by signature first: most groups are joined by then, and need no more of their pairs
     nearest = across.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b")).select("a", "b")
     joined = connected_components(links(nearest).unionByName(edges(roots)))

@@ -243,6 +243,53 @@ def test_crowds_are_the_keys_of_several_sets():
     assert len(pivots) == len({r["key"] for r in got}) and all(s == n and s in want[p - 3] for _, s, n, p in pivots)
 
 
+def test_sets_without_room_leave_their_buckets():
+    """A bucket's member goes if no other can be similar by sizes and places, as the members of a very common line; none goes that some other can be similar to."""
+    rng = np.random.default_rng(10)
+    key, n = rng.integers(0, 30, 600).astype(np.uint64), rng.integers(1, 200, 600)
+    sid, place = np.arange(1, 601).astype(np.uint64), (n * rng.uniform(0, 0.22, 600)).astype(np.int64)
+    n, place = np.append(n, np.arange(60, 260)), np.append(place, np.arange(60, 260) // 6)  # 200 sets that meet far behind in their prefixes
+    key, sid = np.append(key, np.full(200, 99, np.uint64)), np.append(sid, np.arange(1000, 1200).astype(np.uint64))
+    sent = similar.key_packets([(key, sid, n, place)], 2).to_pydict()
+    got = [(r["n"], r["place"], r["sid"]) for s, p in zip(*sent.values(), strict=True) for b in similar.crowds(s, iter([p]), 0.8) for r in b.to_pylist()]
+    rows = list(zip(key.tolist(), n.tolist(), place.tolist(), sid.tolist(), strict=True))
+    most = lambda x, y: min(x[1] - x[2], y[1] - y[2])
+    want = {x[1:] for x in rows for y in rows if x[0] == y[0] and x[3] != y[3] and most(x, y) >= 0.8 * (x[1] + y[1] - most(x, y)) - 1e-9}
+    assert len(got) == len(set(got)) and want and want <= set(got)
+    assert all(n - place >= 0.8 * (n + place) - 0.01 for n, place, _ in set(got) - want)  # those that have room for a set like themselves
+    assert not any(1000 <= s for _, _, s in got)
+
+
+def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies of a text with edits of their own, most of them near 0.8 of each other: pairs left to compare don't grow with the square of the group, and the result is that of all pairs."""
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        copy = list(base)
+        for at in rng.sample(range(150), rng.choice((1, 2, 2, 3, 3, 4, 5))):
+            copy[at] = f"edit{rng.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+    made, across, keep = [], [], similar.durable
+
+    def counted(df):
+        out = keep(df)
+        made.append((df.columns, out.count()))
+        return out
+
+    def watched(*args, **more):
+        out = pairs_across(*args, **more)
+        across.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "durable", counted)
+    monkeypatch.setattr(similar, "pairs_across", watched)
+    kept = similar.one_of_similar(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == slow_stay(rows)
+    left = [n for columns, n in made if columns == ["a", "b", "bits"]]
+    assert len(left) == 1 and left[0] <= 500 and across[0] <= 20 * 500
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(3)
     items = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
