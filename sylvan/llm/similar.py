@@ -6,7 +6,8 @@ prefix-filtered join completes the links between the groups that SimHash made: a
 shingles of each, so these are the join keys. Shingles that a sketch says occur once come first and, as nothing can meet by
 them, are never sent; those that are common in a sample come last. The order decides only the cost: every candidate is
 verified on the whole sets, and no pair is left out. Join keys travel packed and meet slice by slice, where those that only one
-set has are dropped: a sketch that is full, as on very large tables, lets more of them travel, but none becomes a row.
+set has are dropped: without a sketch, as on very large tables, where it would be full, more of them travel, but none becomes a
+row. Then more pairs are proposed too, so signatures as wide as the sets rule out nearly all that aren't similar before sets travel.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts in the sample that tells common shingles, occurrences there that make one common, and the most that are sent.
 SAMPLE, COMMON, MOST = 5_000, 4, 50_000
 
+#: Items for each cell from which a sketch of the greatest size says of nearly all that they are repeated, and isn't made.
+FULL = 4
+
 #: Bytes of a part of a batch whose shingle sets are held together.
 SET_BYTES = 1 << 20
 
@@ -101,17 +105,32 @@ def parity(values: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount((values >> np.uint64(17)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1 == 1).view(">i8").astype(np.int64)
 
 
+def wide_parity(values: np.ndarray) -> bytes:
+    """The same over as many classes as a set has shingles at least, a power of two: sets of any size that share little differ in many bits."""
+    width = max(64, 1 << (len(values) - 1).bit_length())
+    at = ((values >> np.uint64(17)) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=width) & 1 == 1).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Different bits of two wide signatures; the halves of the longer one are merged until both have the same classes."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def named_sets(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """``__id, __hash, sid, n, fp, q0 ...`` of every row: the name, size, fingerprint and parity signature of its shingle set."""
+    """``__id, __hash, sid, n, fp, q0 ..., wide`` of every row: the name, size, fingerprint and parity signatures of its shingle set."""
     named = docs.select(F.col(f"`{doc_id}`").alias("__id"), row_hash(docs).alias("__hash"), F.col(f"`{text}`").cast("string").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, 2, shingle):
             columns = [_signed([_name(x) for x in sets]), pa.array([len(x) for x in sets], pa.int32()), _signed([set_fingerprint(x) for x in sets])]
             odd = np.array([parity(x) for x in sets]).reshape(-1, PARITY)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *(pa.array(odd[:, i]) for i in range(PARITY))], ["__id", "__hash", "sid", "n", "fp", *SIGNATURE])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *(pa.array(odd[:, i]) for i in range(PARITY)), pa.array([wide_parity(x) for x in sets], pa.binary())], ["__id", "__hash", "sid", "n", "fp", *SIGNATURE, "wide"])
 
-    return arrow_map(named, run, f"__id {named.schema['__id'].dataType.simpleString()}, __hash bigint, sid bigint, n int, fp bigint, " + ", ".join(f"{q} bigint" for q in SIGNATURE))
+    return arrow_map(named, run, f"__id {named.schema['__id'].dataType.simpleString()}, __hash bigint, sid bigint, n int, fp bigint, " + ", ".join(f"{q} bigint" for q in SIGNATURE) + ", wide binary")
 
 
 SIGNATURE = [f"q{i}" for i in range(PARITY)]
@@ -217,7 +236,8 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
     often = often.orderBy(F.desc("n"), "key").limit(MOST).toArrow()
     keys, times = often.column("key").to_numpy().view(np.uint64), often.column("n").to_numpy()
     by = np.argsort(keys)
-    sent = spark.sparkContext.broadcast((sketch.merged(arrow_map(texts, sketched, PACKET), bits), keys[by], times[by]))
+    seen = None if n_items > FULL << bits else sketch.merged(arrow_map(texts, sketched, PACKET), bits)
+    sent = spark.sparkContext.broadcast((seen, keys[by], times[by]))
 
     slices = max(64, int((1 - similarity) * n_items + n_rows) // SLICE_KEYS)
 
@@ -227,7 +247,7 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
         held = 0
         for _, sets in _sets(batches, 0, shingle):
             joined = np.concatenate(sets)
-            rank = sketch.repeated(seen, joined, bits).astype(np.int64)
+            rank = np.ones(len(joined), np.int64) if seen is None else sketch.repeated(seen, joined, bits).astype(np.int64)
             if len(common):
                 at = np.minimum(np.searchsorted(common, joined), len(common) - 1)
                 rank = np.where(common[at] == joined, 1 + weight[at], rank)
@@ -253,6 +273,7 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
     sent.destroy()
 
     about = rows.groupBy("sid").agg(F.min("n").alias("n"), *[F.min(q).alias(q) for q in SIGNATURE])
+    wide = rows.groupBy("sid").agg(F.min("n").alias("n"), F.min("wide").alias("wide"))
 
     def bits(a: str, b: str) -> F.Column:
         return sum((F.bit_count(F.col(f"{a}{q}").bitwiseXOR(F.col(f"{b}{q}"))) for q in SIGNATURE), F.lit(0))
@@ -261,10 +282,24 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
         """Whether the signatures, and sizes, of two sets leave room for the similarity: sets that share s of all differ in (1 - s) / (1 + s) of their sizes."""
         return bits(a, b) <= F.lit((1 - similarity) / (1 + similarity)) * (F.col(f"{a}n") + F.col(f"{b}n")) + 1e-9
 
+    def left_open(pairs: DataFrame) -> DataFrame:
+        """Pairs a, b, with what else they have, that the signatures as wide as their sets don't rule out: sets are many times larger, and few of those left are in vain."""
+        side = lambda x: wide.select(F.col("sid").alias(x), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide"))
+        width, room = len(pairs.columns), (1 - similarity) / (1 + similarity)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, m, a, b = (batch.column(width + i).to_pylist() for i in range(4))
+                good = [bits_apart(x, y) <= room * (i + j) + 1e-9 for i, j, x, y in zip(n, m, a, b, strict=True)]
+                yield batch.select(range(width)).filter(pa.array(good, pa.bool_()))
+
+        met = pairs.join(side("a"), "a").join(side("b"), "b").select(*pairs.columns, "a_n", "b_n", "a_wide", "b_wide")
+        return arrow_map(met, run, ", ".join(f"{c} {kind}" for c, kind in pairs.dtypes))
+
     def signed(pairs: DataFrame) -> DataFrame:
         """Pairs a, b that their signatures don't rule out."""
         side = lambda x: about.select(F.col("sid").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *SIGNATURE)])
-        return pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_")).select("a", "b")
+        return left_open(pairs.join(side("a"), "a").join(side("b"), "b").where(near("a_", "b_")).select("a", "b"))
 
     def possible(n: str, place: str, m: str, other: str) -> F.Column:
         """If this is the first shingle in which two sets meet: whether what is left of both can be similar."""
@@ -330,7 +365,7 @@ def similar_groups(docs: DataFrame, rows: DataFrame, text: str, similarity: floa
         roots = connected_components(links(central).unionByName(edges(roots)))
         grouped = grouped_by(roots)
     across = pairs_across(grouped, ["n", "place"], about=about.select(F.col("sid").alias("node"), *SIGNATURE)).where(possible("a_n", "a_place", "b_n", "b_place") & near("a_", "b_"))
-    across = durable(across.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.min(bits("a_", "b_")).alias("bits")))
+    across = durable(left_open(across.groupBy(F.col("a_node").alias("a"), F.col("b_node").alias("b")).agg(F.min(bits("a_", "b_")).alias("bits"))))
     complete(across)
     # the nearest other text by signature first: most groups are joined by then, and need no more of their pairs
     nearest = across.groupBy("a").agg(F.min_by("b", F.struct("bits", "b")).alias("b")).select("a", "b")

@@ -290,6 +290,44 @@ def test_a_large_group_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert len(left) == 1 and left[0] <= 500 and across[0] <= 20 * 500
 
 
+def test_wide_signatures_rule_out_only_what_is_not_similar():
+    rng = np.random.default_rng(12)
+    for n, m, shared in ((1, 1, 1), (3, 70, 2), (64, 65, 60), (700, 800, 690), (5000, 5000, 4500), (5000, 4000, 0), (20_000, 20_000, 4000)):
+        values = np.unique(rng.integers(0, 1 << 63, n + m - shared).astype(np.uint64))
+        rng.shuffle(values)
+        apart = similar.bits_apart(similar.wide_parity(np.sort(values[:n])), similar.wide_parity(np.sort(values[n - shared :])))
+        assert apart <= n + m - 2 * shared
+        assert shared >= 0.5 * n or apart > (n + m) / 9  # more than sets of similarity 0.8 can differ in
+
+
+@pytest.mark.parametrize("made", (True, False))
+def test_sets_of_long_texts_with_a_common_passage_stay_at_home(spark, monkeypatch, made):
+    """Where the sketch is full, or so full that it isn't made, a passage that long texts share proposes pairs, but their sets don't travel for it."""
+    rng = random.Random(13)
+    rows = []
+    for i in range(42):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(1500)]
+        own[700:730] = [f"passage{i // 3}word{j}" for j in range(30)]
+        rows.append((i, " ".join(own)))
+    rows.append((42, rows[0][1] + " end"))
+    fetched, star, keep = [], [], similar.durable
+
+    def counted(df):
+        out = keep(df)
+        if "set" in out.columns:
+            fetched.append(out.count())
+        if {"key", "place"} <= set(out.columns):
+            star.append(out.count())
+        return out
+
+    monkeypatch.setattr(similar, "durable", counted)
+    monkeypatch.setattr(sketch, "merged", lambda partials, width: b"\xff" * (3 << width - 3))
+    monkeypatch.setattr(similar, "FULL", 4 if made else 0)
+    kept = similar.one_of_similar(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert sorted(r.doc_id for r in kept.collect()) == slow_stay(rows) == list(range(42))
+    assert star[0] > 42 and 2 <= sum(fetched) <= 4
+
+
 def test_sketch_never_underestimates():
     rng = np.random.default_rng(3)
     items = rng.integers(0, 1 << 63, 5000).astype(np.uint64)
