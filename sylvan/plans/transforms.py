@@ -2,12 +2,12 @@
 
 Attributes change by expressions. What goes is found by running maxima over a page in preorder: a node goes if the farthest end of
 the dropped subtrees that began so far lies behind it. All drops share one exchange and sort, and so does the renumbering of what
-is left, page by page in Arrow.
+is left, many pages at a time in Arrow.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -119,9 +119,26 @@ def _set_one(attrs: Column, name: str, value: Column) -> Column:
 
 
 def renumber(nodes: DataFrame, page_id: str = "page_id") -> DataFrame:
-    """Fresh pre, last and sibling positions for a table from which whole subtrees have gone."""
+    """Fresh pre, last and sibling positions for a table from which whole subtrees have gone.
+
+    Rows come page by page in preorder, as the window that numbers them needs them so, and many pages are renumbered at a time.
+    """
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in nodes.schema.fields)
-    return nodes.groupBy(page_id).applyInArrow(_renumbered, fields)
+    numbered = nodes.withColumn("__row", F.row_number().over(Window.partitionBy(page_id).orderBy("pre")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last page so far, which may go on
+        for batch in batches:
+            heads = np.flatnonzero(batch.column(batch.num_columns - 1).to_numpy() == 1)
+            last = heads[-1] if len(heads) else 0
+            if last or (held and len(heads)):
+                yield from _renumbered(pa.Table.from_batches([*held, batch.slice(0, last)])).to_batches()
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from _renumbered(pa.Table.from_batches(held)).to_batches()
+
+    return numbered.mapInArrow(run, fields)
 
 
 def _ranks(*groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,10 +157,16 @@ def _ranks(*groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _renumbered(table: pa.Table) -> pa.Table:
-    table = table.sort_by("pre").combine_chunks()
-    pre, last = table.column("pre").to_numpy(), table.column("last").to_numpy()
+    """Rows of whole pages, page by page in preorder, with fresh numbers; the last column, which is the place of each row in its page from 1, goes."""
+    table = table.combine_chunks()
+    row = table.column(table.num_columns - 1).to_numpy()
+    table = table.remove_column(table.num_columns - 1)
+    head = row == 1
+    base = (np.arange(len(row)) - row + 1).astype(np.int64)  # where a row's page begins
+    page = np.cumsum(head, dtype=np.int64) << 32
+    pre, last = page + table.column("pre").to_numpy(), page + table.column("last").to_numpy()
     n, top = len(pre), table.column("parent_pre").is_null().to_numpy(zero_copy_only=False)
-    parent = np.searchsorted(pre, table.column("parent_pre").fill_null(0).to_numpy())
+    parent = np.searchsorted(pre, page + table.column("parent_pre").fill_null(0).to_numpy())
     names, kinds = pc.utf8_lower(table.column("name")), table.column("kind")
     codes = pc.dictionary_encode(names).combine_chunks().indices.to_numpy() if n else np.empty(0, np.int64)
     solid = ~pc.starts_with(names, "#").to_numpy(zero_copy_only=False)
@@ -152,7 +175,7 @@ def _renumbered(table: pa.Table) -> pa.Table:
     columns["elem_idx"][placed], columns["elem_cnt"][placed] = _ranks(parent[placed])
     columns["type_idx"][placed], columns["type_cnt"][placed] = _ranks(codes[placed], parent[placed])
     by_parent = placed[np.lexsort((placed, parent[placed]))]
-    columns["prev_elem_pre"][by_parent[1:]] = by_parent[:-1]
+    columns["prev_elem_pre"][by_parent[1:]] = by_parent[:-1] - base[by_parent[:-1]]
     hidden = {c: np.ones(n, bool) for c in columns}
     for c in columns:
         hidden[c][placed] = c == "prev_elem_pre" and columns["elem_idx"][placed] == 1
@@ -160,10 +183,10 @@ def _renumbered(table: pa.Table) -> pa.Table:
     full = np.zeros(n, bool)
     full[parent[(solid | written) & ~top]] = True
     is_element = pc.equal(kinds, "element").to_numpy(zero_copy_only=False)
-    new = {"pre": np.arange(n, dtype=np.int32), "last": (np.searchsorted(pre, last, side="right") - 1).astype(np.int32), "is_empty": is_element & ~full}
+    new = {"pre": (row - 1).astype(np.int32), "last": (np.searchsorted(pre, last, side="right") - 1 - base).astype(np.int32), "is_empty": is_element & ~full}
     for name, values in new.items():
         table = table.set_column(table.column_names.index(name), table.schema.field(name), pa.array(values))
-    table = table.set_column(table.column_names.index("parent_pre"), table.schema.field("parent_pre"), pa.array(parent.astype(np.int32), mask=top))
+    table = table.set_column(table.column_names.index("parent_pre"), table.schema.field("parent_pre"), pa.array((parent - base).astype(np.int32), mask=top))
     for name, values in columns.items():
         table = table.set_column(table.column_names.index(name), table.schema.field(name), pa.array(values, mask=hidden[name]))
     return table

@@ -118,6 +118,25 @@ def test_table_and_walk_agree(spark):
     assert {r.output for r in nodes_to_pages(transform_nodes(parse_html(frame), walked)).collect()} == {X.apply_transforms(parse(h), walked).to_html() for _, h in pages}
 
 
+def test_many_pages_are_renumbered_at_a_time(spark):
+    """Pages that end inside Arrow batches, fill several, or have a null id are renumbered as they are one by one, without a call for each page."""
+    some = "<nav><p>x</p></nav><p>z<!--c--><b>w</b></p><ul><li>a<li>b<i>c</i></ul><script>1</script>"
+    pages = [(f"p{i:02}", some * (40 if i % 9 == 0 else i % 4)) for i in range(40)] + [(None, some), ("", "")]
+    frame = spark.createDataFrame(pages, "page_id string, html string").repartition(3)
+    specs = [X.Drop("script, i"), X.Empty("nav"), X.DropComments()]
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 11)
+    try:
+        left = transform_nodes(parse_html(frame), specs)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert "FlatMapGroups" not in plan and plan.count("Exchange hashpartitioning") == 1
+        columns = ("page_id", "pre", "last", "parent_pre", "name", "elem_idx", "elem_cnt", "type_idx", "type_cnt", "prev_elem_pre", "is_empty", "data")
+        rows = lambda nodes: sorted(map(repr, nodes.select(*columns).collect()))
+        assert rows(left) == rows(parse_html(frame, transforms=specs))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
 def test_default_policy_is_frozen():
     with pytest.raises(AttributeError):
         DEFAULT_POLICY.drop_comments = False
