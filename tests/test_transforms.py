@@ -42,6 +42,12 @@ def test_one(case):
     assert after(html, spec) == want
 
 
+def test_no_links_where_only_text_can_be():
+    html = "<title>a@b.com</title><textarea>a@b.com</textarea><iframe>a@b.com</iframe>"
+    assert after(html, X.Linkify(skip_tags=())) == html
+    assert after("<svg><title>b.com</title></svg>", X.Linkify()) == '<svg><title><a href="http://b.com">b.com</a></title></svg>'
+
+
 def test_order_in_one_walk():
     assert after("<b>x</b>", X.Unwrap("b"), X.Drop("i")) == "x"
     assert after("<b><i>x</i></b>", X.Drop("i"), X.Unwrap("b")) == "<i>x</i>"  # hoisted after Drop had its turn
